@@ -31,4 +31,7 @@ def query(name: str, sql: str | None = None, *ctes: str) -> Callable[[Query], Qu
 def load_all() -> None:
     from beatloom.catalog import (  # noqa: F401
         beats_q,
+        evaluation_q,
+        joins_q,
+        tables_q,
     )

@@ -214,7 +214,7 @@ def _(spark, sf):
 
 @query("e20_rr_vectors", """, l AS (SELECT recording_id, peak_id, beat_idx, coalesce(CAST(rr_prev_ms AS DOUBLE), 6.0E2) AS rr FROM fx_rr),
 v AS (SELECT peak_id, list(rr) OVER (PARTITION BY recording_id ORDER BY beat_idx ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS v FROM l)
-SELECT peak_id, list_transform(v, x -> CAST(x AS BIGINT)) AS rr_vector FROM v WHERE len(v) = 10""", "fx_rr")
+SELECT peak_id, list_transform(v, lambda x: CAST(x AS BIGINT)) AS rr_vector FROM v WHERE len(v) = 10""", "fx_rr")
 def _(spark, sf):
     rr = windows.rr_intervals(fx.beats(spark, sf)).withColumn("rr_ms", F.coalesce("rr_prev_ms", F.lit(600)))
     return windows.rr_vectors(rr).select("peak_id", F.col("rr_vector").cast("array<bigint>").alias("rr_vector"))
@@ -267,10 +267,13 @@ def _(spark, sf):
     return windows.interpolate_gaps(hourly_spine(spark, sf), "v", HOURS).select("event_type", "hour_ms", *r6("v_filled"))
 
 
-@query("e28_rolling_week_mean", """SELECT event_type, hour_ms, round(avg(v) OVER (PARTITION BY event_type ORDER BY hour_ms
-  RANGE BETWEEN 604799999 PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM fx_hourly""", "fx_hourly")
+@query("e28_rolling_week_mean", """, h AS (SELECT event_type, CAST(floor(epoch_ms(ts) / 3600000) AS BIGINT) * 3600000 AS hour_ms, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL)
+SELECT event_type, hour_ms, round(avg(cents) OVER (PARTITION BY event_type ORDER BY hour_ms
+  RANGE BETWEEN 604799999 PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM h""".replace(", h AS", "WITH h AS", 1))
 def _(spark, sf):
-    return windows.rolling_time_mean(fx.hourly(spark, sf), "v", 7 * 86_400_000, HOURS).select(
+    hour = (F.floor(F.col("ts_ms") / 3_600_000) * 3_600_000).alias("hour_ms")
+    h = fx.events_ms(spark, sf).groupBy("event_type", hour).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return windows.rolling_time_mean(h, "cents", 7 * 86_400_000, HOURS).select(
         "event_type", "hour_ms", *r6("rolling_mean"))
 
 

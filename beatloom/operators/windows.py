@@ -126,7 +126,8 @@ def fill_with_group_median(
     for c in columns:
         counts = df.filter(F.col(c).isNotNull()).groupBy(*overall, c).agg(F.count(F.lit(1)).alias("_n"))
         med = counts.groupBy(*overall).agg(F.percentile(c, 0.5, F.col("_n")).alias(f"_all_{c}"))
-        out = out.join(F.broadcast(med), overall, "left") if not overall else out.join(med, overall, "left")
+        # without ``overall`` keys this is one row
+        out = out.join(med, overall, "left") if overall else out.crossJoin(F.broadcast(med))
     return out.withColumns(
         {
             c: F.coalesce(F.col(c).cast("double"), F.col(f"_seg_{c}"), F.col(f"_all_{c}"), F.lit(0.0))
