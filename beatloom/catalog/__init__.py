@@ -32,6 +32,8 @@ def load_all() -> None:
     from beatloom.catalog import (  # noqa: F401
         beats_q,
         evaluation_q,
+        hrv_q,
         joins_q,
         tables_q,
+        waves_q,
     )

@@ -70,7 +70,7 @@ def _(spark, sf):
 
 
 @query("d7_label_counts", """, c AS (SELECT segment_idx % 3 AS iter, label, count(*) AS n FROM fx_labels GROUP BY ALL)
-SELECT iter, CAST(sum(n) AS BIGINT) AS n_total, to_json(map(list(label ORDER BY label), list(n ORDER BY label))) AS counts FROM c GROUP BY iter""", "fx_labels")
+SELECT iter, CAST(sum(n) AS BIGINT) AS n_total, CAST(to_json(map(list(label ORDER BY label), list(n ORDER BY label))) AS VARCHAR) AS counts FROM c GROUP BY iter""", "fx_labels")
 def _(spark, sf):
     d = ag.label_counts(fx.labels(spark, sf).withColumn("iter", F.col("segment_idx") % 3), ["iter"])
     return d.select("iter", "n_total", F.to_json("counts").alias("counts"))
@@ -440,7 +440,7 @@ def _(spark, sf):
 
 
 @query("o5_iteration_summary", f""", {UPD}, c AS (SELECT al_iteration, label, count(*) AS n FROM up GROUP BY ALL), s AS (SELECT al_iteration, avg(p_tab) AS m FROM up JOIN fx_scores USING (peak_id) GROUP BY 1)
-SELECT c.al_iteration, CAST(sum(n) AS BIGINT) AS n_total, to_json(map(list(c.label ORDER BY c.label), list(n ORDER BY c.label))) AS counts, round(max(m), 6) AS mean_p_tab FROM c JOIN s USING (al_iteration) GROUP BY c.al_iteration""", "fx_labels", "fx_refs", "fx_scores")
+SELECT c.al_iteration, CAST(sum(n) AS BIGINT) AS n_total, CAST(to_json(map(list(c.label ORDER BY c.label), list(n ORDER BY c.label))) AS VARCHAR) AS counts, round(max(m), 6) AS mean_p_tab FROM c JOIN s USING (al_iteration) GROUP BY c.al_iteration""", "fx_labels", "fx_refs", "fx_scores")
 def _(spark, sf):
     d = updated(spark, sf).join(fx.scores(spark, sf).select("peak_id", "p_tab"), "peak_id")
     out = learning.iteration_summary(d, ["p_tab"])

@@ -185,6 +185,7 @@ def waveforms(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(0).alias("recording_id"),
         F.col("vec_id").alias("peak_id"),
         F.col("vec_id").alias("beat_idx"),
+        (T0 + F.col("vec_id") * 800 + F.col("vec_id") * 37 % 200).alias("timestamp_ms"),
         F.floor(F.col("vec_id") / 20).cast("int").alias("segment_idx"),
         F.when(F.col("label") == 0, "artifact").otherwise("clean").alias("label"),
         (F.col("label") == 1).alias("hard_filtered"),
@@ -268,8 +269,8 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
         ("fx_beats",),
     ),
     "fx_waves": (
-        """SELECT 0 AS recording_id, vec_id AS peak_id, vec_id AS beat_idx, CAST(floor(vec_id / 20) AS INT) AS segment_idx,
-             CASE WHEN label = 0 THEN 'artifact' ELSE 'clean' END AS label, label = 1 AS hard_filtered,
+        """SELECT 0 AS recording_id, vec_id AS peak_id, vec_id AS beat_idx, 1704067200000 + vec_id * 800 + vec_id * 37 % 200 AS timestamp_ms,
+             CAST(floor(vec_id / 20) AS INT) AS segment_idx, CASE WHEN label = 0 THEN 'artifact' ELSE 'clean' END AS label, label = 1 AS hard_filtered,
              CAST(embedding AS DOUBLE[]) AS waveform FROM embeddings""",
         (),
     ),

@@ -98,3 +98,30 @@ def iteration_summary(labels: DataFrame, scores: Sequence[str] = ()) -> DataFram
         return counts
     means = labels.groupBy("al_iteration").agg(*[F.avg(c).alias(f"mean_{c}") for c in scores])
     return counts.join(means, "al_iteration")
+
+
+def export_disagreements(
+    scored: DataFrame, segment_quality: DataFrame, samples: DataFrame, n: int, oversample: int = 3,
+    max_ensemble: float = 0.5, min_wave: float = 0.5, half_ms: int = 2500, margin: int = 10,
+    segment: Sequence[str] = ("recording_id", "segment_idx"),
+) -> DataFrame:
+    """Unreviewed beats outside bad segments on which the models disagree most,
+    with their signal context; beats at a context edge are dropped after an
+    over-request of ``oversample``."""
+    from beatloom.operators import columns, relational, temporal
+
+    pool = columns.without_bad_segments(scored.filter(~F.col("reviewed")), segment_quality, segment)
+    pool = columns.score_range(pool, {"p_wave": min_wave}, {"p_ensemble": max_ensemble})
+    top = relational.top_n(pool, "disagreement", n * oversample)
+    ctx = temporal.snap_context(temporal.context_windows(top, samples, half_ms), 5, margin)
+    return relational.top_n(ctx.filter(~F.col("at_edge")), "disagreement", n)
+
+
+def presort_queue(windows: DataFrame, template: DataFrame, pristine: float = 0.80, artifact: float = 0.50) -> DataFrame:
+    """Queue ordered by falling correlation with the clean template, with a
+    category from two cut-offs."""
+    from beatloom.operators.waveforms import template_similarity
+
+    d = template_similarity(windows, template, (), name="template_corr")
+    cat = F.when(F.col("template_corr") >= pristine, "pristine").when(F.col("template_corr") >= artifact, "ambiguous")
+    return d.withColumn("presort_category", cat.otherwise("likely_artifact")).orderBy(F.desc("template_corr"), "peak_id")
