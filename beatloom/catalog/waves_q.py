@@ -49,8 +49,8 @@ def _(spark, sf):
 
 
 SNAP = """ctx AS (SELECT vec_id AS peak_id, CAST(embedding AS DOUBLE[]) AS x, CAST(vec_id % 64 AS INT) AS c FROM embeddings),
-at AS (SELECT peak_id, x, greatest(0, c - 8) AS lo, list_transform(x[greatest(0, c - 8) + 1 : least(63, c + 8) + 1], lambda v: abs(v)) AS m FROM ctx),
-sp AS (SELECT peak_id, x, lo + list_position(m, list_max(m)) - 1 AS a FROM at)"""
+am AS (SELECT peak_id, x, greatest(0, c - 8) AS lo, list_transform(x[greatest(0, c - 8) + 1 : least(63, c + 8) + 1], lambda v: abs(v)) AS m FROM ctx),
+sp AS (SELECT peak_id, x, lo + list_position(m, list_max(m)) - 1 AS a FROM am)"""
 
 
 def contexts(spark, sf):
@@ -105,7 +105,7 @@ def _(spark, sf):
 
 
 GT = "gt AS (SELECT pos, avg(x) AS m FROM fx_wave_pos WHERE label = 'clean' AND NOT hard_filtered GROUP BY pos)"
-CLEAN = (F.col("label") == "clean") & ~F.col("hard_filtered")
+CLEAN = "label = 'clean' and not hard_filtered"
 
 
 def global_corr(spark, sf):

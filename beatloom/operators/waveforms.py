@@ -28,9 +28,9 @@ def sample_blocks(samples: DataFrame, reach: int, value: str = "ecg", s: Series
     A window then needs one block: samples are shuffled once, and beats never
     multiply into one row per sample.
     """
-    i = F.col(idx)
+    i = F.col("_i")
     lo, hi = F.floor((i - reach) / BLOCK), F.floor((i + reach) / BLOCK)
-    d = samples.select(*s.key, i.alias("_i"), F.col(value).alias("_v")).withColumn("_block", F.explode(F.sequence(lo, hi)))
+    d = samples.select(*s.key, F.col(idx).alias("_i"), F.col(value).alias("_v")).withColumn("_block", F.explode(F.sequence(lo, hi)))
     d = d.groupBy(*s.key, "_block").agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_a"))
     return d.select(*s.key, "_block", F.col("_a._i")[0].alias("_first"), F.col("_a._v").alias("_values"))
 
@@ -319,10 +319,9 @@ def resampled_windows(
     def run(key: tuple, b: pd.DataFrame, smp: pd.DataFrame) -> pd.DataFrame:
         smp = smp.sort_values(s.ts)
         t, v = smp[s.ts].to_numpy(float), smp[value].to_numpy(float)
-        rows = []
-        for ts in b[s.ts].to_numpy(float):
-            w = np.interp(ts + grid, t, v, left=0.0, right=0.0) if len(t) else np.zeros(length)
-            rows.append((filter_zero_phase(w, sos, 27) if sos is not None else w).tolist())
+        at = b[s.ts].to_numpy(float)[:, None] + grid
+        rows = np.interp(at, t, v, left=0.0, right=0.0) if len(t) else np.zeros(at.shape)
+        rows = list(filter_zero_phase(rows, sos, 27)) if sos is not None and len(rows) else list(rows)
         return pd.DataFrame({k: b[k].to_numpy() for k in (*SEG, s.tie)} | {"waveform": rows})
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in (*SEG, s.tie)), "waveform array<double>"])
