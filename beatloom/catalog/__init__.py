@@ -34,6 +34,8 @@ def load_all() -> None:
         evaluation_q,
         hrv_q,
         joins_q,
+        labels_q,
+        models_q,
         tables_q,
         waves_q,
     )

@@ -92,3 +92,10 @@ def rows_in_gaps(rows: DataFrame, gaps: DataFrame, s: Series = SERIES) -> DataFr
 def realised(rows: DataFrame, s: Series = SERIES) -> DataFrame:
     """First and last row time of each gap: the coverage to record."""
     return rows.groupBy(*s.key, "gap_ms").agg(F.min(s.ts).alias(S), F.max(s.ts).alias(E))
+
+
+def resume_after(windows: DataFrame, done: DataFrame, start: str, key: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """Windows that start after the last processed one of their key."""
+    last = done.groupBy(*key).agg(F.max(start).alias("_last"))
+    d = windows.join(last, list(key), "left")
+    return d.filter(F.col("_last").isNull() | (F.col(start) > F.col("_last"))).drop("_last")

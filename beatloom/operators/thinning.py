@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from beatloom.params import SERIES, Series
 from beatloom.plans.ordered import over_time
+from beatloom.session import materialise
 
 CHUNK_MS = 60_000
 
@@ -144,7 +145,8 @@ def greedy_clusters(
     d = over_time(distinct, tolerance_ms, tolerance_ms, build, s).withColumn(
         "_k", F.to_json(F.struct(*s.key))
     )
-    dense = d.filter(F.col("_prev") | F.col("_next"))
+    # the crowded events are few; written once, the chain below reads them often
+    dense = materialise(d.filter(F.col("_prev") | F.col("_next")))
     marks = anchors(dense.select("_k", F.col(s.ts).alias("_ts")), tolerance_ms)
     # an absorbed event lies at most one tolerance behind its anchor
     marked = dense.join(marks.withColumnRenamed("_ts", s.ts), ["_k", s.ts])
