@@ -267,7 +267,7 @@ def _(spark, sf):
     return windows.interpolate_gaps(hourly_spine(spark, sf), "v", HOURS).select("event_type", "hour_ms", *r6("v_filled"))
 
 
-@query("e28_rolling_week_mean", """, h AS (SELECT event_type, CAST(floor(epoch_ms(ts) / 3600000) AS BIGINT) * 3600000 AS hour_ms, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL)
+@query("e28_rolling_week_mean", """, h AS (SELECT event_type, CAST(floor((epoch_us(ts) // 1000) / 3600000) AS BIGINT) * 3600000 AS hour_ms, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL)
 SELECT event_type, hour_ms, round(avg(cents) OVER (PARTITION BY event_type ORDER BY hour_ms
   RANGE BETWEEN 604799999 PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM h""".replace(", h AS", "WITH h AS", 1))
 def _(spark, sf):

@@ -190,7 +190,7 @@ def _(spark, sf):
     return ag.hour_by_weekday(fx.events_ms(spark, sf), "ts_ms", "value").select("hour", *r6(*[d.lower() for d in ag.WEEKDAYS]))
 
 
-@query("d20_daily_mean", "SELECT event_type, CAST(epoch_ms(ts) // 86400000 * 86400000 AS BIGINT) AS step_ms, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
+@query("d20_daily_mean", "SELECT event_type, CAST((epoch_us(ts) // 1000) // 86400000 * 86400000 AS BIGINT) AS step_ms, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
 def _(spark, sf):
     return ag.resample(fx.events_ms(spark, sf), "ts_ms", 86_400_000, ["value"], ["event_type"]).withColumn("value", F.round("value", 6))
 

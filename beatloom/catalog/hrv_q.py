@@ -165,7 +165,7 @@ def _(spark, sf):
     return d.groupBy("event_type", "slice_ms").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("v"))
 
 
-@query("l17_weekly_slices", """, s AS (SELECT *, CAST(epoch_ms(date_trunc('week', make_timestamp_ms(hour_ms))::TIMESTAMP) AS BIGINT) AS slice_ms FROM fx_hourly),
+@query("l17_weekly_slices", """, s AS (SELECT *, CAST((epoch_us(date_trunc('week', make_timestamp_ms(hour_ms))::TIMESTAMP) // 1000) AS BIGINT) AS slice_ms FROM fx_hourly),
 z AS (SELECT event_type, slice_ms, (max(hour_ms) - min(hour_ms)) // 3600000 + 1 AS h FROM s GROUP BY ALL)
 SELECT event_type, slice_ms, count(*) AS n, round(avg(v), 6) AS v FROM s JOIN z USING (event_type, slice_ms) WHERE h >= 120 GROUP BY ALL""", "fx_hourly")
 def _(spark, sf):

@@ -64,7 +64,7 @@ def _(spark, sf):
         "event_id", F.hour(ts).alias("hour"), F.date_format(ts, "EEEE").alias("day"), F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd").alias("week"))
 
 
-@query("h8_local_to_utc", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE (epoch_ms(o_orderdate) // 1000 + 5 * 3600) * 1000 END AS ms FROM orders WHERE month(o_orderdate) IN (1, 2, 12)")
+@query("h8_local_to_utc", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE ((epoch_us(o_orderdate) // 1000) // 1000 + 5 * 3600) * 1000 END AS ms FROM orders WHERE month(o_orderdate) IN (1, 2, 12)")
 def _(spark, sf):
     o = fx.table(spark, sf, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp")).filter(F.month("ts").isin(1, 2, 12))
     t = F.when(F.col("o_orderstatus") == "P", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))

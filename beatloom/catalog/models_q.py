@@ -42,13 +42,13 @@ def device(spark, sf):
     k = F.col("event_id") % 3
     t = F.when(k == 0, F.col("ts_ms") * 1_000_000).when(k == 1, F.col("ts_ms")).otherwise(F.floor(F.col("ts_ms") / 1000))
     return e.select(
-        (F.col("user_id") % 16).alias("recording_id"), F.when(F.col("event_type") == "view", F.lit(0)).otherwise(t).cast("double").alias("time"),
+        (F.col("user_id") % 16).alias("recording_id"), F.when(F.col("event_type") == "view", F.lit(0)).otherwise(t).cast("long").alias("time"),
         F.when(F.col("event_type") == "click", F.col("value")).alias("ecg"), F.when(F.col("event_type") == "error", F.col("value")).alias("hr"),
         F.when(F.col("event_type") == "signup", F.col("value")).alias("rr"), F.when(F.col("event_type") == "purchase", F.col("props")).alias("marker"),
         F.col("event_id").alias("arrival"))
 
 
-DEV = """dv AS (SELECT user_id % 16 AS recording_id, event_id, event_type, value, props, CASE WHEN event_id % 3 = 2 THEN epoch_ms(ts) // 1000 * 1000 ELSE epoch_ms(ts) END AS timestamp_ms FROM events)"""
+DEV = """dv AS (SELECT user_id % 16 AS recording_id, event_id, event_type, value, props, CASE WHEN event_id % 3 = 2 THEN (epoch_us(ts) // 1000) // 1000 * 1000 ELSE (epoch_us(ts) // 1000) END AS timestamp_ms FROM events)"""
 
 
 @query("a9_device_split", f"""WITH {DEV} SELECT recording_id, timestamp_ms, 'ecg' AS kind, round(value * 1000, 6) AS v FROM (SELECT DISTINCT recording_id, timestamp_ms, value FROM dv WHERE event_type = 'click')
@@ -71,14 +71,14 @@ def _(spark, sf):
     return tables.repair_lines(d.select("doc_id", F.concat_ws(",", "lang", "source", "text").alias("value")), ["a", "b", "c"])
 
 
-@query("a11_epoch_units", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN epoch_ms(ts) // 1000 * 1000 ELSE epoch_ms(ts) END AS ms FROM events")
+@query("a11_epoch_units", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN (epoch_us(ts) // 1000) // 1000 * 1000 ELSE (epoch_us(ts) // 1000) END AS ms FROM events")
 def _(spark, sf):
     from beatloom.functions.timeparse import epoch_any_unit
 
     e = fx.events_ms(spark, sf)
     k = F.col("event_id") % 3
     raw = F.when(k == 0, F.col("ts_ms") * 1_000_000).when(k == 1, F.col("ts_ms")).otherwise(F.floor(F.col("ts_ms") / 1000))
-    return e.select("event_id", epoch_any_unit(raw.cast("double")).alias("ms"))
+    return e.select("event_id", epoch_any_unit(raw.cast("long")).alias("ms"))
 
 
 @query("a12_plausible_times", f"WITH {DEV} SELECT event_id, timestamp_ms FROM dv WHERE event_type <> 'view'")
@@ -102,7 +102,7 @@ def _(spark, sf):
     return tables.file_ranges(fx.beats(spark, sf), "recording_id")
 
 
-@query("a16_files_by_overlap", """, r AS (SELECT user_id, min(epoch_ms(ts)) AS a, max(epoch_ms(ts)) AS b FROM events GROUP BY 1)
+@query("a16_files_by_overlap", """, r AS (SELECT user_id, min((epoch_us(ts) // 1000)) AS a, max((epoch_us(ts) // 1000)) AS b FROM events GROUP BY 1)
 SELECT user_id, greatest(a, 1704153600000) AS from_ms, least(b, 1704326400000) AS to_ms, least(b, 1704326400000) - greatest(a, 1704153600000) AS duration_ms FROM r WHERE b >= 1704153600000 AND a < 1704326400000""".replace(", r AS", "WITH r AS", 1))
 def _(spark, sf):
     r = tables.file_ranges(fx.events_ms(spark, sf), "user_id", "ts_ms")

@@ -23,7 +23,7 @@ def wide(spark, sf):
 WIDE = "wd AS (SELECT l.*, q.quality_label, l.peak_id % 211 = 0 AS hard_filtered FROM fx_labels l LEFT JOIN fx_segq q USING (recording_id, segment_idx))"
 
 
-@query("b1_segment_bucket", """SELECT o_orderkey, CAST(floor((epoch_ms(o_orderdate) - 694224000000) / 60000) AS INT) AS segment_idx FROM orders""")
+@query("b1_segment_bucket", """SELECT o_orderkey, CAST(floor(((epoch_us(o_orderdate) // 1000) - 694224000000) / 60000) AS INT) AS segment_idx FROM orders""")
 def _(spark, sf):
     o = fx.table(spark, sf, "orders").withColumn("ms", F.unix_millis(F.col("o_orderdate").cast("timestamp")))
     return columns.segment_bucket(o, "ms", 694_224_000_000).select("o_orderkey", "segment_idx")
@@ -325,7 +325,7 @@ def _(spark, sf):
     return relational.latest(o, ["o_custkey"], ["o_orderkey"])
 
 
-@query("g8_last_session_wins", """, s AS (SELECT user_id % 16 AS recording_id, user_id, event_id, CASE WHEN event_type = 'view' THEN '__skip' ELSE event_type END AS label, CAST(epoch_ms(ts) // 86400000 AS BIGINT) AS session FROM events)
+@query("g8_last_session_wins", """, s AS (SELECT user_id % 16 AS recording_id, user_id, event_id, CASE WHEN event_type = 'view' THEN '__skip' ELSE event_type END AS label, CAST((epoch_us(ts) // 1000) // 86400000 AS BIGINT) AS session FROM events)
 SELECT user_id, arg_max(label, struct_pack(s := session, e := event_id)) AS label, max(session) AS session FROM s WHERE NOT starts_with(label, '__') GROUP BY user_id""".replace(", s AS", "WITH s AS", 1))
 def _(spark, sf):
     e = fx.events_ms(spark, sf).select(

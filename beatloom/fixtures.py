@@ -281,7 +281,7 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
         ("fx_waves",),
     ),
     "fx_hourly": (
-        """SELECT event_type, CAST(floor(epoch_ms(ts) / 3600000) AS BIGINT) * 3600000 AS hour_ms, avg(value) AS v
+        """SELECT event_type, CAST(floor((epoch_us(ts) // 1000) / 3600000) AS BIGINT) * 3600000 AS hour_ms, avg(value) AS v
            FROM events GROUP BY ALL""",
         (),
     ),

@@ -10,13 +10,18 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row. An expression used
+    inside a lambda would otherwise be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
 
-def centred(a: Column, m: Column | None = None) -> Column:
-    m = mean(a) if m is None else m
-    return F.transform(a, lambda x: x - m)
+def centred(a: Column) -> Column:
+    return let(mean(a), lambda m: F.transform(a, lambda x: x - m))
 
 
 def sum_squares(a: Column) -> Column:
@@ -40,10 +45,14 @@ def dot(a: Column, b: Column) -> Column:
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays; 0 when one is constant, missing, too short or
     of another length."""
-    x, y = centred(a), centred(b)
-    den = F.sqrt(sum_squares(x) * sum_squares(y))
-    ok = (F.size(a) == F.size(b)) & (F.size(a) >= 2) & (den > 1e-12)
-    return F.coalesce(F.when(ok, dot(x, y) / den), F.lit(0.0))
+
+    def scaled(x: Column, y: Column) -> Column:
+        den = F.sqrt(sum_squares(x) * sum_squares(y))
+        return let(den, lambda d: F.when(d > 1e-12, dot(x, y) / d))
+
+    r = let(centred(a), lambda x: let(centred(b), lambda y: scaled(x, y)))
+    ok = (F.size(a) == F.size(b)) & (F.size(a) >= 2)
+    return F.coalesce(F.when(ok, r), F.lit(0.0))
 
 
 def quantile(sorted_a: Column, p: float) -> Column:
@@ -56,8 +65,7 @@ def quantile(sorted_a: Column, p: float) -> Column:
 
 
 def zscore(a: Column, eps: float = 1e-8) -> Column:
-    m, s = mean(a), sd(a)
-    return F.transform(a, lambda x: (x - m) / (s + eps))
+    return let(mean(a), lambda m: let(sd(a), lambda s: F.transform(a, lambda x: (x - m) / (s + eps))))
 
 
 def euclid(a: Column, b: Column) -> Column:

@@ -162,7 +162,9 @@ def save_motifs(motifs: DataFrame, path: str) -> None:
 
 
 def fit_categories(df: DataFrame, features: Sequence[str], truth: str, depth: int = 6, min_leaf: int = 100, seed: int = 42) -> PipelineModel:
-    tree = DecisionTreeClassifier(labelCol=truth, maxDepth=depth, minInstancesPerNode=min_leaf, leafCol="leaf", seed=seed)
+    """Depth-limited tree on balanced classes; leaves of equal prediction merge."""
+    df = balanced_weights(df, truth)
+    tree = DecisionTreeClassifier(labelCol=truth, weightCol="weight", maxDepth=depth, minInstancesPerNode=min_leaf, leafCol="leaf", seed=seed)
     return Pipeline(stages=[_assemble(features), tree]).fit(df)
 
 

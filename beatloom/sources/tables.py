@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from beatloom.functions.timeparse import any_ms, epoch_any_unit
 from beatloom.operators import relational
@@ -77,7 +76,7 @@ def read_peak_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Every list is optional; mixed entries come as text.
-ANNOTATIONS = T.StructType.fromDDL(
+ANNOTATIONS = (
     "recording_id string, artifacts array<string>, validated_segments array<string>, bad_segments array<int>,"
     "flagged_poor_quality_segments array<string>, flagged_for_interpolation array<string>, interpolate_peaks array<string>,"
     "manually_added_missed_peaks array<string>, added_r_peaks array<string>,"
@@ -123,7 +122,7 @@ def device_tables(raw: DataFrame, time: str = "time", min_abs: float = 1e8, max_
     The four results share the scan; each keeps what its rule says: first (ECG)
     or last (others) of equal keys.
     """
-    d = raw.withColumn("_t", F.col(time).cast("double")).filter(F.abs("_t") >= min_abs)
+    d = raw.withColumn("_t", F.col(time)).filter(F.abs("_t") >= min_abs)
     d = d.withColumn("timestamp_ms", epoch_any_unit(F.col("_t"))).filter(F.col("timestamp_ms").between(0, max_ms))
     k = [c for c in ("recording_id",) if c in raw.columns]
 
