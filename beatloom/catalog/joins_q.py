@@ -150,7 +150,7 @@ def _(spark, sf):
 
 # The request of a recording runs from 20 s after its first beat to 20 s before
 # its last one, with ends reversed for odd recordings.
-REQ = """rq AS (SELECT recording_id, min(timestamp_ms) + 20000 AS a, max(timestamp_ms) - 20000 AS b FROM fx_beats GROUP BY recording_id),
+REQ = """rq AS (SELECT recording_id, least(min(timestamp_ms) + 20000, max(timestamp_ms) - 20000) AS a, greatest(min(timestamp_ms) + 20000, max(timestamp_ms) - 20000) AS b FROM fx_beats GROUP BY recording_id),
 cl AS (SELECT recording_id, greatest(start_ms, a) AS start_ms, least(end_ms, b) AS end_ms FROM fx_intervals JOIN rq USING (recording_id) WHERE end_ms >= a AND start_ms <= b)"""
 GAPS = f"""{REQ}, {merged_sql('cl', 1, 'm')},
 gp AS (SELECT recording_id, coalesce(lag(end_ms) OVER (PARTITION BY recording_id ORDER BY start_ms) + 1, a) AS start_ms, start_ms - 1 AS end_ms

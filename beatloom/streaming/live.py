@@ -37,11 +37,10 @@ def live_sessions(df: DataFrame, gap_ms: int = 10_000, key: Sequence[str] = ("re
                   delay: str = "1 minute") -> DataFrame:
     """Sessions that a silence of more than ``gap_ms`` ends.
 
-    A session window closes at a silence of its gap or more, hence one ms on top.
-    For stored recordings use ``windows.sessions``, which spreads one recording
+    A silence of exactly the gap still belongs to the session. For stored recordings use ``windows.sessions``, which spreads one recording
     over many tasks; this form keeps one open session per recording as state.
     """
-    w = F.session_window("event_time", f"{gap_ms + 1} milliseconds")
+    w = F.session_window("event_time", f"{gap_ms} milliseconds")
     g = _timed(df, ts_ms, delay).groupBy(*key, w).agg(
         F.count(F.lit(1)).alias("n_beats"), F.min(ts_ms).alias("first_ms"), F.max(ts_ms).alias("last_ms")
     )
