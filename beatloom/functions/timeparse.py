@@ -33,7 +33,7 @@ def epoch_any_unit(x: Column) -> Column:
     """ns, ms or s to ms by magnitude: above 1e15 ns, below 1e12 s, else ms.
     Whole numbers stay exact: ns do not fit a double."""
     whole = F.floor(x).cast("long")
-    ns = ((whole - F.pmod(whole, F.lit(1_000_000))) / 1_000_000).cast("long")
+    ns = F.floor(whole.cast("decimal(20,0)") / F.lit(1_000_000)).cast("long")
     return F.when(x > 1e15, ns).when(x < 1e12, F.floor(x * 1000).cast("long")).otherwise(whole)
 
 

@@ -213,8 +213,10 @@ def detect_peaks(
 def detect_ensemble(samples: DataFrame, s: Series = SERIES, p: Params = DEFAULTS, **options) -> DataFrame:
     """Union of both detectors with the merge tolerance, then the refractory rule."""
     e = Series(key=s.key, ts=s.ts, tie="source", bucket_ms=s.bucket_ms)
-    a, b = (detect_peaks(samples, m, s=s, **options) for m in DETECTORS)
-    return thinning.refractory(thinning.union_detections(a, b, p.merge_tolerance_ms, e), p.refractory_ms, e)
+    # peaks are few beside samples: written once, so no detector runs twice
+    a, b = (materialise(detect_peaks(samples, m, s=s, **options)) for m in DETECTORS)
+    merged = materialise(thinning.union_detections(a, b, p.merge_tolerance_ms, e))
+    return thinning.refractory(merged, p.refractory_ms, e)
 
 
 # ---- change points ----------------------------------------------------------

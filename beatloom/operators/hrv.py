@@ -20,6 +20,7 @@ from beatloom.functions import complexity
 from beatloom.functions.signal import detrend_linear, welch
 from beatloom.params import ENTROPY_TIMEFRAMES, SERIES, TIMEFRAME_MIN_BEATS, TIMEFRAME_MS, Series
 from beatloom.plans.ordered import over_rows
+from beatloom.session import materialise
 
 RR = Series(tie="timestamp_ms", idx="rr_idx")
 KEY = ["recording_id", "timeframe", "window_start_ms"]
@@ -184,7 +185,7 @@ def order_statistics(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFra
 def geometric(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     """Triangular index and width on automatic bins (the finer of the Sturges
     and Freedman-Diaconis widths), and the share of the fullest 50 ms bin."""
-    h = _histogram(rr, frames, anchor, s)
+    h = materialise(_histogram(rr, frames, anchor, s))
     q = h.groupBy(*KEY).agg(
         F.sum("_n").alias("_size"), F.min("rr_ms").alias("_lo"), F.max("rr_ms").alias("_hi"),
         F.percentile("rr_ms", F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("_q"),
@@ -290,15 +291,16 @@ def _halves(rr: np.ndarray) -> dict[str, float]:
 
 def _per_window(rr: DataFrame, frames: Frames, anchor: DataFrame | None, names: Sequence[str], fn, s: Series) -> DataFrame:
     """Apply ``fn(values, timeframe) -> dict`` to each window with enough beats."""
-    w = to_windows(rr, frames, anchor, s)
-    keep = window_counts(rr, frames, anchor, s).select(*KEY)
-    d = w.join(keep, KEY, "left_semi").select(*KEY, s.ts, "rr_ms")
+    d = to_windows(rr, frames, anchor, s).select(*KEY, s.ts, "rr_ms")
     types = {f.name: f.dataType.simpleString() for f in d.schema}
     schema = ", ".join([*(f"{k} {types[k]}" for k in KEY), *(f"{n} double" for n in names)])
+    least = {k: n for k, (_, n) in frames.items()}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(s.ts)["rr_ms"].to_numpy()
-        vals = fn(x, pdf["timeframe"].iloc[0])
+        tf = pdf["timeframe"].iloc[0]
+        if len(pdf) < least[tf]:
+            return pdf[KEY].iloc[:0].assign(**{n: np.zeros(0) for n in names})
+        vals = fn(pdf.sort_values(s.ts)["rr_ms"].to_numpy(), tf)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in KEY}, **{n: [vals[n]] for n in names}})
 
     out = d.groupBy(*KEY).applyInPandas(run, schema)
@@ -345,6 +347,8 @@ def hrv_metrics(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame |
     """All metrics of every window; those a timeframe does not support are null."""
     from beatloom.params import metrics_for
 
+    # six families of metrics read the intervals: written once
+    rr = materialise(rr)
     anchor = anchors(rr, s) if anchor is None else anchor
     out = order_statistics(rr, frames, anchor, s).drop("count")
     parts = [

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from beatloom.operators.temporal import _stack
 from beatloom.params import SERIES, Series
 from beatloom.plans.ordered import running
+from beatloom.session import materialise
 
 S, E = "start_ms", "end_ms"
 
@@ -20,7 +21,9 @@ def merge(df: DataFrame, adjacency_ms: int = 0, s: Series = SERIES) -> DataFrame
     """Union of the intervals; those no further apart than ``adjacency_ms`` join."""
     iv = _series(s)
     at = {"position": F.col(S), "width": iv.bucket_ms, "order": (S, E)}
-    d = df.select(*s.key, S, E)
+    # two running maxima read the intervals four times: written once, whatever
+    # plan they come from
+    d = materialise(df.select(*s.key, S, E))
     d = running(d, {"_reach": ("max", F.col(E))}, iv, exclusive=True, **at)
     opens = F.col("_reach").isNull() | (F.col(S) > F.col("_reach") + adjacency_ms)
     # the latest opening start is the name of the island

@@ -11,6 +11,7 @@ from beatloom.functions.timeparse import any_ms, iso_ms, segment_number
 from beatloom.operators import relational, temporal, thinning
 from beatloom.params import DEFAULTS, SERIES, Params, Series
 from beatloom.plans.ordered import row_index
+from beatloom.session import materialise
 
 SEG = ("recording_id", "segment_idx")
 
@@ -37,6 +38,8 @@ def build_peaks(
         }
     ).withColumn("priority", F.when(F.col("origin") == "csv", 1).otherwise(0))
     kept = thinning.greedy_clusters(parts, p.dedup_tolerance_ms, ["priority"], s).drop("priority", "origin")
+    # numbering reads the peaks twice
+    kept = materialise(kept)
     kept = row_index(kept, s, "peak_id").join(starts, list(s.key))
     return kept.withColumn(
         "segment_idx", F.floor((F.col(s.ts) - F.col("start_ms")) / p.segment_ms).cast("int")
@@ -57,6 +60,8 @@ def build_labels(
     d = temporal.match_within(peaks, artifacts, tol, "ref_ms", s, "_art")
     d = temporal.match_within(d, interpolated, tol, "ref_ms", s, "_int")
     d = temporal.match_within(d, added, tol, "ref_ms", s, "_add")
+    # the containment tests below read their points more than once
+    d = materialise(d)
     d = temporal.in_intervals(d, events, s=s, name="phys_event_window")
     d = temporal.in_scoped_ranges(d, regions, s=s, name="in_bad_region")
     ok = validated.select(*group).distinct().withColumn("reviewed", F.lit(True))

@@ -11,8 +11,6 @@ anchor, and then all chunks run on their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -104,14 +102,9 @@ def anchors(times: DataFrame, tolerance_ms: int) -> DataFrame:
     part = part.withColumn("_opens", (~F.coalesce(linked, F.lit(False))).cast("long")).withColumn(
         "_chain", F.sum("_opens").over(w)
     )
-    alone = F.count(F.lit(1)).over(Window.partitionBy("_k", "_chain")) == 1
-    part = part.withColumn("_alone", alone)
-    chained = (
-        part.filter(~F.col("_alone"))
-        .groupBy("_k", "_chain")
-        .applyInPandas(_compose(tolerance_ms), "_k string, _chunk long, _entry long")
+    entries = part.groupBy("_k", "_chain").applyInPandas(
+        _compose(tolerance_ms), "_k string, _chunk long, _entry long"
     )
-    entries = part.filter("_alone").select("_k", "_chunk", F.col("_first").alias("_entry")).unionByName(chained)
     return (
         d.join(entries, ["_k", "_chunk"])
         .groupBy("_k", "_chunk")

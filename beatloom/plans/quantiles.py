@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from beatloom.params import Series
 from beatloom.plans.ordered import running
+from beatloom.session import materialise
 
 _BUCKETS = 4096
 
@@ -31,6 +32,8 @@ def exact_quantiles(
         .groupBy(*group, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # the counts are read by the size, the bucket totals and the ranking
+    counts = materialise(counts)
     size = counts.groupBy(*group).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_size")
     )
