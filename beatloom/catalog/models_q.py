@@ -318,3 +318,40 @@ def _(spark, sf):
     b = fx.beats(spark, sf)
     done = b.filter("event_type = 'purchase' and value > 200").select("recording_id", w)
     return intervals.resume_after(b.groupBy("recording_id", w).agg(F.count(F.lit(1)).alias("n")), done, "window_start_ms")
+
+
+# ---- round trips: written to the shared folder, read by the source operator ----
+
+
+def _fresh(spark) -> str:
+    import uuid
+
+    from beatloom.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@query("a1_scan_signal_csv", "SELECT timestamp_ms, ecg * 1000 AS ecg FROM fx_samples", "fx_samples")
+def _(spark, sf):
+    path = _fresh(spark)
+    fx.samples(spark, sf).select(F.col("timestamp_ms").alias("DateTime"), F.col("ecg").alias("ECG")).write.csv(path, header=True)
+    return tables.read_signal_csv(spark, path).select("timestamp_ms", "ecg")
+
+
+@query("a4_scan_peak_csv", "SELECT timestamp_ms, CASE WHEN event_type = 'click' THEN 'added' ELSE 'detected' END AS source, event_type = 'click' AS is_added_peak FROM fx_beats", "fx_beats")
+def _(spark, sf):
+    path = _fresh(spark)
+    added = F.col("event_type") == "click"
+    fx.beats(spark, sf).select(
+        F.col("timestamp_ms").alias("peak_id"), F.when(added, "added").otherwise("detected").alias("source"), added.alias("is_added_peak")
+    ).write.csv(path, header=True)
+    return tables.read_peak_csv(spark, path).select("timestamp_ms", "source", "is_added_peak")
+
+
+@query("a7_write_table", "SELECT recording_id, segment_idx, count(*) AS n, min(timestamp_ms) AS first_ms FROM fx_beats GROUP BY ALL", "fx_beats")
+def _(spark, sf):
+    path = _fresh(spark)
+    tables.write_table(fx.beats(spark, sf), path)
+    back = spark.read.parquet(path)
+    out = back.groupBy("recording_id", "segment_idx").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ms").alias("first_ms"))
+    return out.withColumn("recording_id", F.col("recording_id").cast("bigint"))
