@@ -8,7 +8,7 @@ from beatloom import fixtures as fx
 from beatloom.catalog import query
 from beatloom.operators import constraints, windows
 from beatloom.params import Series
-from beatloom.plans.ordered import over_rows, over_time, row_index
+from beatloom.plans.ordered import over_rows, row_index
 
 W = "WINDOW w AS (PARTITION BY recording_id ORDER BY timestamp_ms, peak_id)"
 

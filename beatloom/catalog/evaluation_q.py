@@ -44,9 +44,9 @@ def _(spark, sf):
     return ag.column_medians(rr, ["rr_prev_ms", "rr_next_ms", "none"])
 
 
-TPL = """own AS (SELECT segment_idx, pos, avg(x) AS m, count(*) AS n FROM fx_wave_pos WHERE label = 'clean' AND NOT hard_filtered AND peak_id % 3 <> 0 GROUP BY ALL),
+TPL = """own AS (SELECT segment_idx, pos, avg(x) AS m, count(*) AS n FROM fx_wave_pos WHERE label = 'clean' AND NOT hard_filtered GROUP BY ALL),
 ol AS (SELECT segment_idx, max(n) AS n, list(m ORDER BY pos) AS t FROM own GROUP BY segment_idx),
-al AS (SELECT list(m ORDER BY pos) AS t FROM (SELECT pos, avg(x) AS m FROM fx_wave_pos WHERE label = 'clean' AND NOT hard_filtered AND peak_id % 3 <> 0 GROUP BY pos))"""
+al AS (SELECT list(m ORDER BY pos) AS t FROM (SELECT pos, avg(x) AS m FROM fx_wave_pos WHERE label = 'clean' AND NOT hard_filtered GROUP BY pos))"""
 
 
 def round_array(name: str, digits: int = 6):
@@ -54,13 +54,13 @@ def round_array(name: str, digits: int = 6):
 
 
 def clean_wave():
-    return (F.col("label") == "clean") & ~F.col("hard_filtered") & (F.col("peak_id") % 3 != 0)
+    return (F.col("label") == "clean") & ~F.col("hard_filtered")
 
 
-@query("d5_segment_templates", f""", {TPL} SELECT g.segment_idx, coalesce(n, 0) AS n_beats, list_transform(CASE WHEN coalesce(n, 0) >= 12 THEN ol.t ELSE al.t END, lambda x: round(x, 6) + 0.0) AS template
+@query("d5_segment_templates", f""", {TPL} SELECT g.segment_idx, coalesce(n, 0) AS n_beats, list_transform(CASE WHEN coalesce(n, 0) >= 16 THEN ol.t ELSE al.t END, lambda x: round(x, 6) + 0.0) AS template
 FROM (SELECT DISTINCT segment_idx FROM fx_waves) g LEFT JOIN ol USING (segment_idx) CROSS JOIN al""", "fx_wave_pos")
 def _(spark, sf):
-    t = ag.mean_template(fx.waveforms(spark, sf), ["segment_idx"], clean_wave(), min_beats=12)
+    t = ag.mean_template(fx.waveforms(spark, sf), ["segment_idx"], clean_wave(), min_beats=16)
     return t.select("segment_idx", "n_beats", round_array("template"))
 
 
@@ -363,12 +363,13 @@ def _(spark, sf):
     return evaluation.prevalence(fx.scores(spark, sf), "p_tab", 0.7).withColumn("prevalence", F.round("prevalence", 6))
 
 
-@query("n9_reviewed_with_segment_features", f""", {SEG_RR}, f AS (SELECT recording_id, segment_idx, CASE WHEN n > 20 THEN rr_max END AS rr_max FROM sr WHERE (recording_id + segment_idx) % 5 <> 0),
+@query("n9_reviewed_with_segment_features", f""", {SEG_RR}, f AS (SELECT recording_id, segment_idx, CASE WHEN n > 20 THEN rr_max END AS rr_max FROM sr JOIN fx_segq USING (recording_id, segment_idx) WHERE quality_label <> 'bad'),
 s AS (SELECT recording_id, segment_idx, row_number() OVER (PARTITION BY recording_id ORDER BY segment_idx) - 1 AS r, count(*) OVER (PARTITION BY recording_id) AS n FROM (SELECT DISTINCT recording_id, segment_idx FROM fx_labels WHERE reviewed)),
 j AS (SELECT l.peak_id, r < greatest(1, floor(s.n * 800 / 1000)) AS is_train, f.rr_max FROM fx_labels l JOIN s USING (recording_id, segment_idx) LEFT JOIN f USING (recording_id, segment_idx) WHERE reviewed),
-m AS (SELECT quantile_cont(rr_max, 0.5) AS m FROM j WHERE is_train) SELECT peak_id, is_train, coalesce(CAST(rr_max AS DOUBLE), m) AS rr_max FROM j, m""", "fx_rr", "fx_labels")
+m AS (SELECT quantile_cont(rr_max, 0.5) AS m FROM j WHERE is_train) SELECT peak_id, is_train, coalesce(CAST(rr_max AS DOUBLE), m) AS rr_max FROM j, m""", "fx_rr", "fx_labels", "fx_segq")
 def _(spark, sf):
-    seg = seg_rr(spark, sf).filter((F.col("recording_id") + F.col("segment_idx")) % 5 != 0)
+    good = fx.segment_quality(spark, sf).filter("quality_label <> 'bad'")
+    seg = seg_rr(spark, sf).join(good, ON)
     seg = seg.select(*ON, F.when(F.col("n") > 20, F.col("rr_max")).alias("rr_max"))
     d = windows.temporal_split(fx.labels(spark, sf).filter("reviewed"), ON).join(seg, ON, "left")
     med = ag.column_medians(d.filter("is_train"), ["rr_max"]).withColumnRenamed("rr_max", "_m")
@@ -419,13 +420,13 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 6).alias("mean_score"), F.round(F.max("c"), 6).alias("max_score"))
 
 
-UPD = """lb AS (SELECT *, CAST(segment_idx % 2 AS INT) AS al_iteration FROM fx_labels), rs AS (SELECT ref_id AS peak_id FROM fx_refs WHERE ref_ms % 2 = 0),
+UPD = """lb AS (SELECT *, CAST(segment_idx % 2 AS INT) AS al_iteration FROM fx_labels), rs AS (SELECT ref_id AS peak_id FROM fx_refs),
 up AS (SELECT peak_id, CASE WHEN rs.peak_id IS NOT NULL THEN 'clean' ELSE label END AS label, reviewed OR rs.peak_id IS NOT NULL AS reviewed, CASE WHEN rs.peak_id IS NOT NULL THEN 7 ELSE al_iteration END AS al_iteration FROM lb LEFT JOIN rs USING (peak_id))"""
 
 
 def updated(spark, sf):
     lab = fx.labels(spark, sf).withColumn("al_iteration", (F.col("segment_idx") % 2).cast("int"))
-    res = fx.refs(spark, sf).filter("ref_ms % 2 = 0").select(F.col("ref_id").alias("peak_id"), F.lit("clean").alias("label"))
+    res = fx.refs(spark, sf).select(F.col("ref_id").alias("peak_id"), F.lit("clean").alias("label"))
     return learning.record_labels(lab, res, 7)
 
 

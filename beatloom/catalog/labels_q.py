@@ -10,7 +10,6 @@ from beatloom.catalog.beats_q import r6
 from beatloom.catalog.joins_q import REG, greedy_sql, regions
 from beatloom.functions import timeparse as tp
 from beatloom.operators import aggregates, events, labelling, windows
-from beatloom.params import Series
 
 # Times as text in several shapes; the two engines spell them independently.
 TEXT = """tx AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '999Z' WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '+00:00'
@@ -198,13 +197,13 @@ def _(spark, sf):
     return built_labels(spark, sf).drop("recording_id")
 
 
-@query("i3_build_segments", """, st AS (SELECT recording_id, segment_idx, count(*) AS n, count(*) FILTER (label = 'artifact') AS a, count(*) FILTER (label = 'clean') AS c FROM fx_labels WHERE label <> 'artifact' OR segment_idx % 2 = 0 GROUP BY ALL),
+@query("i3_build_segments", """, st AS (SELECT recording_id, segment_idx, count(*) AS n, count(*) FILTER (label = 'artifact') AS a, count(*) FILTER (label = 'clean') AS c FROM fx_labels WHERE label <> 'artifact' OR in_bad_region GROUP BY ALL),
 rg AS (SELECT recording_id, segment_idx, min(timestamp_ms) AS start_timestamp_ms, max(timestamp_ms) AS end_timestamp_ms FROM fx_samples GROUP BY ALL)
 SELECT recording_id, segment_idx, start_timestamp_ms, end_timestamp_ms, CASE WHEN quality_label = 'bad' OR coalesce(a / n, 0) > 0.5 THEN 'bad' WHEN a > 0 THEN 'noisy_ok'
   WHEN quality_label = 'clean' THEN CASE WHEN coalesce(c, 0) >= 10 THEN 'clean' ELSE 'noisy_ok' END ELSE 'unknown' END AS quality_label
 FROM rg LEFT JOIN st USING (recording_id, segment_idx) LEFT JOIN fx_segq USING (recording_id, segment_idx)""", "fx_labels", "fx_samples", "fx_segq")
 def _(spark, sf):
-    lab = fx.labels(spark, sf).filter("label <> 'artifact' or segment_idx % 2 = 0")
+    lab = fx.labels(spark, sf).filter("label <> 'artifact' or in_bad_region")
     q = fx.segment_quality(spark, sf)
     return aggregates.build_segments(
         aggregates.segment_ranges(fx.samples(spark, sf)), aggregates.segment_beat_stats(lab),
@@ -214,9 +213,9 @@ def _(spark, sf):
 CONS = f"""{REG}, sp AS (SELECT recording_id, segment_idx + 100 AS ann_idx, min(timestamp_ms) AS a, max(timestamp_ms) AS e FROM fx_beats GROUP BY recording_id, segment_idx),
 im AS (SELECT recording_id, ref_id AS item_id, ref_ms AS ts, 'artifacts' AS list_name FROM fx_refs UNION ALL SELECT recording_id, peak_id, timestamp_ms + 7, 'events' FROM fx_beats WHERE event_type = 'signup'),
 lk AS (SELECT im.*, CASE WHEN ts <= e THEN ann_idx END AS ann_idx FROM im ASOF LEFT JOIN sp ON sp.recording_id = im.recording_id AND im.ts >= sp.a),
-rs AS (SELECT lk.*, CASE WHEN q.quality_label IS NULL OR (q.segment_idx % 7 = 6) THEN 'not_validated' WHEN q.quality_label = 'bad' THEN 'in_bad_seg' WHEN q.quality_label = 'noisy_ok' THEN 'in_revisit'
+rs AS (SELECT lk.*, CASE WHEN q.quality_label IS NULL OR z.n < 90 THEN 'not_validated' WHEN q.quality_label = 'bad' THEN 'in_bad_seg' WHEN q.quality_label = 'noisy_ok' THEN 'in_revisit'
   WHEN list_name = 'artifacts' AND EXISTS (SELECT 1 FROM rg i WHERE i.recording_id = lk.recording_id AND abs(i.segment_idx - floor((lk.ts - 1704067200000) / 60000)) <= 1 AND lk.ts BETWEEN i.start_ms AND i.end_ms) THEN 'in_bad_region' ELSE 'keep' END AS reason
-  FROM lk LEFT JOIN fx_segq q ON q.recording_id = lk.recording_id AND q.segment_idx + 100 = lk.ann_idx)"""
+  FROM lk LEFT JOIN (SELECT recording_id, segment_idx, count(*) AS n FROM fx_beats GROUP BY ALL) z ON z.recording_id = lk.recording_id AND z.segment_idx + 100 = lk.ann_idx LEFT JOIN fx_segq q ON q.recording_id = lk.recording_id AND q.segment_idx + 100 = lk.ann_idx)"""
 
 
 def consolidated(spark, sf):
@@ -225,9 +224,9 @@ def consolidated(spark, sf):
     items = items.unionByName(b.filter("event_type = 'signup'").select("recording_id", F.col("peak_id").alias("item_id"), (F.col("timestamp_ms") + 7).alias("timestamp_ms"), F.lit("events").alias("list_name")))
     items = items.withColumn("segment_idx", fx.segment_of(F.col("timestamp_ms")))
     q = fx.segment_quality(spark, sf).withColumn("ann_idx", F.col("segment_idx") + 100)
-    spans = b.groupBy("recording_id", (F.col("segment_idx") + 100).alias("ann_idx")).agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"))
+    spans = b.groupBy("recording_id", (F.col("segment_idx") + 100).alias("ann_idx")).agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"), F.count(F.lit(1)).alias("n"))
     return labelling.consolidate(
-        items, spans, q.filter("segment_idx % 7 <> 6"), q.filter("quality_label = 'bad'"), q.filter("quality_label = 'noisy_ok'"), regions(spark, sf))
+        items, spans, spans.filter("n >= 90"), q.filter("quality_label = 'bad'"), q.filter("quality_label = 'noisy_ok'"), regions(spark, sf))
 
 
 @query("i18_consolidation", f", {CONS} SELECT list_name, item_id, reason FROM rs", "fx_refs", "fx_intervals", "fx_segq")

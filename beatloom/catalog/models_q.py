@@ -8,8 +8,8 @@ from beatloom import fixtures as fx
 from beatloom.catalog import query
 from beatloom.catalog.beats_q import r6
 from beatloom.catalog.hrv_q import rr
-from beatloom.catalog.joins_q import GAPS, context, requests
-from beatloom.operators import aggregates, columns, constraints, evaluation, intervals, models, waveforms, windows
+from beatloom.catalog.joins_q import context
+from beatloom.operators import aggregates, intervals, models, waveforms, windows
 from beatloom.sources import tables
 from beatloom.streaming import live
 

@@ -8,7 +8,6 @@ from beatloom import fixtures as fx
 from beatloom.catalog import query
 from beatloom.catalog.beats_q import SOFT, r6
 from beatloom.operators import columns, constraints, relational, scores
-from beatloom.params import METRIC_RANGES
 
 ON = ["recording_id", "segment_idx"]
 CODES = {"clean": 0, "noisy_ok": 1, "bad": 2}

@@ -9,7 +9,7 @@ from beatloom.catalog import query
 from beatloom.catalog.beats_q import r6
 from beatloom.catalog.evaluation_q import round_array
 from beatloom.functions import arrays as A
-from beatloom.operators import aggregates, constraints, relational, temporal, waveforms, windows
+from beatloom.operators import aggregates, constraints, waveforms, windows
 from beatloom.params import Series
 
 REFS = Series(ts="timestamp_ms", tie="ref_id")
@@ -196,7 +196,7 @@ def _(spark, sf):
     return out.select("segment_idx", (F.round("sqi_qrs", 6) + 0.0).alias("sqi_qrs"))
 
 
-SH = """ok AS (SELECT r.recording_id, r.segment_idx, rr_prev_ms AS x, rr_prev_ms - lag(rr_prev_ms) OVER (PARTITION BY r.recording_id, r.segment_idx ORDER BY timestamp_ms, peak_id) AS d FROM fx_rr r WHERE rr_prev_ms IS NOT NULL AND peak_id % 211 <> 0),
+SH = """ok AS (SELECT r.recording_id, r.segment_idx, rr_prev_ms AS x, rr_prev_ms - lag(rr_prev_ms) OVER (PARTITION BY r.recording_id, r.segment_idx ORDER BY timestamp_ms, peak_id) AS d FROM fx_rr r WHERE rr_prev_ms IS NOT NULL AND value >= 1),
 sh AS (SELECT recording_id, segment_idx, CAST(count(*) AS INT) AS beat_count, avg(x) AS mean_nn, stddev_samp(x) AS sd_nn, sqrt(avg(d * d)) AS rmssd, count(*) FILTER (abs(d) > 50) / count(d) AS pnn50_fraction,
   quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr_nn, count(*) FILTER (abs(d) > 200) / count(d) AS rr_roughness_200 FROM ok GROUP BY ALL)"""
 SHC = ["mean_nn", "sd_nn", "rmssd", "pnn50_fraction", "iqr_nn"]
@@ -204,7 +204,7 @@ SHC = ["mean_nn", "sd_nn", "rmssd", "pnn50_fraction", "iqr_nn"]
 
 def seg_beats(spark, sf):
     rr = windows.rr_intervals(fx.beats(spark, sf))
-    return rr.withColumn("hard_filtered", F.col("peak_id") % 211 == 0)
+    return rr.withColumn("hard_filtered", F.col("value") < 1)
 
 
 @query("k11_segment_hrv", f", {SH} SELECT recording_id, segment_idx, beat_count, " + ", ".join(f"CASE WHEN beat_count >= 5 THEN round({c}, 6) END AS {c}" for c in SHC) + ", CASE WHEN beat_count >= 2 THEN round(rr_roughness_200, 6) END AS rr_roughness_200 FROM sh", "fx_rr")
@@ -231,7 +231,8 @@ SELECT recording_id, segment_idx, coalesce(beat_count, 0) AS beat_count, CASE WH
   round(q, 6) AS segment_qrs_density, ecg_median, ecg_iqr FROM am FULL JOIN sh USING (recording_id, segment_idx) FULL JOIN de USING (recording_id, segment_idx)""", "fx_rr", "fx_samples")
 def _(spark, sf):
     smp = fx.samples(spark, sf)
-    soft = constraints.soft_features(fx.labels(spark, sf)).withColumn("hard_filtered", F.col("peak_id") % 211 == 0)
+    soft = constraints.soft_features(fx.labels(spark, sf)).join(fx.beats(spark, sf).select("peak_id", "value"), "peak_id")
+    soft = soft.withColumn("hard_filtered", F.col("value") < 1)
     beats = waveforms.extract_windows(soft, smp)
     out = waveforms.segment_matrix(beats, smp)
     return out.select("recording_id", "segment_idx", "beat_count", *r6("mean_nn", "rmssd", "segment_qrs_density"), "ecg_median", "ecg_iqr")

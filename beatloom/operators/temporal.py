@@ -212,7 +212,7 @@ def context_windows(
     0-based index of the nearest one (first on ties).
 
     The output size is candidates times window length; candidates are few (a
-    review queue), samples are pruned to their segments by a semi join first.
+    review queue) and meet only the samples of their own segment, a minute.
     """
     key = [*s.key, scope]
     c = candidates.select(*key, s.tie, F.col(s.ts).alias("_c"))
