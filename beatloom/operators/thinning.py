@@ -20,7 +20,7 @@ from beatloom.params import SERIES, Series
 from beatloom.plans.ordered import over_time
 from beatloom.session import materialise
 
-CHUNK_MS = 60_000
+CHUNK_MS = 600_000
 
 
 def _next_open(ts: np.ndarray, tolerance: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def _mark(tolerance: int):
 def anchors(times: DataFrame, tolerance_ms: int) -> DataFrame:
     """``times`` has distinct (_k, _ts); adds the boolean ``_anchor``.
 
-    A chunk of one minute holds at most 60 000 distinct ms, and a chain row at
+    A chunk of ten minutes holds at most 600 000 distinct ms, and a chain row at
     most tolerance + 2 pairs.
     """
     d = times.withColumn("_chunk", F.floor(F.col("_ts") / CHUNK_MS))
