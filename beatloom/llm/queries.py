@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beatloom.llm import quality, secrets, token_counts
+from beatloom.llm import decontam, quality, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_rules", quality.QUALITY_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir))
+
+
+@query("op7_benchmark_decontamination", decontam.CONTAMINATION_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_report(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
