@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beatloom.llm import decontam, quality, secrets, token_counts
+from beatloom.llm import decontam, near_dup, quality, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +55,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_benchmark_decontamination", decontam.CONTAMINATION_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir), k=2)
