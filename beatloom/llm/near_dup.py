@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatloom.llm.text import blobs, keyed, map_batches, schema_of
+from beatloom.llm.text import blobs, keyed, map_batches, schema_of, sift
 from beatloom.session import materialise
 
 _M64 = (1 << 64) - 1
@@ -179,8 +179,7 @@ def near_duplicates(
     mine = mine.filter(F.size("own") >= matches)
     prefix = materialise(mine.select("id", F.explode(F.slice("own", F.lit(1), F.size("own") - (matches - 1))).alias("x")).select("id", "x.cv"))
 
-    near = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(prefix.select("id").distinct(), "id", "left_semi")
-    sets = materialise(shingle_sets(near, "id", "text", k))
+    sets = materialise(shingle_sets(sift(d, prefix, "id"), "id", "text", k))
 
     links, label = None, None
     tested = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beatloom.llm import decontam, near_dup, quality, secrets, token_counts
+from beatloom.llm import decontam, near_dup, quality, secrets, suffix, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_duplicates")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir), k=2)
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir))
