@@ -157,9 +157,12 @@ def span_list(spans: Column | str, *kinds: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def n_of(spans: Column | str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def secret_report(docs: DataFrame) -> DataFrame:
     """Digest per document: counts and checksum of the base kinds, all spans."""
     base = [r.kind for r in BASE_RULES]
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
     d = find_secrets(docs)
-    return d.select("doc_id", *count, F.sha2(span_list("spans", *base), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+    return d.select("doc_id", *[n_of("spans", k).alias(f"n_{k}") for k in base], F.sha2(span_list("spans", *base), 256).alias("base_sha256"), span_list("spans").alias("spans"))
