@@ -7,7 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beatloom.llm import decontam, language, near_dup, pii, quality, secrets, suffix, token_counts
+from beatloom.llm import (
+    decontam,
+    language,
+    near_dup,
+    pii,
+    pseudo_likelihood,
+    quality,
+    secrets,
+    segmentation,
+    suffix,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +86,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pii")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir))
+
+
+@query("op2_pseudo_likelihood")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir))
+
+
+@query("op4_sampled_segmentations")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.sample_segmentations(table(spark, sf_dir), piece_model())
