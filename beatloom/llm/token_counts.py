@@ -38,6 +38,9 @@ class PreTokenCounts:
         starts.pop("", None)
         encoded = self.encoder.encode(list(starts), num_threads=1)
         self.whole = {s: 1 for (s, i), ids in zip(starts.items(), encoded) if ids == [i]}
+        # a space at the end of a text stands alone
+        if self.encoder.encode("a ")[-1] == self.encoder.piece_to_id(MARK):
+            self.whole[""] = 1
         self.known = dict(self.whole)
 
     @staticmethod
