@@ -63,9 +63,12 @@ def _(spark, sf):
         "event_id", F.hour(ts).alias("hour"), F.date_format(ts, "EEEE").alias("day"), F.date_format(F.date_trunc("week", ts), "yyyy-MM-dd").alias("week"))
 
 
-@query("h8_local_to_utc", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE ((epoch_us(o_orderdate) // 1000) // 1000 + 5 * 3600) * 1000 END AS ms FROM orders WHERE month(o_orderdate) IN (1, 2, 12)")
+# summer time of those years: first Sunday of April to last of October, both at 2 o'clock
+@query("h8_local_to_utc", """WITH y AS (SELECT *, make_date(year(o_orderdate), 4, 1) AS m, make_date(year(o_orderdate), 10, 25) AS n FROM orders),
+  s AS (SELECT *, o_orderdate >= m + (7 - dayofweek(m))::INT % 7 + INTERVAL 2 HOUR AND o_orderdate < n + (7 - dayofweek(n))::INT % 7 + INTERVAL 2 HOUR AS summer FROM y)
+  SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE ((epoch_us(o_orderdate) // 1000) // 1000 + CASE WHEN summer THEN 4 ELSE 5 END * 3600) * 1000 END AS ms FROM s""")
 def _(spark, sf):
-    o = fx.table(spark, sf, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp")).filter(F.month("ts").isin(1, 2, 12))
+    o = fx.table(spark, sf, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
     t = F.when(F.col("o_orderstatus") == "P", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return o.select("o_orderkey", tp.local_to_utc_ms(t, "America/New_York").alias("ms"))
 

@@ -79,14 +79,14 @@ def build_labels(
 
 
 def segment_translation(docs: DataFrame, starts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Annotation segment number -> engine segment, by its first time."""
-    e = docs.select("recording_id", F.explode("segment_timestamps").alias("t")).select(
-        "recording_id", F.col("t.segment_idx").alias("ann_idx"), iso_ms(F.col("t.first_timestamp")).alias("_ms")
+    """Annotation segment number -> engine segment, by its first time. Of several
+    entries for a number the last in the list stays."""
+    e = docs.select("recording_id", F.posexplode("segment_timestamps").alias("_at", "t")).select(
+        "recording_id", "_at", F.col("t.segment_idx").alias("ann_idx"), iso_ms(F.col("t.first_timestamp")).alias("_ms")
     )
     d = e.filter(F.col("_ms").isNotNull()).join(starts, "recording_id")
-    return d.select(
-        "recording_id", "ann_idx", F.floor((F.col("_ms") - F.col("start_ms")) / p.segment_ms).cast("int").alias("segment_idx")
-    ).dropDuplicates(["recording_id", "ann_idx"])
+    idx = F.floor((F.col("_ms") - F.col("start_ms")) / p.segment_ms).cast("int")
+    return d.groupBy("recording_id", "ann_idx").agg(F.max_by(idx, "_at").alias("segment_idx"))
 
 
 def translate(rows: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beatloom.params import LABELS
+
 STRATEGIES = ("margin", "committee", "priority")
 
 
 def composite_score(max_priority: Column) -> Column:
+    """Beats without a priority score count as 0 there."""
     top = F.when(F.coalesce(max_priority, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(max_priority)
     base = (
         0.4 * F.col("uncertainty_ensemble")
         + 0.4 * F.col("disagreement")
-        + 0.2 * (F.col("review_priority_score") / top)
+        + 0.2 * (F.coalesce("review_priority_score", F.lit(0.0)) / top)
     )
     noisy = F.when(F.col("quality_label") == "noisy_ok", F.lit(1.2)).otherwise(F.lit(1.0))
     moving = F.when(F.coalesce("pots_transition_candidate", F.lit(False)), F.lit(1.1)).otherwise(F.lit(1.0))
@@ -73,10 +76,18 @@ def select_candidates(
     )
 
 
-def record_labels(labels: DataFrame, results: DataFrame, iteration: int, key: str = "peak_id") -> DataFrame:
+def record_labels(labels: DataFrame, results: DataFrame, iteration: int, key: str = "peak_id", arrival: str | None = None) -> DataFrame:
     """Overwrite label, review mark and iteration of the given beats; ids the
-    table does not hold are ignored."""
-    new = results.select(key, F.col("label").alias("_new")).dropDuplicates([key])
+    table does not hold and labels outside the vocabulary are ignored.
+
+    Of several labels for a beat the last in ``arrival`` stays; without it, the
+    last by name, so that the result does not depend on the order of rows.
+    Uncertainty and disagreement are taken along where the results have them.
+    """
+    more = [c for c in ("uncertainty_ensemble", "disagreement") if c in results.columns and c not in labels.columns]
+    order = F.struct(*([arrival] if arrival else []), "label")
+    valid = results.filter(F.col("label").isin(*LABELS))
+    new = valid.groupBy(key).agg(*[F.max_by(c, order).alias(c if c != "label" else "_new") for c in ("label", *more)])
     d = labels.join(new, key, "left")
     hit = F.col("_new").isNotNull()
     before = F.col("al_iteration") if "al_iteration" in labels.columns else F.lit(None).cast("int")

@@ -6,6 +6,8 @@ inside one ``over_rows`` call, so that one shuffle serves all of them.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -297,6 +299,7 @@ def temporal_split(df: DataFrame, keys: list[str], share: float = 0.8) -> DataFr
         ranked.join(sizes, list(keys[:-1]), "left") if keys[:-1] else ranked.crossJoin(F.broadcast(sizes))
     )
     # integer arithmetic keeps floor(n * share) exact
-    cut = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(round(share * 1000)) / 1000))
+    part = Fraction(str(share))
+    cut = F.greatest(F.lit(1), F.expr(f"_n * {part.numerator}L div {part.denominator}L"))
     side = ranked.select(*keys, (F.col("_rank") < cut).alias("is_train"))
     return df.join(side, keys)

@@ -132,7 +132,7 @@ def metrics_for(timeframe: str) -> list[str]:
     """Metric columns that are valid for one timeframe."""
     ms = TIMEFRAME_MS[timeframe]
     out = list(METRICS_ALL)
-    if ms < TIMEFRAME_MS["2H"]:
+    if ms < TIMEFRAME_MS["3H"]:
         out += METRICS_SHORT
     if ms >= TIMEFRAME_MS["3H"]:
         out += METRICS_LONG

@@ -28,12 +28,16 @@ def _bucket(value: Column, width: int) -> Column:
 
 
 def _with_halo(df: DataFrame, pos: Column, width: int, before: int, after: int) -> DataFrame:
-    """Copy each row to every bucket whose own rows can see it."""
-    home = _bucket(pos, width)
+    """Copy each row to every bucket whose own rows can see it.
+
+    A row without a position has no neighbours: it gets a bucket of its own.
+    """
+    alone = F.lit(-(1 << 61)) - F.monotonically_increasing_id()
+    df = df.withColumn(_HOME, F.coalesce(_bucket(pos, width), alone))
     if before == 0 and after == 0:
-        return df.withColumn(_HOME, home).withColumn(_SLOT, home)
+        return df.withColumn(_SLOT, F.col(_HOME))
     first, last = _bucket(pos - after, width), _bucket(pos + before, width)
-    return df.withColumn(_HOME, home).withColumn(_SLOT, F.explode(F.sequence(first, last)))
+    return df.withColumn(_SLOT, F.explode(F.coalesce(F.sequence(first, last), F.array(_HOME))))
 
 
 def _keep_home(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ Parquet tables, review queues."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from beatloom.operators import relational
 from beatloom.params import DEFAULTS, LABELS, Params
 
 # Accepted column names, in order of preference.
-TIME_NAMES = ("DateTime", "datetime", "timestamp", "time", "Timestamp", "timestamp_ms")
-VALUE_NAMES = ("ECG", "ecg", "amplitude", "value", "ecg_amplitude")
+TIME_NAMES = ("DateTime", "datetime", "timestamp", "Timestamp", "time", "Time")
+VALUE_NAMES = ("ECG", "ecg", "ecg_amplitude", "amplitude", "value")
 
 
 def find_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
@@ -36,19 +37,38 @@ def first_present(df: DataFrame, candidates: Sequence[str], default: Column) ->
     return F.coalesce(*have, default)
 
 
+def csv_by_header(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The CSV files of a folder as text columns, one frame per distinct header.
+
+    Only names and first lines of the files are read for the grouping.
+    """
+    files = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(files):
+        header = spark.read.text(f).limit(1).collect()
+        if header:
+            groups.setdefault(tuple(header[0]), []).append(f)
+    if not groups:
+        raise ValueError(f"no CSV file with a header in {path}")
+    return [spark.read.csv(fs, header=True, inferSchema=False) for fs in groups.values()]
+
+
 def read_signal_csv(spark: SparkSession, path: str, flip: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
     """Samples from CSV files: file, timestamp_ms, ecg in microvolt.
 
-    The header decides the columns; values are read as text once and converted,
-    so a wrong cell drops one row and no schema is inferred from the data.
+    Each file's own header decides its columns; values are read as text once and
+    converted, so a wrong cell drops one row and no schema is inferred from the data.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    t = find_column(raw, TIME_NAMES) or raw.columns[0]
-    v = find_column(raw, VALUE_NAMES) or raw.columns[1]
-    d = raw.select(
-        F.col("_metadata.file_name").alias("file"), any_ms(F.col(t)).alias("timestamp_ms"),
-        (F.col(v).try_cast("double") * 1000.0).alias("ecg"),
-    )
+
+    def part(raw: DataFrame) -> DataFrame:
+        t = find_column(raw, TIME_NAMES) or raw.columns[0]
+        v = find_column(raw, VALUE_NAMES) or raw.columns[1]
+        return raw.select(
+            F.col("_metadata.file_name").alias("file"), any_ms(F.col(f"`{t}`")).alias("timestamp_ms"),
+            (F.col(f"`{v}`").try_cast("double") * 1000.0).alias("ecg"),
+        )
+
+    d = reduce(DataFrame.unionByName, map(part, csv_by_header(spark, path)))
     d = d.filter((F.col("timestamp_ms") >= p.min_valid_ms) & F.col("ecg").isNotNull() & ~F.isnan("ecg"))
     d = d.filter(F.abs("ecg") < float("inf"))
     if flip is not None:
@@ -64,37 +84,53 @@ def with_segments(samples: DataFrame, starts: DataFrame, key: Sequence[str] = ("
 
 def read_peak_csv(spark: SparkSession, path: str) -> DataFrame:
     """Peak times (peak_id is epoch ms; else the first column), source, flag."""
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    pid = "peak_id" if "peak_id" in raw.columns else raw.columns[0]
-    d = raw.select(
-        F.col("_metadata.file_name").alias("file"), any_ms(F.col(pid)).alias("timestamp_ms"),
-        first_present(raw, ["source"], F.lit("detected")).alias("source"),
-        F.coalesce(first_present(raw, ["is_added_peak"], F.lit("false")).try_cast("boolean"), F.lit(False)).alias("is_added_peak"),
-        first_present(raw, ["label"], F.lit(None).cast("string")).try_cast("int").alias("label"),
-    )
+
+    def part(raw: DataFrame) -> DataFrame:
+        pid = "peak_id" if "peak_id" in raw.columns else raw.columns[0]
+        return raw.select(
+            F.col("_metadata.file_name").alias("file"), any_ms(F.col(f"`{pid}`")).alias("timestamp_ms"),
+            first_present(raw, ["source"], F.lit("detected")).alias("source"),
+            F.coalesce(first_present(raw, ["is_added_peak"], F.lit("false")).try_cast("boolean"), F.lit(False)).alias("is_added_peak"),
+            first_present(raw, ["label"], F.lit(None).cast("string")).try_cast("int").alias("label"),
+        )
+
+    d = reduce(DataFrame.unionByName, map(part, csv_by_header(spark, path)))
     return d.filter(F.col("timestamp_ms").isNotNull())
 
 
-# Every list is optional; mixed entries come as text.
+# Every list is optional; mixed entries, objects included, come as text.
 ANNOTATIONS = (
-    "recording_id string, artifacts array<string>, validated_segments array<string>, bad_segments array<int>,"
+    "recording_id string, artifacts array<string>, validated_true_beats array<string>, validated_segments array<string>, bad_segments array<int>,"
     "flagged_poor_quality_segments array<string>, flagged_for_interpolation array<string>, interpolate_peaks array<string>,"
     "manually_added_missed_peaks array<string>, added_r_peaks array<string>,"
     "segment_timestamps array<struct<segment_idx int, first_timestamp string, last_timestamp string>>,"
     "bad_regions array<struct<segment_idx int, start_time string, end_time string>>,"
-    "interpolated_replacements array<struct<peak_id string, timestamp string>>"
+    "interpolated_replacements array<struct<peak_id string, timestamp string>>,"
+    "return_to_pile array<struct<segment_idx int, start_time string, end_time string>>,"
+    "tagged_physiological_events array<string>"
 )
+EVENT = "start string, start_time string, start_timestamp string, end string, end_time string, end_timestamp string, at string"
+
 
+def read_annotations(spark: SparkSession, path: str, recording_id: str | None = None) -> DataFrame:
+    """One row per document; alternate keys folded, absent lists empty.
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document; alternate keys folded, absent lists empty."""
+    Documents without a recording id take ``recording_id``, or else the name of
+    their file. Events are objects or bare times; both become ``EVENT`` structs.
+    """
     raw = spark.read.schema(ANNOTATIONS).json(path, multiLine=True)
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "") if recording_id is None else F.lit(recording_id)
+    raw = raw.withColumn("recording_id", F.coalesce("recording_id", name))
+    bare = [F.lit(None).cast("string").alias(f) for f in EVENT.replace(" string", "").split(", ")[:-1]]
+    event = lambda e: F.when(F.startswith(F.ltrim(e), F.lit("{")), F.from_json(e, EVENT)).otherwise(F.struct(*bare, e.alias("at")))
+    raw = raw.withColumn("tagged_physiological_events", F.transform("tagged_physiological_events", event))
     pairs = {
+        "validated_segments": ("validated_true_beats", "validated_segments"),
         "added_peaks": ("manually_added_missed_peaks", "added_r_peaks"),
         "to_interpolate": ("interpolate_peaks", "flagged_for_interpolation"),
     }
     out = raw.withColumns({n: F.coalesce(*c, F.array().cast("array<string>")) for n, c in pairs.items()})
-    out = out.drop(*[c for cs in pairs.values() for c in cs])
+    out = out.drop(*[c for cs in pairs.values() for c in cs if c not in pairs])
     types = dict(out.dtypes)
     return out.withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in types.items() if t.startswith("array")})
 

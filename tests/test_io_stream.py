@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beatloom import fixtures as fx
-from beatloom.operators import models
+from beatloom.operators import labelling, models
 from beatloom.sources import tables
 from beatloom.streaming import live
 
@@ -15,6 +15,27 @@ def test_signal_csv(spark, tmp_path):
     assert [(r.file, r.timestamp_ms, r.ecg) for r in got] == [("a.csv", 1704067200000, 500.0), ("a.csv", 1704067200008, -1000.0)]
 
 
+def test_each_file_has_its_own_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("DateTime,ECG\n1704067200000,0.5\n")
+    (tmp_path / "b.csv").write_text("ECG,DateTime\n0.25,1704067200008\n")
+    (tmp_path / "c.csv").write_text("hr,Time,value\n60,1704067200016,1\n")
+    got = tables.read_signal_csv(spark, str(tmp_path)).orderBy("timestamp_ms").collect()
+    assert [(r.file, r.timestamp_ms, r.ecg) for r in got] == [("a.csv", 1704067200000, 500.0), ("b.csv", 1704067200008, 250.0), ("c.csv", 1704067200016, 1000.0)]
+
+
+def test_annotation_events_and_revisits(spark, tmp_path):
+    events = [1704067200000, "2024-01-01T00:00:05", {"start": 1704067201000, "end": 1704067202000}, {"start_time": "2024-01-01T00:00:03", "end_time": "2024-01-01T00:00:04"}, {"start": 1}]
+    doc = {"tagged_physiological_events": events, "return_to_pile": [{"segment_idx": 3, "start_time": "2024-01-01T00:03:00", "end_time": "2024-01-01T00:04:00", "marked_at": "x"}], "validated_true_beats": ["seg_2"]}
+    (tmp_path / "rec9.json").write_text(json.dumps(doc))
+    d = tables.read_annotations(spark, str(tmp_path))
+    got = labelling.event_windows(d).orderBy("start_ms").collect()
+    ms = 1704067200000
+    assert [tuple(r) for r in got] == [("rec9", ms, ms), ("rec9", ms + 1000, ms + 2000), ("rec9", ms + 3000, ms + 4000), ("rec9", ms + 5000, ms + 5000)]
+    r = d.first()
+    assert r.return_to_pile[0].segment_idx == 3 and r.validated_segments == ["seg_2"]
+    assert tables.read_annotations(spark, str(tmp_path), "r1").first().recording_id == "r1"
+
+
 def test_peak_csv_defaults(spark, tmp_path):
     (tmp_path / "p.csv").write_text("t\n1704067200000\nx\n")
     r = tables.read_peak_csv(spark, str(tmp_path)).collect()

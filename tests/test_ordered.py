@@ -81,3 +81,13 @@ def test_plans_stay_distributed(spark):
     d = row_index(beats(spark), S)
     plan = windows.rr_extended(d, S)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "SinglePartition" not in plan
+
+
+def test_rows_without_a_position_stay(spark):
+    d = spark.createDataFrame([(0, 1, 10, 1.0), (0, 2, None, 2.0), (0, 3, 20, 4.0)], "recording_id int, peak_id long, timestamp_ms long, v double")
+    total = lambda f, w: f.withColumn("t", F.sum("v").over(w.rangeBetween(-100, 0)))
+    got = {r.peak_id: r.t for r in over_time(d, 100, 0, total, S).collect()}
+    assert got == {1: 1.0, 2: 2.0, 3: 5.0}
+    d = d.withColumnRenamed("timestamp_ms", "beat_idx")
+    before = lambda f, w: f.withColumn("t", F.lag("v").over(w))
+    assert {r.peak_id: r.t for r in over_rows(d.withColumn("beat_idx", F.col("beat_idx") / 10), 1, 0, before, S).collect()} == {1: None, 2: None, 3: 1.0}
