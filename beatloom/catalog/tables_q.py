@@ -225,11 +225,12 @@ def _(spark, sf):
     b = fx.beats(spark, sf)
     err = b.filter("event_type = 'error'").select("peak_id", F.col("value").alias("corr"))
     from beatloom.params import Series
-    from beatloom.plans.ordered import running
+    from beatloom.plans.ordered import RANGE, in_ranges, running
 
     # the external list: error beats by falling value, with its position
-    err = running(err.withColumn("neg", -F.col("corr")), {"position": ("sum", F.lit(1).cast("long"))},
-                  Series(key=(), ts="neg", tie="peak_id"), position=F.col("neg"), width=1, order=("neg", "peak_id")).drop("neg")
+    err = in_ranges(err.withColumn("neg", -F.col("corr")), "neg", "peak_id")
+    err = running(err, {"position": ("sum", F.lit(1).cast("long"))},
+                  Series(key=(), ts="neg", tie="peak_id"), position=F.col(RANGE), width=1, order=("neg", "peak_id")).drop("neg", RANGE)
     return relational.apply_order(b.select("peak_id", "timestamp_ms"), err, "peak_id", "position").select("peak_id", "corr", "out_pos")
 
 

@@ -37,11 +37,10 @@ def segment_rr_sd(df: DataFrame, group: Sequence[str] = SEG, rr: str = "rr_prev_
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the median of every column, 0 where all values are missing.
-
-    For training tables: these hold human-reviewed beats only.
-    """
-    return df.agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(c) for c in columns])
+    """One row with the median of every column, 0 where all values are missing."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "_column", "_value")
+    med = exact_quantiles(long, "_value", {"_median": 0.5}, ["_column"])
+    return med.agg(*[F.coalesce(F.max(F.when(F.col("_column") == c, F.col("_median"))), F.lit(0.0)).alias(c) for c in columns])
 
 
 def mean_template(

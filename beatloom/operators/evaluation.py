@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from beatloom.operators.aggregates import by
 from beatloom.params import Series
-from beatloom.plans.ordered import running
+from beatloom.plans.ordered import RANGE, in_ranges, running
 from beatloom.plans.quantiles import exact_quantiles
 
 
@@ -77,45 +77,53 @@ def calibration(df: DataFrame, score: str, truth: str, bins: int = 10) -> DataFr
 def score_curve(df: DataFrame, score: str, truth: str, group: Sequence[str] = ()) -> DataFrame:
     """Per distinct score, descending: positives and rows at it and up to it.
 
-    Rows meet once as counts per score; the running sums go over score buckets.
+    Rows meet once as counts per score; the running sums go over ranges of scores
+    that hold about equal numbers of them, wherever the scores gather.
     """
     pts = df.groupBy(*group, F.col(score).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth) == 1).alias("pos")
     ).withColumn("_neg", -F.col("score"))
-    s = Series(key=tuple(group), ts="_neg", tie="_neg", idx="_")
+    pts = in_ranges(pts, *group, "_neg")
+    totals = pts.groupBy(*group).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("n_pos"))
+    s = Series(key=tuple(group), ts=RANGE, tie="_neg", idx="_")
     pts = running(
         pts,
         {"cum_n": ("sum", F.col("n")), "tp": ("sum", F.col("pos"))},
         s,
-        position=F.col("_neg"),
-        width=0.001,
+        position=F.col(RANGE),
+        width=1,
         order=("_neg",),
-    ).drop("_neg")
-    totals = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_all"), F.count_if(F.col(truth) == 1).alias("n_pos")
-    )
+    ).drop("_neg", RANGE)
     return by(pts, totals, group)
 
 
 def average_precision(df: DataFrame, score: str, truth: str, group: Sequence[str] = ()) -> DataFrame:
     """Sum of recall steps times precision, null without both classes."""
-    c = score_curve(df, score, truth, group)
+    return score_curve(df, score, truth, group).groupBy(*group).agg(_precision_sum().alias("average_precision"))
+
+
+def _precision_sum() -> Column:
     step = F.col("pos") / F.col("n_pos") * (F.col("tp") / F.col("cum_n"))
     both = (F.max("n_pos") > 0) & (F.max("n_pos") < F.max("n_all"))
-    return c.groupBy(*group).agg(F.when(both, F.sum(step)).alias("average_precision"))
+    return F.when(both, F.sum(step))
 
 
 def roc_auc(df: DataFrame, score: str, truth: str, group: Sequence[str] = ()) -> DataFrame:
     """Rank statistic; equal scores count half. Null without both classes."""
-    c = score_curve(df, score, truth, group)
+    return score_curve(df, score, truth, group).groupBy(*group).agg(_rank_area().alias("roc_auc"))
+
+
+def _rank_area() -> Column:
     neg = F.col("n") - F.col("pos")
     area = F.sum(neg * (F.col("tp") - F.col("pos") / F.lit(2.0)))
     pairs = F.max("n_pos") * (F.max("n_all") - F.max("n_pos"))
-    return c.groupBy(*group).agg(F.when(pairs > 0, area / pairs).alias("roc_auc"))
+    return F.when(pairs > 0, area / pairs)
 
 
 def aucs(df: DataFrame, score: str, truth: str, group: Sequence[str] = ()) -> DataFrame:
-    return by(average_precision(df, score, truth, group), roc_auc(df, score, truth, group), group)
+    """Both areas from one curve."""
+    c = score_curve(df, score, truth, group)
+    return c.groupBy(*group).agg(_precision_sum().alias("average_precision"), _rank_area().alias("roc_auc"))
 
 
 def pr_curve(df: DataFrame, score: str, truth: str) -> DataFrame:

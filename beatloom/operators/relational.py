@@ -111,20 +111,19 @@ def top_n_per_category(
 def apply_order(df: DataFrame, order: DataFrame, key: str, position: str, s: Series = SERIES) -> DataFrame:
     """Listed rows in list order, then the rest by time, as 1-based out_pos;
     ids the table does not hold are ignored."""
-    from beatloom.plans.ordered import running
+    from beatloom.plans.ordered import RANGE, in_ranges, running
 
     d = df.join(order, key, "left")
     unlisted = F.col(position).isNull()
     d = d.withColumn("_pos", F.when(unlisted, F.col(s.ts)).otherwise(F.col(position)).cast("long"))
     d = d.withColumn("_late", unlisted.cast("int"))
+    d = in_ranges(d, "_late", "_pos", key)
     whole = Series(key=("_late",), ts="_pos", tie=key, idx="_")
-    d = running(
-        d, {"_rank": ("sum", F.lit(1).cast("long"))}, whole, position=F.col("_pos"), width=60_000, order=("_pos", key)
-    )
+    d = running(d, {"_rank": ("sum", F.lit(1).cast("long"))}, whole, position=F.col(RANGE), width=1, order=("_pos", key))
     listed = df.join(order.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("_n"))
     return d.crossJoin(F.broadcast(listed)).withColumn(
         "out_pos", F.col("_rank") + F.when(unlisted, F.col("_n")).otherwise(F.lit(0))
-    ).drop("_rank", "_pos", "_late", "_n")
+    ).drop("_rank", "_pos", "_late", "_n", RANGE)
 
 
 def coverage(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from beatloom.params import SERIES, Series
+from beatloom.session import materialise
 
 _HOME, _SLOT = "_home", "_slot"
+RANGE = "_range"
 
 
 def _bucket(value: Column, width: int) -> Column:
@@ -156,6 +158,16 @@ def running(
     )
 
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """Rows dealt out by the ranges of ``order``, with the number of the range.
+
+    Spark samples the bounds, so ranges hold about equal numbers of rows whatever
+    the values are. Written once: the numbers do not change when read again.
+    Use the column as ``position`` of ``running`` with ``width`` 1.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id()))
+
+
 def row_index(df: DataFrame, s: Series = SERIES, name: str | None = None) -> DataFrame:
     """Dense 0-based position per key in (ts, tie) order."""
     return running(

@@ -3,7 +3,7 @@
 ``percentile`` keeps every distinct value of a group in one task. That suits
 segments, windows and other groups bounded in time; for whole tables, whole
 categories or one hot category this module ranks distinct values with a running
-sum over value buckets and picks the two values around each rank.
+sum over ranges of values and picks the two values around each rank.
 """
 
 from __future__ import annotations
@@ -14,10 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.params import Series
-from beatloom.plans.ordered import running
-from beatloom.session import materialise
-
-_BUCKETS = 4096
+from beatloom.plans.ordered import RANGE, in_ranges, running
 
 
 def exact_quantiles(
@@ -32,19 +29,13 @@ def exact_quantiles(
         .groupBy(*group, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    # the counts are read by the size, the bucket totals and the ranking
-    counts = materialise(counts)
-    size = counts.groupBy(*group).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_size")
-    )
+    # the counts are read by the size, the range totals and the ranking
+    counts = in_ranges(counts, *group, "_v")
+    size = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
     # one row per group: categories or models, or a single row
     d = counts.join(size, group) if group else counts.crossJoin(F.broadcast(size))
-    span = F.col("_hi") - F.col("_lo")
-    d = d.withColumn("_pos", F.when(span > 0, (F.col("_v") - F.col("_lo")) / span * _BUCKETS).otherwise(0.0))
-    s = Series(key=tuple(group), ts="_pos", tie="_v", idx="_")
-    d = running(
-        d, {"_cum": ("sum", F.col("_n"))}, s, position=F.col("_pos"), width=1, order=("_v",)
-    )
+    s = Series(key=tuple(group), ts=RANGE, tie="_v", idx="_")
+    d = running(d, {"_cum": ("sum", F.col("_n"))}, s, position=F.col(RANGE), width=1, order=("_v",))
     aggs = []
     for name, p in probs.items():
         rank = (F.col("_size") - 1) * F.lit(float(p))
