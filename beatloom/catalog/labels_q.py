@@ -296,4 +296,4 @@ def _(spark, sf):
 
 @query("j8_change_points")
 def _(spark, sf):
-    return events.change_points(fx.hourly(spark, sf), ["event_type"], "hour_ms", "v", penalty=1.0)
+    return events.change_points(fx.hourly(spark, sf), ["event_type"], "hour_ms", "v")

@@ -175,21 +175,21 @@ def seg_table(spark, sf):
 @query("m2_m3_segment_quality")
 def _(spark, sf):
     d = seg_table(spark, sf)
-    m = models.train_segment_quality(d, ["m", "s", "n"], "quality_label", CODES, trees=20)
+    m = models.train_segment_quality(d, ["m", "s", "n"], "quality_label", CODES)
     return models.predict_segment_quality(m, d.drop("quality_label"), ON, CODES)
 
 
 @query("m4_m5_beat_classifier")
 def _(spark, sf):
     d = training(spark, sf)
-    m = models.train_beats(d.filter("reviewed"), FEAT, "truth", "is_train", 4.0, rounds=5)
+    m = models.train_beats(d.filter("reviewed"), FEAT, "truth", "is_train", 4.0)
     return models.predict_beats(m, d, ["peak_id"], "p_artifact_tabular")
 
 
 @query("f5_top_features")
 def _(spark, sf):
     d = training(spark, sf)
-    m = models.train_beats(d.filter("reviewed"), FEAT, "truth", "is_train", 4.0, rounds=3)
+    m = models.train_beats(d.filter("reviewed"), FEAT, "truth", "is_train", 4.0)
     return spark.createDataFrame(models.top_features(m, FEAT, 2), "feature string, gain double")
 
 
@@ -204,14 +204,14 @@ def _(spark, sf):
 def _(spark, sf):
     w = fx.waveforms(spark, sf).withColumn("truth", (F.col("label") == "artifact").cast("double"))
     d = models.waveform_vector(w, "waveform")
-    m = models.train_waveform_classifier(d, "truth", 64, hidden=8)
+    m = models.train_waveform_classifier(d, "truth", 64)
     return models.predict_beats(m, d, ["peak_id"], "p_artifact_wave")
 
 
 @query("m11_qrs_motifs")
 def _(spark, sf):
     w = windows.rr_intervals(fx.waveforms(spark, sf))
-    return models.qrs_motifs(w, k=6).select("idx", "label", "n_beats")
+    return models.qrs_motifs(w).select("idx", "label", "n_beats")
 
 
 def vectors(spark, sf):
@@ -221,13 +221,13 @@ def vectors(spark, sf):
 
 @query("m12_rr_motifs")
 def _(spark, sf):
-    return models.rr_motifs(vectors(spark, sf), k=5).select("idx", "label", "n_beats")
+    return models.rr_motifs(vectors(spark, sf)).select("idx", "label", "n_beats")
 
 
 @query("m13_motif_features")
 def _(spark, sf):
     w = windows.rr_intervals(fx.waveforms(spark, sf))
-    mot = models.qrs_motifs(w.filter("label = 'clean'"), k=6)
+    mot = models.qrs_motifs(w.filter("label = 'clean'"))
     from beatloom.functions import arrays as A
 
     out = waveforms.nearest_centroid(w, mot, A.zscore(F.col("waveform")), "qrs")
@@ -237,7 +237,7 @@ def _(spark, sf):
 def category_model(spark, sf):
     w = waveforms.signal_quality(fx.waveforms(spark, sf)).withColumn("truth", (F.col("label") == "artifact").cast("double"))
     feats = ["window_iqr", "window_zcr", "r_peak_snr", "window_hf_noise_rms", "window_wander_slope"]
-    m = models.fit_categories(w, feats, "truth", depth=4, min_leaf=10)
+    m = models.fit_categories(w, feats, "truth")
     leaves = models.categorise_leaves(models.leaf_table(m, feats, m.transform(w), "truth"))
     return w, m, leaves
 
@@ -269,7 +269,7 @@ def _(spark, sf):
     import uuid
 
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    models.save_motifs(models.rr_motifs(vectors(spark, sf), k=4), path)
+    models.save_motifs(models.rr_motifs(vectors(spark, sf)), path)
     return spark.read.parquet(path).select("idx", "label", "n_beats", "scale_mean", "scale_sd")
 
 
@@ -338,6 +338,33 @@ def _(spark, sf):
     return tables.read_signal_csv(spark, path).select("timestamp_ms", "ecg")
 
 
+@query("a5_scan_annotations", """SELECT recording_id, 'artifact' AS kind, timestamp_ms AS start_ms, timestamp_ms AS end_ms FROM fx_beats WHERE peak_id % 50 IN (3, 4)
+UNION ALL SELECT recording_id, 'event', timestamp_ms, timestamp_ms + CASE WHEN peak_id % 50 = 2 THEN 500 ELSE 0 END FROM fx_beats WHERE peak_id % 50 < 3
+UNION ALL SELECT recording_id, 'revisit', segment_idx, segment_idx FROM (SELECT DISTINCT recording_id, segment_idx FROM fx_beats WHERE peak_id % 50 = 5)""", "fx_beats")
+def _(spark, sf):
+    """One document per recording with times as numbers, as text and as objects."""
+    from beatloom.operators import labelling
+
+    path = _fresh(spark)
+    b, k, ms = fx.beats(spark, sf), F.col("peak_id") % 50, F.col("timestamp_ms")
+    iso = F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    event = F.when(k == 0, ms.cast("string")).when(k == 1, F.concat(F.lit('"'), iso, F.lit('"')))
+    event = event.otherwise(F.concat(F.lit('{"start_time": "'), iso, F.lit('", "end_time": '), ms + 500, F.lit("}")))
+    time = F.when(k == 3, ms.cast("string")).otherwise(F.concat(F.lit('"'), iso, F.lit('"')))
+    revisit = F.concat(F.lit('{"segment_idx": '), F.col("segment_idx"), F.lit(', "marked_at": "x"}'))
+    lists = b.groupBy("recording_id").agg(
+        F.array_join(F.collect_list(F.when(k.isin(3, 4), time)), ",").alias("a"), F.array_join(F.collect_list(F.when(k < 3, event)), ",").alias("e"),
+        F.array_join(F.collect_set(F.when(k == 5, revisit)), ",").alias("r"),
+    )
+    text = F.format_string('{"artifacts": [%s], "tagged_physiological_events": [%s], "return_to_pile": [%s]}', "a", "e", "r")
+    lists.select("recording_id", text.alias("value")).write.partitionBy("recording_id").text(path)
+    docs = tables.read_annotations(spark, path)
+    out = tables.times_of(docs, "artifacts").select("recording_id", F.lit("artifact").alias("kind"), F.col("ref_ms").alias("start_ms"), F.col("ref_ms").alias("end_ms"))
+    out = out.unionByName(labelling.event_windows(docs).withColumn("kind", F.lit("event")))
+    again = docs.select("recording_id", F.explode("return_to_pile").alias("r")).select("recording_id", F.lit("revisit").alias("kind"), F.col("r.segment_idx").cast("long").alias("start_ms"))
+    return out.unionByName(again.withColumn("end_ms", F.col("start_ms"))).withColumn("recording_id", F.col("recording_id").cast("long"))
+
+
 @query("a4_scan_peak_csv", "SELECT timestamp_ms, CASE WHEN event_type = 'click' THEN 'added' ELSE 'detected' END AS source, event_type = 'click' AS is_added_peak FROM fx_beats", "fx_beats")
 def _(spark, sf):
     path = _fresh(spark)
