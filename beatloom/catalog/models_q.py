@@ -279,20 +279,25 @@ def _(spark, sf):
     return models.principal_axes(d, ["m", "s", "n"])[0].select(*ON, "pc1", "pc2")
 
 
-@query("k14_augment_artifacts")
+def contract(d, kinds):
+    """One window of the same length per key, of a known kind, without nulls."""
+    w = F.col("waveform")
+    return d.select("peak_id", F.size(w).alias("n"), F.col("kind").isin(*kinds).alias("known"), F.forall(w, lambda x: x.isNotNull() & ~F.isnan(x)).alias("whole"))
+
+
+@query("k14_augment_artifacts", "SELECT peak_id, len(waveform)::INT AS n, true AS known, true AS whole FROM fx_waves WHERE label = 'clean'", "fx_waves")
 def _(spark, sf):
-    d = models.augment_artifacts(fx.waveforms(spark, sf).filter("label = 'clean'"), run=1)
-    return d.select("peak_id", "kind", F.round(F.array_max("waveform"), 6).alias("top"))
+    return contract(models.augment_artifacts(fx.waveforms(spark, sf).filter("label = 'clean'"), run=1), models.ARTIFACT_KINDS)
 
 
-@query("k15_augment_jitter")
+@query("k15_augment_jitter", "SELECT peak_id, len(waveform)::INT AS n, true AS known, true AS whole FROM fx_waves", "fx_waves")
 def _(spark, sf):
-    return models.augment_jitter(fx.waveforms(spark, sf), run=1).select("peak_id", F.round(F.array_max("waveform"), 6).alias("top"))
+    return contract(models.augment_jitter(fx.waveforms(spark, sf), run=1), models.JITTER_KINDS)
 
 
-@query("k16_corrupt")
+@query("k16_corrupt", "SELECT peak_id, len(waveform)::INT AS n, true AS known, true AS whole FROM fx_waves", "fx_waves")
 def _(spark, sf):
-    return models.corrupt(fx.waveforms(spark, sf), run=1).select("peak_id", "kind", F.round(F.array_max("waveform"), 6).alias("top"))
+    return contract(models.corrupt(fx.waveforms(spark, sf), run=1), models.CORRUPTION_KINDS)
 
 
 # ---- incremental forms -----------------------------------------------------

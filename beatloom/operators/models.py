@@ -6,7 +6,6 @@ import re
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -253,71 +252,136 @@ def principal_axes(df: DataFrame, columns: Sequence[str], k: int = 2) -> tuple[D
 
 
 # ---- augmentation ------------------------------------------------------------
-
-ARTIFACT_KINDS = ("baseline", "noise", "spike", "dropout", "scale", "clip")
-
-
-def _artifact(w: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarray:
-    n, amp, t = len(w), np.ptp(w) or 1.0, np.arange(len(w))
-    if kind == "baseline":
-        return w + amp * rng.uniform(0.5, 2) * np.sin(2 * np.pi * rng.uniform(0.2, 1) * t / n + rng.uniform(0, 6.28))
-    if kind == "noise":
-        return w + rng.normal(0, amp * rng.uniform(0.2, 0.6), n)
-    if kind == "spike":
-        out = w.copy()
-        out[rng.integers(0, n, 3)] += amp * rng.choice([-1, 1], 3) * rng.uniform(1, 3, 3)
-        return out
-    if kind == "dropout":
-        a = int(rng.integers(0, n // 2))
-        return np.where((t >= a) & (t < a + n // 3), 0.0, w)
-    if kind == "scale":
-        return w * rng.choice([rng.uniform(0.05, 0.2), rng.uniform(3, 6)])
-    lim = np.quantile(np.abs(w), 0.6)
-    return np.clip(w, -lim, lim)
-
-
-def _jitter(w: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarray:
-    out = np.roll(w, int(rng.integers(-2, 3))) * rng.uniform(0.9, 1.1)
-    return out + rng.normal(0, 0.02 * (np.ptp(w) or 1.0), len(w))
-
-
-def _corrupt(level: float):
-    def run(w: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarray:
-        return w + level * (_artifact(w, kind, rng) - w)
-
-    return run
-
-
-def _augment(df: DataFrame, run: int, fn, kinds: Sequence[str], keys: Sequence[str], waveform: str) -> DataFrame:
-    """One new window per row. The generator is seeded by the row's key and the
-    run, so a retried task makes the same rows."""
-    d = df.select(*keys, waveform, F.xxhash64(*keys, F.lit(run)).alias("_seed"))
-    types = dict(d.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "kind string", f"{waveform} array<double>"])
-
-    def batches(it):
-        for pdf in it:
-            rows, names = [], []
-            for w, seed in zip(pdf[waveform], pdf["_seed"], strict=True):
-                rng = np.random.default_rng(int(seed) & 0x7FFFFFFFFFFFFFFF)
-                kind = kinds[int(rng.integers(0, len(kinds)))]
-                rows.append(fn(np.asarray(w, float), kind, rng).tolist())
-                names.append(kind)
-            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "kind": names, waveform: rows})
-
-    return d.mapInPandas(batches, schema)
-
-
-def augment_artifacts(df: DataFrame, run: int, keys: Sequence[str] = ("peak_id",), waveform: str = "waveform") -> DataFrame:
+#
+# Every draw is a hash of the row's key, the run and a name, so a retried task
+# makes the same rows; all of it stays in built-in expressions.
+
+# Kinds of synthetic artifacts, of label-preserving changes and of damage.
+ARTIFACT_KINDS = ("baseline_wander", "electrode_pop", "emg_burst", "lead_off_transient", "motion_artifact", "gaussian_noise")
+JITTER_KINDS = ("gaussian", "amplitude", "timeshift")
+DAMAGE_KINDS = ("gaussian", "masking", "baseline_wander", "amplitude_scaling")
+CORRUPTION_KINDS = (*DAMAGE_KINDS, "combined")
+RATE_HZ = 130
+
+
+def _unit(name: str, *at: Column) -> Column:
+    """Uniform in (0, 1) for the row, the name and a position."""
+    h = F.pmod(F.xxhash64(F.col("_seed"), F.lit(name), *at), F.lit(1 << 53))
+    return (h + 0.5) / F.lit(float(1 << 53))
+
+
+def _uniform(name: str, low: float | Column, high: float | Column) -> Column:
+    return low + (high - low) * _unit(name)
+
+
+def _whole(name: str, low: int | Column, high: int | Column) -> Column:
+    """A whole number from ``low`` up to, not including, ``high``."""
+    return (low + F.floor((high - low) * _unit(name))).cast("int")
+
+
+def _normal(name: str, at: Column) -> Column:
+    return F.sqrt(-2.0 * F.ln(_unit(name, at, F.lit(0)))) * F.cos(2.0 * np.pi * _unit(name, at, F.lit(1)))
+
+
+def _wave(name: str, amplitude: Column, low_hz: float, high_hz: float, i: Column) -> Column:
+    phase = _unit(f"{name} phase") * 2.0 * np.pi
+    return amplitude * F.sin(2.0 * np.pi * _uniform(f"{name} hz", low_hz, high_hz) * i / RATE_HZ + phase)
+
+
+def _lead_off(w: Column, n: Column) -> Column:
+    """A block close to zero, then a straight ramp back to the signal."""
+    block, ramp = _whole("block", 10, 41), _whole("ramp", 10, 21)
+    start = _whole("start", 0, F.greatest(n - block - ramp, F.lit(0)) + 1)
+    stop = F.least(start + block, n)
+    back = F.least(stop + ramp, n)
+    low = _uniform("scale", 0.0, 0.05)
+    a = F.get(w, F.greatest(stop - 1, F.lit(0))) * low
+    b = F.get(w, F.least(back, n - 1))
+    at = lambda i: a + (b - a) * (i - stop) / F.greatest(back - stop - 1, F.lit(1))
+    return F.transform(w, lambda x, i: F.when((i >= start) & (i < stop), x * low).when((i >= stop) & (i < back), at(i)).otherwise(x))
+
+
+def _artifact(kind: str, w: Column, n: Column, sd: Column) -> Column:
+    if kind == "baseline_wander":
+        return F.transform(w, lambda x, i: x + _wave(kind, _uniform("amp", 0.3, 1.5) * sd, 0.05, 0.5, i))
+    if kind == "electrode_pop":
+        size = _uniform("amp", 3.0, 8.0) * sd * F.when(_unit("sign") < 0.5, -1.0).otherwise(1.0)
+        return F.transform(w, lambda x, i: F.when(i == _whole("at", 0, n), x + size).otherwise(x))
+    if kind == "emg_burst":
+        size = _whole("len", 30, 81)
+        first = _whole("at", 0, F.greatest(n - size, F.lit(1)))
+        amp = _uniform("amp", 0.5, 2.0) * sd
+        return F.transform(w, lambda x, i: F.when((i >= first) & (i < first + size), x + amp * _normal("burst", i)).otherwise(x))
+    if kind == "lead_off_transient":
+        return _lead_off(w, n)
+    if kind == "motion_artifact":
+        return F.transform(w, lambda x, i: x + _wave(kind, _uniform("amp", 1.0, 3.0) * sd, 1.0, 5.0, i))
+    return F.transform(w, lambda x, i: x + _uniform("amp", 0.2, 0.6) * sd * _normal("noise", i))
+
+
+def _jitter(kind: str, w: Column, n: Column, sd: Column) -> Column:
+    if kind == "gaussian":
+        return F.transform(w, lambda x, i: x + 0.05 * sd * _normal("noise", i))
+    if kind == "amplitude":
+        return F.transform(w, lambda x: x * _uniform("amp", 0.9, 1.1))
+    return F.transform(w, lambda x, i: F.get(w, F.pmod(i - _whole("shift", -2, 3), n)))
+
+
+def _damage(kind: str, w: Column, n: Column, sd: Column, level: float) -> Column:
+    if kind == "gaussian":
+        return F.transform(w, lambda x, i: x + level * 0.3 * sd * _normal("noise", i))
+    if kind == "masking":
+        size = F.floor(level * n).cast("int")
+        first = _whole("mask", 0, F.greatest(n - size, F.lit(1)))
+        return F.transform(w, lambda x, i: F.when((size < n) & (i >= first) & (i < first + size), 0.0).otherwise(x))
+    if kind == "baseline_wander":
+        return F.transform(w, lambda x, i: x + _wave(kind, level * sd, 0.05, 0.5, i))
+    return F.transform(w, lambda x: x * _uniform("scale", 1.0 - 0.3 * level, 1.0 + 0.3 * level))
+
+
+def _augment(df: DataFrame, run: int, kinds: Sequence[str], make, keys: Sequence[str], waveform: str, kind: str | None) -> DataFrame:
+    """One new window per row with the kind drawn for it, or the given one."""
+    d = df.select(*keys, F.col(waveform).cast("array<double>").alias(waveform), F.xxhash64(*keys, F.lit(run)).alias("_seed"))
+    pick = F.lit(kind) if kind else F.get(F.array(*map(F.lit, kinds)), _whole("kind", 0, len(kinds)))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    d = d.withColumn("_mean", mean(F.col(waveform)))
+    sd = F.sqrt(mean(F.transform(waveform, lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))))
+    # flat windows get a small scale of their own
+    d = d.withColumns({"_sd": F.when(sd < 1e-10, 1e-3).otherwise(sd), "_n": F.size(waveform), "kind": pick})
+    out = F.col(waveform)
+    for k in kinds:
+        out = F.when(F.col("kind") == k, make(k, d)).otherwise(out)
+    return d.withColumn(waveform, out).select(*keys, "kind", waveform)
+
+
+def augment_artifacts(df: DataFrame, run: int, keys: Sequence[str] = ("peak_id",), waveform: str = "waveform", kind: str | None = None) -> DataFrame:
     """Synthetic artifact windows from clean ones, labelled by kind."""
-    return _augment(df, run, _artifact, ARTIFACT_KINDS, keys, waveform)
-
-
-def augment_jitter(df: DataFrame, run: int, keys: Sequence[str] = ("peak_id",), waveform: str = "waveform") -> DataFrame:
-    """Small noise, scale and shift that keep the label."""
-    return _augment(df, run, _jitter, ("jitter",), keys, waveform)
-
-
-def corrupt(df: DataFrame, run: int, level: float = 0.5, keys: Sequence[str] = ("peak_id",), waveform: str = "waveform") -> DataFrame:
-    """Damaged copies for denoising, scaled by ``level``."""
-    return _augment(df, run, _corrupt(level), ARTIFACT_KINDS[:5], keys, waveform)
+    w, n, sd = F.col(waveform), F.col("_n"), F.col("_sd")
+    return _augment(df, run, ARTIFACT_KINDS, lambda k, d: _artifact(k, w, n, sd), keys, waveform, kind)
+
+
+def augment_jitter(df: DataFrame, run: int, keys: Sequence[str] = ("peak_id",), waveform: str = "waveform", kind: str | None = None) -> DataFrame:
+    """Small noise, scale or shift that keeps the label: one of them per row."""
+    w, n, sd = F.col(waveform), F.col("_n"), F.col("_sd")
+    return _augment(df, run, JITTER_KINDS, lambda k, d: _jitter(k, w, n, sd), keys, waveform, kind)
+
+
+def corrupt(df: DataFrame, run: int, level: float = 0.5, keys: Sequence[str] = ("peak_id",), waveform: str = "waveform", kind: str | None = None) -> DataFrame:
+    """Damaged copies for denoising, scaled by ``level``; ``combined`` applies two
+    or three kinds one after the other, in random order, at half the level."""
+    n, sd = F.col("_n"), F.col("_sd")
+
+    def make(k: str, d: DataFrame) -> Column:
+        if k != "combined":
+            return _damage(k, F.col(waveform), n, sd, level)
+        ranked = F.array_sort(F.array(*[F.struct(_unit(f"rank {x}").alias("u"), F.lit(x).alias("k")) for x in DAMAGE_KINDS]))
+        w = F.col(waveform)
+        for step in range(3):
+            this = F.get(ranked, F.lit(step))["k"]
+            new = w
+            for x in DAMAGE_KINDS:
+                new = F.when(this == x, _damage(x, w, n, sd, level * 0.5)).otherwise(new)
+            w = new if step < 2 else F.when(_unit("three") < 0.5, new).otherwise(w)
+        return w
+
+    return _augment(df, run, CORRUPTION_KINDS, make, keys, waveform, kind)
