@@ -131,10 +131,15 @@ def _(spark, sf):
     return columns.flags_to_int(d, flags, ["review_priority_score"]).select("peak_id", *flags, "review_priority_score")
 
 
-@query("b17_oversample")
-def _(spark, sf):
-    d = columns.oversample(fx.labels(spark, sf), "label", {"artifact": 15.0, "clean": 1.0}, seed=42)
-    return d.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+@query("b17_oversample", """SELECT count(*) AS n, true AS near_share FROM fx_labels""", "fx_labels")
+def _(spark, sf):
+    """As many draws as rows; artifacts near their share of the summed weights."""
+    d = fx.labels(spark, sf)
+    drawn = columns.oversample(d, "label", {"artifact": 15.0, "clean": 1.0}, seed=42)
+    hit = F.col("label") == "artifact"
+    want = d.agg((F.count_if(hit) * 15.0 / (F.count_if(hit) * 15.0 + F.count_if(~hit))).alias("want"))
+    got = drawn.agg(F.count(F.lit(1)).alias("n"), (F.count_if(hit) / F.count(F.lit(1))).alias("got"))
+    return got.crossJoin(F.broadcast(want)).select("n", (F.abs(F.col("got") - F.col("want")) < 0.1).alias("near_share"))
 
 
 @query("b17_class_weights", "SELECT peak_id, CASE WHEN label = 'artifact' THEN 15.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM fx_labels", "fx_labels")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatloom.params import DEFAULT_DECIMALS, METRIC_DECIMALS, STAT_COLUMNS, metrics_for
+from beatloom.params import DEFAULT_DECIMALS, METRIC_DECIMALS, STAT_COLUMNS, Series, metrics_for
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
 
@@ -138,20 +138,31 @@ def flags_to_int(df: DataFrame, flags: Sequence[str], scores: Sequence[str] = ()
     return df.withColumns(cols)
 
 
-def oversample(df: DataFrame, label: str, weights: Mapping[str, float], seed: int) -> DataFrame:
-    """Draw with replacement, each class at its weight relative to the largest.
+def oversample(
+    df: DataFrame, label: str, weights: Mapping[str, float], seed: int, n: int | None = None, key: str = "peak_id"
+) -> DataFrame:
+    """Exactly ``n`` rows (default: as many as there are) drawn with replacement,
+    each draw by the weight of the class; classes without a weight have 1.
 
-    The expected copies of a row are its class weight; each class is one
-    filter, so nothing is shuffled.
+    Rows own stretches of the line of summed weights; ``n`` hashed points are laid
+    on it, and both are put in one order, where each point takes the last row
+    before it. Points per row are counted, so only counts are joined back.
     """
-    parts = [
-        df.filter(F.col(label) == k).sample(withReplacement=True, fraction=float(w), seed=seed)
-        for k, w in weights.items()
-    ]
-    rest = df.filter(~F.coalesce(F.col(label).isin(*weights), F.lit(False)))
-    for p in parts:
-        rest = rest.unionByName(p)
-    return rest
+    from beatloom.plans.ordered import RANGE, in_ranges, running
+
+    whole = Series(key=(), ts=RANGE, tie=key, idx="_")
+    rows = class_weights(df.select(key, label), label, weights, "_w").filter("_w > 0")
+    rows = in_ranges(rows.select(key, "_w"), key)
+    rows = running(rows, {"_from": ("sum", F.col("_w"))}, whole, position=F.col(RANGE), width=1, order=(key,), exclusive=True)
+    size = rows.agg(F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    draws = df.sparkSession.range(n) if n is not None else df.select(F.xxhash64(key).alias("id"))
+    unit = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    points = draws.crossJoin(F.broadcast(size)).select((unit * F.col("_total")).alias("_at"), F.lit(None).cast(df.schema[key].dataType).alias(key))
+    line = rows.select(F.col("_from").alias("_at"), key).unionByName(points).withColumn("_point", F.col(key).isNull().cast("int"))
+    line = in_ranges(line, "_at", "_point")
+    line = running(line, {"_hit": ("last", F.col(key))}, whole, position=F.col(RANGE), width=1, order=("_at", "_point"))
+    times = line.filter("_point = 1").groupBy(F.col("_hit").alias(key)).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    return df.join(times, key).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
 
 
 def class_weights(df: DataFrame, label: str, weights: Mapping[str, float], name: str = "weight") -> DataFrame:

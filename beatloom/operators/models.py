@@ -343,11 +343,9 @@ def _augment(df: DataFrame, run: int, kinds: Sequence[str], make, keys: Sequence
     """One new window per row with the kind drawn for it, or the given one."""
     d = df.select(*keys, F.col(waveform).cast("array<double>").alias(waveform), F.xxhash64(*keys, F.lit(run)).alias("_seed"))
     pick = F.lit(kind) if kind else F.get(F.array(*map(F.lit, kinds)), _whole("kind", 0, len(kinds)))
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
-    d = d.withColumn("_mean", mean(F.col(waveform)))
-    sd = F.sqrt(mean(F.transform(waveform, lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))))
+    d = d.withColumn("_sd", A.sd(F.col(waveform)))
     # flat windows get a small scale of their own
-    d = d.withColumns({"_sd": F.when(sd < 1e-10, 1e-3).otherwise(sd), "_n": F.size(waveform), "kind": pick})
+    d = d.withColumns({"_sd": F.when(F.col("_sd") < 1e-10, 1e-3).otherwise(F.col("_sd")), "_n": F.size(waveform), "kind": pick})
     out = F.col(waveform)
     for k in kinds:
         out = F.when(F.col("kind") == k, make(k, d)).otherwise(out)

@@ -134,3 +134,15 @@ def test_leaf_paths_cover_the_tree(spark):
 def test_fixture_bounds(spark):
     b = fx.beats(spark, "/root/testdata/sf0.001")
     assert b.count() == 1000 and b.select("recording_id", "timestamp_ms").distinct().count() == 1000
+
+
+def test_oversample_draws_exactly_n(spark):
+    from beatloom.operators import columns
+
+    d = spark.range(300).select(F.col("id").alias("peak_id"), F.when(F.col("id") < 20, "artifact").when(F.col("id") < 200, "clean").otherwise("phys_event").alias("label"))
+    got = columns.oversample(d, "label", {"artifact": 15.0, "clean": 1.0, "phys_event": 0.0}, seed=3, n=5000)
+    n = {r.label: r["count"] for r in got.groupBy("label").count().collect()}
+    assert sum(n.values()) == 5000 and set(n) == {"artifact", "clean"}
+    assert abs(n["artifact"] / 5000 - 300 / 480) < 0.03
+    per = [r["count"] for r in got.filter("label = 'artifact'").groupBy("peak_id").count().collect()]
+    assert len(per) == 20 and max(per) < 2 * min(per)
