@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from beatloom.functions.timeparse import any_ms, epoch_any_unit
 from beatloom.operators import relational
 from beatloom.params import DEFAULTS, LABELS, Params
+from beatloom.session import materialise
 
 # Accepted column names, in order of preference.
 TIME_NAMES = ("DateTime", "datetime", "timestamp", "Timestamp", "time", "Time")
@@ -238,6 +239,18 @@ def merge_append(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFram
     return relational.upsert(old, new, key)
 
 
+def merge_into(path: str, new: DataFrame, key: Sequence[str], partitions: Sequence[str]) -> None:
+    """Upsert ``new`` into a partitioned Parquet table, the new rows winning.
+
+    Only partitions that ``new`` touches are read and written; the merged rows are
+    written aside first, since a table cannot be read while it is overwritten.
+    """
+    old = new.sparkSession.read.parquet(path)
+    touched = old.join(new.select(*partitions).distinct(), list(partitions), "left_semi").select(*old.columns)
+    merged = materialise(merge_append(touched, new.select(*old.columns), key))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
 # ---- review queues -----------------------------------------------------------
 
 

@@ -146,3 +146,15 @@ def test_oversample_draws_exactly_n(spark):
     assert abs(n["artifact"] / 5000 - 300 / 480) < 0.03
     per = [r["count"] for r in got.filter("label = 'artifact'").groupBy("peak_id").count().collect()]
     assert len(per) == 20 and max(per) < 2 * min(per)
+
+
+def test_merge_rewrites_only_touched_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(30).select("id", (F.col("id") % 3).cast("int").alias("day"), F.lit("old").alias("v"))
+    old.write.partitionBy("day").parquet(path)
+    before = sorted(p.name for p in (tmp_path / "t" / "day=0").glob("*.parquet"))
+    new = spark.createDataFrame([(1, 1, "new"), (100, 2, "new")], "id long, day int, v string")
+    tables.merge_into(path, new, ["id"], ["day"])
+    got = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert len(got) == 31 and {k for k, v in got.items() if v == "new"} == {1, 100}
+    assert sorted(p.name for p in (tmp_path / "t" / "day=0").glob("*.parquet")) == before
