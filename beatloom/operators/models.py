@@ -22,6 +22,17 @@ from pyspark.sql import functions as F
 
 from beatloom.functions import arrays as A
 from beatloom.operators.columns import decode, encode
+from beatloom.params import (
+    BRADYCARDIC_BPM,
+    LEAF_ARTIFACT,
+    LEAF_LOW_AMPLITUDE,
+    LEAF_NOISY,
+    LEAF_NORMAL,
+    LEAF_PRISTINE,
+    MOTIF_ERRATIC_CV,
+    MOTIF_NOISY_SPREAD,
+    TACHYCARDIC_BPM,
+)
 
 
 def impute(df: DataFrame, medians: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -108,9 +119,9 @@ def train_waveform_classifier(df: DataFrame, truth: str, width: int, hidden: int
 
 
 def hr_class(mean_rr: Column, normal: str) -> Column:
-    """Class of a mean interval: below 65 bpm, above 135 bpm, else ``normal``."""
+    """Class of a mean interval by heart rate, else ``normal``."""
     hr = F.lit(60000.0) / F.coalesce(mean_rr, F.lit(600.0))
-    return F.when(hr < 65.0, "bradycardic").when(hr > 135.0, "tachycardic").otherwise(normal)
+    return F.when(hr < BRADYCARDIC_BPM, "bradycardic").when(hr > TACHYCARDIC_BPM, "tachycardic").otherwise(normal)
 
 
 def _clusters(df: DataFrame, vector: Column, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +140,7 @@ def qrs_motifs(df: DataFrame, k: int = 12, seed: int = 42, waveform: str = "wave
     stats = assigned.groupBy("idx").agg(
         F.count(F.lit(1)).alias("n_beats"), F.avg(ptp).alias("_m"), F.stddev_pop(ptp).alias("_s"), F.avg(rr).alias("_rr")
     )
-    noisy = (F.col("_s") > 0.3 * F.col("_m")) & (F.col("_m") > 0)
+    noisy = (F.col("_s") > MOTIF_NOISY_SPREAD * F.col("_m")) & (F.col("_m") > 0)
     label = F.when(noisy, "noisy_cluster").otherwise(hr_class(F.col("_rr"), "normal_sinus"))
     return centres.join(stats, "idx").select("idx", label.alias("label"), "n_beats", "centroid")
 
@@ -149,7 +160,7 @@ def rr_motifs(df: DataFrame, k: int = 8, seed: int = 42, vector: str = "rr_vecto
     c = c.withColumn("centroid_ms", F.transform("centroid", lambda x: x * F.col("scale_sd") + F.col("scale_mean")))
     cv = F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0))) / F.col("_m")
     ramp = A.rr_pattern(F.col("centroid_ms"))
-    label = F.when(ramp != "", ramp).when(cv > 0.25, "erratic").otherwise(hr_class(F.col("_m"), "stable_sinus"))
+    label = F.when(ramp != "", ramp).when(cv > MOTIF_ERRATIC_CV, "erratic").otherwise(hr_class(F.col("_m"), "stable_sinus"))
     return c.select("idx", label.alias("label"), "n_beats", "centroid", "centroid_ms", "scale_mean", "scale_sd")
 
 
@@ -213,14 +224,14 @@ def categorise_leaves(leaves: DataFrame) -> DataFrame:
     zcr = has("window_zcr", ">") | has("window_zero_crossing_rate", ">")
     rules = (
         F.when(total == 0, "uncertain")
-        .when(has(corr, ">") & has(snr, ">") & (clean >= 0.95), "pristine")
-        .when(has(corr, ">") & (clean >= 0.90), "clean_normal")
-        .when(has(iqr, "<=") & (clean >= 0.80), "clean_low_amplitude")
-        .when(has("window_hf_noise_rms", ">") & (clean >= 0.70), "clean_noisy")
-        .when(has("window_wander_slope", ">") | (has(iqr, ">") & (clean < 0.70)), "baseline_wander")
-        .when((art >= 0.70) & has(corr, "<="), "artifact_morphology")
-        .when((art >= 0.70) & zcr, "artifact_noise")
-        .when(art >= 0.70, "artifact_general")
+        .when(has(corr, ">") & has(snr, ">") & (clean >= LEAF_PRISTINE), "pristine")
+        .when(has(corr, ">") & (clean >= LEAF_NORMAL), "clean_normal")
+        .when(has(iqr, "<=") & (clean >= LEAF_LOW_AMPLITUDE), "clean_low_amplitude")
+        .when(has("window_hf_noise_rms", ">") & (clean >= LEAF_NOISY), "clean_noisy")
+        .when(has("window_wander_slope", ">") | (has(iqr, ">") & (clean < LEAF_NOISY)), "baseline_wander")
+        .when((art >= LEAF_ARTIFACT) & has(corr, "<="), "artifact_morphology")
+        .when((art >= LEAF_ARTIFACT) & zcr, "artifact_noise")
+        .when(art >= LEAF_ARTIFACT, "artifact_general")
         .otherwise("uncertain")
     )
     return leaves.withColumns({"category": rules, "category_confidence": F.greatest(clean, art)})

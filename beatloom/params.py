@@ -85,17 +85,18 @@ TIMEFRAME_MIN_BEATS = {
 # timeframe -> (embedding dimension, fewest beats) of the entropy set
 ENTROPY_TIMEFRAMES = {"5M": (3, 250), "15M": (3, 750), "30M": (3, 1500), "1H": (4, 3400)}
 
-# Metric columns by the shortest timeframe family they are valid for.
+# Metric columns by the shortest timeframe family they are valid for.
 METRICS_ALL = (
-    "count med_rr min_rr max_rr mxdmn iqr q20 q80 mad mcv sdsd sdnn rmssd pnn20 pnn50 "
-    "cv cvsd dc ac hf hf_pct hf_peak lf lf_pct lf_peak lf_hf perm_en samp_en dfa_a1 "
-    "sd1 sd2 sd1_sd2 csi cvi"
-).split()
-METRICS_SHORT = ["mfe", "corr_dim"]
-METRICS_LONG = ["vlf", "vlf_pct", "vlf_peak", "total_power", "dfa_a2"]
-METRICS_DAY = ["ulf", "sdann5", "sdnni5", "amo50", "hti", "tinn"]
-# Columns that describe a window rather than its variability.
-STAT_COLUMNS = "count med_rr min_rr max_rr mxdmn mad mcv iqr q20 q80 cv".split()
+    "count", "med_rr", "min_rr", "max_rr", "mxdmn", "iqr", "q20", "q80", "mad", "mcv", "sdsd",
+    "sdnn", "rmssd", "pnn20", "pnn50", "cv", "cvsd", "dc", "ac", "hf", "hf_pct", "hf_peak", "lf",
+    "lf_pct", "lf_peak", "lf_hf", "perm_en", "samp_en", "dfa_a1", "sd1", "sd2", "sd1_sd2", "csi",
+    "cvi",
+)
+METRICS_SHORT = ("mfe", "corr_dim")
+METRICS_LONG = ("vlf", "vlf_pct", "vlf_peak", "total_power", "dfa_a2")
+METRICS_DAY = ("ulf", "sdann5", "sdnni5", "amo50", "hti", "tinn")
+# Columns that describe a window rather than its variability.
+STAT_COLUMNS = ("count", "med_rr", "min_rr", "max_rr", "mxdmn", "mad", "mcv", "iqr", "q20", "q80", "cv")
 
 # Decimal places per metric; every other metric gets DEFAULT_DECIMALS.
 DEFAULT_DECIMALS = 1
@@ -114,6 +115,11 @@ METRIC_RANGES = {
     "pnn20": (1.0, 20.0),
     "lf_hf": (0.5, 2.0),
 }
+# Limits of the leaf categories (shares of clean or artifact beats).
+LEAF_PRISTINE, LEAF_NORMAL, LEAF_LOW_AMPLITUDE, LEAF_NOISY, LEAF_ARTIFACT = 0.95, 0.90, 0.80, 0.70, 0.70
+# Heart-rate classes (bpm) and spread limits of motif labels.
+BRADYCARDIC_BPM, TACHYCARDIC_BPM = 65.0, 135.0
+MOTIF_NOISY_SPREAD, MOTIF_ERRATIC_CV = 0.3, 0.25
 LABELS = ("clean", "artifact", "interpolated", "phys_event", "missed_original")
 QUALITY = ("clean", "noisy_ok", "bad")
 # weight of each flag in the review priority score
