@@ -96,9 +96,8 @@ FROM fx_beats b LEFT JOIN c USING (peak_id)""", "fx_beats")
 def _(spark, sf):
     b = fx.beats(spark, sf)
     cats = b.filter("event_type <> 'view'").select("peak_id", F.col("event_type").alias("category"))
-    values = columns.vocabulary(fx.table(spark, sf, "events").filter("event_type <> 'view'"), "event_type")
     joined = b.select("peak_id").join(cats, "peak_id", "left")
-    return columns.one_hot(joined, "category", "cat_", values).drop("category")
+    return columns.one_hot(joined, "category", "cat_", ("click", "error", "purchase", "signup")).drop("category")
 
 
 @query("b12_one_hot_motifs", "SELECT vec_id AS peak_id, " + ", ".join(f"CASE WHEN label = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS motif_qrs_{k}" for k in range(10)) + " FROM embeddings")

@@ -199,7 +199,10 @@ def resample(df: DataFrame, ts_ms: str, step_ms: int, values: Sequence[str], gro
 def resample_spine(df: DataFrame, keys: list[str], ts: str, step_ms: int) -> DataFrame:
     """Every step between the first and last one per key; empty steps are null."""
     ends = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    spine = ends.select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step_ms))).alias(ts))
+    # in two steps: no row holds more than a part of the spine, however far apart the ends
+    part = F.lit(step_ms * 4096)
+    parts = ends.select(*keys, "_b", F.explode(F.sequence("_a", "_b", part)).alias("_p"))
+    spine = parts.select(*keys, F.explode(F.sequence("_p", F.least("_b", F.col("_p") + part - step_ms), F.lit(step_ms))).alias(ts))
     return spine.join(df, [*keys, ts], "left")
 
 

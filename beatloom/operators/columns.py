@@ -86,17 +86,8 @@ def round_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def vocabulary(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Distinct values of a categorical column; fails beyond ``limit``."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values: not a category")
-    return sorted(r[0] for r in rows)
-
-
-def one_hot(df: DataFrame, column: str, prefix: str, values: Sequence[str] | None = None) -> DataFrame:
-    """0/1 column per category; a missing category is all zeros."""
-    values = vocabulary(df, column) if values is None else values
+def one_hot(df: DataFrame, column: str, prefix: str, values: Sequence[str]) -> DataFrame:
+    """0/1 column per category of the given vocabulary; a missing category is all zeros."""
     return df.withColumns(
         {f"{prefix}{v}": F.when(F.col(column) == v, F.lit(1.0)).otherwise(F.lit(0.0)) for v in values}
     )
