@@ -233,9 +233,12 @@ def repeated_starts_of(docs: DataFrame, key: str, text: str, length: int, gram:
                     f, span = c["first"], c["last"] - c["first"] + 1
                     if c["m"] <= HOT:  # the context, with its number of windows
                         rows = [(c["hash"], span, data[f : f + span - 1 + length])]
-                    else:  # its windows, with their place, numbered from -1 down
-                        keys = [xxhash.xxh3_128_digest(data[f + i : f + i + length]) for i in range(span)]
-                        rows = [(int.from_bytes(k[:8], "big", signed=True), -1 - i, k) for i, k in enumerate(keys)]
+                    else:  # its windows' hashes and places, dealt out by the hash
+                        parts: dict[int, list[bytes]] = {}
+                        for i in range(span):
+                            w = xxhash.xxh3_128_digest(data[f + i : f + i + length])
+                            parts.setdefault(int.from_bytes(w[:4]) % -(-c["m"] // HOT), []).append(i.to_bytes(4) + w)
+                        rows = [(xxhash.xxh3_64_intdigest(f"{c['hash']} {p}") - (1 << 63), -1, b"".join(ws)) for p, ws in parts.items()]
                     for part, at, piece in rows:
                         out["part"].append(part)
                         out["hash"].append(c["hash"])
@@ -256,9 +259,9 @@ def repeated_starts_of(docs: DataFrame, key: str, text: str, length: int, gram:
             hit = [(r[1], r[2], _runs(f)) for r, f in zip(whole, flags) if f.any()]
             same: dict[bytes, list] = {}
             for r in rows:
-                if r[3] < 0:
-                    same.setdefault(r[4], []).append(r)
-            hit += [(r[1], r[2], [(-1 - r[3], -r[3])]) for rs in same.values() if len(rs) > 1 for r in rs]
+                for j in range(0, len(r[4]) if r[3] < 0 else 0, 20):
+                    same.setdefault(r[4][j + 4 : j + 20], []).append((r[1], r[2], int.from_bytes(r[4][j : j + 4])))
+            hit += [(h, c, [(i, i + 1)]) for found in same.values() if len(found) > 1 for h, c, i in found]
             return {"hash": [h[0] for h in hit], "ctx": [h[1] for h in hit], "runs": [[{"a": a, "b": b} for a, b in h[2]] for h in hit]}
 
         rows, size = [], 0
