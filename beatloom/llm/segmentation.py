@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from beatloom.llm.text import keyed, map_batches, schema_of, texts
 from beatloom.llm.token_counts import MARK, PRE_TOKEN
 
-BLOCK = 5_000_000  # characters whose lattices are built together
+BLOCK = 1_500_000  # characters whose lattices are built together
 _PRIME = np.uint64(0x100000001B3)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +128,7 @@ def build_lattice(p: Pieces, words: list[str]) -> Lattice:
     n = len(chars)
     src, to, ids = [], [], []
     covered = np.zeros(n, dtype=bool)
-    alive, h = np.arange(n), np.zeros(n, dtype=np.uint64)
+    alive, h = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.uint64)
     for size in range(1, p.longest + 1):
         h = p.step(h, chars[alive + (size - 1)])
         hit = p.find(h)
@@ -154,11 +154,12 @@ def build_lattice(p: Pieces, words: list[str]) -> Lattice:
     start = np.concatenate([[0], ends[:-1] + 1]) if len(words) else np.empty(0, dtype=np.int64)
     # state behind a piece: that of the next character, or the end of the word
     after = np.concatenate([state, [n_states - 1]])
-    s = np.concatenate([*src[::-1], np.empty(0, dtype=np.int64)]).astype(np.int64)
-    e = np.concatenate([*to[::-1], np.empty(0, dtype=np.int64)]).astype(np.int64)
-    i = np.concatenate([*ids[::-1], np.empty(0, dtype=np.int64)]).astype(np.int64)
-    e_state = np.where(e == stop[s], ends[word[s]], after[np.minimum(e, n)]) if len(s) else e
-    s_state = state[s] if len(s) else s
+    s = np.concatenate([*src[::-1], np.empty(0, dtype=np.int32)])
+    e = np.concatenate([*to[::-1], np.empty(0, dtype=np.int32)])
+    i = np.concatenate([*ids[::-1], np.empty(0, dtype=np.int32)])
+    e_state = np.where(e == stop[s], ends[word[s]], after[e]).astype(np.int32)
+    s_state = state[s].astype(np.int32)
+    del src, to, ids, s, e, h, alive
     # byte chains
     more_s, more_e, more_i = [], [], []
     for b in bare.tolist():
@@ -166,9 +167,9 @@ def build_lattice(p: Pieces, words: list[str]) -> Lattice:
         more_s += range(int(state[b]), int(state[b]) + len(raw))
         more_i += p.byte_ids[list(raw)].tolist()
     more_e = [x + 1 for x in more_s]
-    s_state = np.concatenate([s_state, np.array(more_s, dtype=np.int64)])
-    e_state = np.concatenate([e_state, np.array(more_e, dtype=np.int64)])
-    i = np.concatenate([i, np.array(more_i, dtype=np.int64)])
+    s_state = np.concatenate([s_state, np.array(more_s, dtype=np.int32)])
+    e_state = np.concatenate([e_state, np.array(more_e, dtype=np.int32)])
+    i = np.concatenate([i, np.array(more_i, dtype=np.int32)])
     # backward sums: states by their distance from the end of the word
     order = np.argsort(s_state, kind="stable")
     s_state, e_state, i = s_state[order], e_state[order], i[order]
@@ -187,10 +188,12 @@ def build_lattice(p: Pieces, words: list[str]) -> Lattice:
         w = np.exp(logw[edges] + beta[e_state[edges]] - (top := beta[st + 1])[np.repeat(np.arange(len(st)), deg)])
         beta[st] = top + np.log(np.add.reduceat(w, np.concatenate([[0], np.cumsum(deg)[:-1]])))
     logc = logw + beta[e_state] - beta[s_state]
-    prob = np.exp(logc)
-    total = np.cumsum(prob)
-    before = np.concatenate([[0.0], total])[first[s_state]]
-    cum = total - before
+    cum = np.exp(logc)
+    at = first[:-1][np.diff(first) > 1] + 1  # the second edge of each state, then the third ...
+    stop_at = first[1:][np.diff(first) > 1]
+    while len(at):
+        cum[at] += cum[at - 1]
+        at, stop_at = at[at + 1 < stop_at] + 1, stop_at[at + 1 < stop_at]
     cum[first[1:][first[1:] > first[:-1]] - 1] = 2.0  # the last edge takes what rounding leaves
     return Lattice(start, first, cum, e_state, i.astype(np.int32), logc)
 
@@ -226,7 +229,7 @@ def walk(lat: Lattice, word: np.ndarray, key: np.ndarray, place: np.ndarray, sam
         at[live] = s = lat.to[edge]
         live = live[lat.first[s + 1] > lat.first[s]]
     offset = np.concatenate([[0], np.cumsum(count)])
-    state, edges = np.empty(offset[-1], dtype=np.int64), np.empty(offset[-1], dtype=np.int64)
+    state, edges = np.empty(offset[-1], dtype=np.int32), np.empty(offset[-1], dtype=np.int32)
     for t, (who, s, e) in enumerate(steps):
         state[offset[who] + t] = s
         edges[offset[who] + t] = e
@@ -246,86 +249,125 @@ class Sample(NamedTuple):
     log_inclusion: float
 
 
-def sample_text(lat: Lattice, walks: list[Walk], a: int, b: int, row: int, k: int) -> list[Sample]:
-    """A-star search over one text, the word occurrences a..b of ``walks``.
+HEAD = 384  # tokens of a path that are looked at together
+POOL = 64  # draws of a text in one step of the search
+_SETS, _STEPS, _MORE = (np.uint64(n) << np.uint64(56) for n in (1, 2, 3))
+
+
+class Search:
+    """A-star search over the texts of a block, one step of all texts at a time.
 
     ``walks[j]`` supplies the completions of the j-th popped set behind the word
     in which it leaves its parent.
     """
-    key = np.uint64(row)
-    counter = np.uint64(1) << np.uint64(40)
-    pool = np.empty(0)
-    drawn = 0
-
-    def draw(n: int) -> np.ndarray:
-        nonlocal pool, drawn
-        if n > len(pool):
-            more = max(n, 512)
-            fresh = uniforms(np.full(more, key), counter + np.arange(drawn, drawn + more, dtype=np.uint64))
-            pool, drawn = np.concatenate([pool, fresh]), drawn + more
-        out, pool = pool[:n], pool[n:]
-        return out
 
-    def rest(path: np.ndarray, begin: int, limit: float) -> None:
-        """Queue the best sets that leave ``path`` at token ``begin`` or later.
+    def __init__(self, lat: Lattice, walks: list[Walk], bounds: np.ndarray, rows: list[int], k: int):
+        self.lat, self.walks, self.bounds, self.k = lat, walks, bounds, k
+        self.keys = np.array(rows, dtype=np.uint64)
+        n = len(rows)
+        self.paths: list[list[np.ndarray]] = [[] for _ in range(n)]
+        self.scores: list[list[float]] = [[] for _ in range(n)]
+        self.queue: list[list[tuple[float, int, int, tuple[int, ...]]]] = [[] for _ in range(n)]
+        self.used = np.zeros(n, dtype=np.int64)
+
+    def run(self) -> None:
+        w, o = self.walks[0], self.walks[0].offset[self.bounds]
+        full = np.flatnonzero(np.diff(o) > 0)
+        first = [w.edge[o[d] : o[d + 1]] for d in full.tolist()]
+        limit = -np.log(-np.log(uniforms(self.keys[full], _STEPS + np.zeros(len(full), dtype=np.uint64))))
+        self._add(full, first, np.zeros(len(full), dtype=np.int64), limit)
+        for step in range(1, self.k):
+            open_ = np.array([d for d in full.tolist() if self.queue[d]], dtype=np.int64)
+            if not len(open_):
+                break
+            at = _STEPS + np.uint64(step * POOL) + np.arange(POOL, dtype=np.uint64)
+            draws = uniforms(np.repeat(self.keys[open_], POOL), np.tile(at, len(open_))).reshape(-1, POOL)
+            new = [self._pop(d, step, u) for d, u in zip(open_.tolist(), draws)]
+            self._add(open_, [p for p, _, _ in new], np.array([b for _, b, _ in new]), np.array([g for _, _, g in new]))
+
+    def _add(self, docs: np.ndarray, paths: list[np.ndarray], begin: np.ndarray, limit: np.ndarray) -> None:
+        """Take a path per text and queue the best sets that leave it at token
+        ``begin`` or later, all below ``limit``.
 
-        Sets with less than e^-60 of the mass behind ``begin`` are beyond the
+        Sets with less than e^-40 of the mass behind ``begin`` are beyond the
         precision of the draws and left out.
         """
-        size = 96
-        while True:
-            logc = lat.logc[path[begin : begin + size]]
-            before = np.cumsum(logc) - logc
-            if begin + size >= len(path) or before[-1] < -60.0:
-                break
-            size *= 4
-        left = -np.expm1(logc)
-        open_ = np.flatnonzero((left > 1e-12) & (before >= -60.0))
-        if not len(open_):
-            return
-        mass = lat.logc[path[:begin]].sum() + before[open_] + np.log(left[open_])
-        best = _below(limit, mass, draw(len(open_)))
-        for j in np.argsort(-best, kind="stable")[: k + 1].tolist():
-            at = begin + int(open_[j])
-            heapq.heappush(queue, (-float(best[j]), len(paths), at, (int(path[at]),)))
-
-    w0 = walks[0]
-    path = w0.edge[w0.offset[a] : w0.offset[b]]
-    paths: list[np.ndarray] = []
-    queue: list[tuple[float, int, int, tuple[int, ...]]] = []
-    scores = [float(-np.log(-np.log(draw(1)[0])))]
-    rest(path, 0, scores[0])
-    paths.append(path)
-    while len(paths) < k and queue:
-        g, parent, at, out = heapq.heappop(queue)
-        limit = -g
-        old = paths[parent]
+        head = HEAD
+        logc = self.lat.logc
+        base = np.array([logc[p[:b]].sum() for p, b in zip(paths, begin.tolist())])
+        for d, p, g in zip(docs.tolist(), paths, limit.tolist()):
+            self.paths[d].append(p)
+            self.scores[d].append(g)
+        todo = np.arange(len(docs))
+        while len(todo):
+            cut = [paths[i][begin[i] : begin[i] + head] for i in todo.tolist()]
+            size = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+            real = np.arange(head) < size[:, None]
+            grid = np.zeros((len(cut), head))
+            grid[real] = logc[np.concatenate(cut)]
+            before = np.cumsum(grid, axis=1) - grid
+            longer = np.array([len(paths[i]) - begin[i] > head for i in todo.tolist()])
+            again = longer & (before[:, -1] >= -40.0)
+            left = -np.expm1(grid)
+            row, place = np.nonzero(real & (left > 1e-12) & (before >= -40.0) & ~again[:, None])
+            who = todo[row]
+            mass = base[who] + before[row, place] + np.log(left[row, place])
+            u = uniforms(self.keys[docs[who]], _SETS + (self.used[docs[who]] + place).astype(np.uint64))
+            best = _below(limit[who], mass, u)
+            order = np.lexsort((-best, who))
+            rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+            for j in order[rank <= self.k].tolist():
+                d = int(docs[who[j]])
+                at = int(begin[who[j]] + place[j])
+                heapq.heappush(self.queue[d], (-float(best[j]), len(self.paths[d]) - 1, at, (int(self.paths[d][-1][at]),)))
+            self.used[docs[todo[~again]]] += head
+            todo, head = todo[again], head * 4
+
+    def _pop(self, d: int, step: int, draws: np.ndarray) -> tuple[np.ndarray, int, float]:
+        """Complete the best set of a text and split the rest of it off: the new
+        path, where its own sets begin, and their limit."""
+        lat, pool = self.lat, draws.tolist()
+        key, count = self.keys[d : d + 1], 0
+
+        def draw() -> float:
+            nonlocal count
+            if pool:
+                return pool.pop()
+            count += 1
+            return float(uniforms(key, np.array([_MORE + np.uint64((step << 32) + count)]))[0])
+
+        g, parent, at, out = heapq.heappop(self.queue[d])
+        old = self.paths[d][parent]
         state = int(np.searchsorted(lat.first, old[at], side="right") - 1)
         options = [e for e in range(int(lat.first[state]), int(lat.first[state + 1])) if e not in out]
         p = np.exp(lat.logc[options])
-        pick = options[min(int(np.searchsorted(np.cumsum(p), float(draw(1)[0]) * p.sum(), side="right")), len(options) - 1)]
+        pick = options[min(int(np.searchsorted(np.cumsum(p), draw() * p.sum(), side="right")), len(options) - 1)]
         left = 1.0 - float(np.exp(lat.logc[[*out, pick]]).sum())
         if len(options) > 1 and left > 1e-12:
             mass = float(lat.logc[old[:at]].sum()) + np.log(left)
-            heapq.heappush(queue, (-float(_below(limit, np.array([mass]), draw(1))[0]), parent, at, (*out, pick)))
+            heapq.heappush(self.queue[d], (-float(_below(-g, mass, draw())), parent, at, (*out, pick)))
         # on to the end of the word, then the words behind it
         tail, s = [pick], int(lat.to[pick])
         while lat.first[s + 1] > lat.first[s]:
-            e, u = int(lat.first[s]), float(draw(1)[0])
+            e, u = int(lat.first[s]), draw()
             while u >= lat.cum[e]:
                 e += 1
             tail.append(e)
             s = int(lat.to[e])
-        # which word: ends passed so far on the old path
-        done = int((lat.first[lat.to[old[:at]] + 1] == lat.first[lat.to[old[:at]]]).sum())
-        nxt = walks[len(paths)]
-        path = np.concatenate([old[:at], np.array(tail, dtype=np.int64), nxt.edge[nxt.offset[a + done + 1] : nxt.offset[b]]])
-        scores.append(limit)
-        rest(path, at + 1, limit)
-        paths.append(path)
-    kappa = -queue[0][0] if queue else -np.inf
-    log_prob = [float(lat.logc[x].sum()) for x in paths]
-    return [Sample(lat.piece[x], lp, float(g), _log_above(lp - kappa)) for x, lp, g in zip(paths, log_prob, scores)]
+        # words that end before the place where the path leaves the old one
+        ends = lat.to[old[:at]]
+        done = int((lat.first[ends + 1] == lat.first[ends]).sum())
+        nxt = self.walks[step]
+        words = nxt.edge[nxt.offset[self.bounds[d] + done + 1] : nxt.offset[self.bounds[d + 1]]]
+        return np.concatenate([old[:at], np.array(tail, dtype=np.int32), words]), at + 1, -g
+
+    def samples(self, d: int) -> list[Sample]:
+        kappa = -self.queue[d][0][0] if self.queue[d] else -np.inf
+        out = []
+        for x, g in zip(self.paths[d], self.scores[d]):
+            lp = float(self.lat.logc[x].sum())
+            out.append(Sample(self.lat.piece[x], lp, float(g), _log_above(lp - kappa)))
+        return out
 
 
 def _log_above(x: float) -> float:
@@ -361,7 +403,9 @@ def sample_block(p: Pieces, block: list[str], rows: list[int], k: int) -> list[l
     place = ahead[:-1] - np.repeat(ahead[bounds[:-1]], counts)
     key = np.repeat(np.array(rows, dtype=np.uint64), counts)
     walks = [walk(lat, word, key, place, j) for j in range(k)]
-    return [sample_text(lat, walks, int(a), int(b), r, k) if b > a else [] for a, b, r in zip(bounds[:-1], bounds[1:], rows)]
+    search = Search(lat, walks, bounds, rows, k)
+    search.run()
+    return [search.samples(d) for d in range(len(rows))]
 
 
 def sample_segmentations(
