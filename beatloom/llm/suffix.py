@@ -6,8 +6,9 @@ windows meet under the same anchor hash. Neighbouring windows with one anchor
 form a context; equal contexts are counted, and the different contexts of one
 anchor hash go to a suffix array, which finds the windows they share.
 
-Contexts of one hash that are too many for one suffix array are dealt out further,
-window by window, by the hash of the whole window. The suffix array is built by two-stage sorting: suffixes smaller than their
+Contexts of one hash that are too many for one suffix array become one row per
+window; Spark counts the digests of whole windows and joins the repeated ones back.
+The suffix array is built by two-stage sorting: suffixes smaller than their
 successor are sorted directly, the others are induced by bucket scans; adjacent
 common prefixes of ``length`` bytes or more mark the repeated windows.
 """
@@ -210,6 +211,19 @@ def survey(docs: DataFrame, key: str, text: str, length: int, gram: int) -> Data
     return map_batches(d, run, schema_of(d, key, f"n_bytes long, sha binary, contexts {CONTEXT}"))
 
 
+def equal_windows(windows: DataFrame) -> DataFrame:
+    """``hash``, ``ctx`` and ``runs`` of the windows (hash, ctx, i, w1, w2) whose
+    digest (w1, w2) stands in more than one row.
+
+    Tasks count before they pass on, and the join back streams its rows past one
+    row per digest (Spark splits a hot one): no list of equal windows is held. A
+    context has a bounded number of windows.
+    """
+    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
+    run = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
+    return windows.join(again.hint("merge"), ["w1", "w2"], "left_semi").groupBy("hash", "ctx").agg(F.collect_list(run).alias("runs"))
+
+
 def repeated_starts_of(docs: DataFrame, key: str, text: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(survey, starts): the surveyed documents, and for those with repeated
     windows the runs [a, b) of their starts, unordered and overlapping."""
@@ -222,63 +236,69 @@ def repeated_starts_of(docs: DataFrame, key: str, text: str, length: int, gram:
     mixed = materialise(kinds.join(groups, "hash"))
 
     # contexts that are not alone under their hash: cut from the texts
-    cuts = mixed.groupBy("id").agg(F.collect_list(F.struct("hash", "ctx", "m", "first", "last")).alias("cuts"))
-    near = sift(d, mixed.select("id"), "id").join(cuts, "id").select(F.col("text").alias("_text"), "cuts")
+    def near(some: DataFrame) -> DataFrame:
+        cuts = some.groupBy("id").agg(F.collect_list(F.struct("hash", "ctx", "first", "last")).alias("cuts"))
+        return sift(d, some.select("id"), "id").join(cuts, "id").select(F.col("text").alias("_text"), "cuts")
 
     def cut(batches):
         for batch in batches:
-            out: dict[str, list] = {"part": [], "hash": [], "ctx": [], "at": [], "bytes": []}
+            out: dict[str, list] = {"hash": [], "ctx": [], "at": [], "bytes": []}
             for data, wanted in zip(blobs(batch), batch.column("cuts").to_pylist()):
-                for c in wanted:
+                for c in wanted:  # the context, with its number of windows
                     f, span = c["first"], c["last"] - c["first"] + 1
-                    if c["m"] <= HOT:  # the context, with its number of windows
-                        rows = [(c["hash"], span, data[f : f + span - 1 + length])]
-                    else:  # its windows' hashes and places, dealt out by the hash
-                        parts: dict[int, list[bytes]] = {}
-                        for i in range(span):
-                            w = xxhash.xxh3_128_digest(data[f + i : f + i + length])
-                            parts.setdefault(int.from_bytes(w[:4]) % -(-c["m"] // HOT), []).append(i.to_bytes(4) + w)
-                        rows = [(xxhash.xxh3_64_intdigest(f"{c['hash']} {p}") - (1 << 63), -1, b"".join(ws)) for p, ws in parts.items()]
-                    for part, at, piece in rows:
-                        out["part"].append(part)
-                        out["hash"].append(c["hash"])
-                        out["ctx"].append(c["ctx"])
-                        out["at"].append(at)
-                        out["bytes"].append(piece)
-                    if len(out["part"]) > 50_000:
+                    out["hash"].append(c["hash"])
+                    out["ctx"].append(c["ctx"])
+                    out["at"].append(span)
+                    out["bytes"].append(data[f : f + span - 1 + length])
+                    if len(out["hash"]) > 50_000:
                         yield out
                         out = {n: [] for n in out}
             yield out
 
-    pieces = map_batches(near, cut, StructType.fromDDL("part long, hash long, ctx long, at int, bytes binary"))
+    def single(batches):  # each window of a hot anchor by itself
+        for batch in batches:
+            hs, ctxs, places, digests = [], [], [], []
+
+            def rows():
+                w = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+                return {"hash": hs, "ctx": ctxs, "i": places, "w1": w[:, 0], "w2": w[:, 1]}
+
+            for data, wanted in zip(blobs(batch), batch.column("cuts").to_pylist()):
+                for c in wanted:
+                    f, span = c["first"], c["last"] - c["first"] + 1
+                    hs += [c["hash"]] * span
+                    ctxs += [c["ctx"]] * span
+                    places += range(span)
+                    digests += [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(f, f + span)]
+                    if len(hs) > 50_000:
+                        yield rows()
+                        hs, ctxs, places, digests = [], [], [], []
+            yield rows()
+
+    pieces = map_batches(near(mixed.filter(F.col("m") <= HOT)), cut, StructType.fromDDL("hash long, ctx long, at int, bytes binary"))
+    hot = map_batches(near(mixed.filter(F.col("m") > HOT)), single, StructType.fromDDL("hash long, ctx long, i int, w1 long, w2 long"))
 
     def sort(batches):
         def flush(rows):
-            whole = [r for r in rows if r[3] > 0]
-            flags = repeated_starts([r[4] for r in whole], [r[3] for r in whole], length) if whole else []
-            hit = [(r[1], r[2], _runs(f)) for r, f in zip(whole, flags) if f.any()]
-            same: dict[bytes, list] = {}
-            for r in rows:
-                for j in range(0, len(r[4]) if r[3] < 0 else 0, 20):
-                    same.setdefault(r[4][j + 4 : j + 20], []).append((r[1], r[2], int.from_bytes(r[4][j : j + 4])))
-            hit += [(h, c, [(i, i + 1)]) for found in same.values() if len(found) > 1 for h, c, i in found]
+            flags = repeated_starts([r[3] for r in rows], [r[2] for r in rows], length)
+            hit = [(r[0], r[1], _runs(f)) for r, f in zip(rows, flags) if f.any()]
             return {"hash": [h[0] for h in hit], "ctx": [h[1] for h in hit], "runs": [[{"a": a, "b": b} for a, b in h[2]] for h in hit]}
 
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "hash", "ctx", "at", "bytes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "ctx", "at", "bytes"))):
                 if size >= CHUNK and row[0] != rows[-1][0]:
                     yield flush(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[3])
         if rows:
             yield flush(rows)
 
     schema = StructType.fromDDL("hash long, ctx long, runs array<struct<a:int,b:int>>")
-    shared = map_batches(pieces.repartition("part").sortWithinPartitions("part"), sort, schema)
+    shared = map_batches(pieces.repartition("hash").sortWithinPartitions("hash"), sort, schema)
     whole = kinds.filter("n > 1").select("hash", "ctx", F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first") + 1).alias("b"))).alias("runs"))
-    found = whole.unionByName(shared)
+    found = whole.unionByName(shared).unionByName(equal_windows(materialise(hot)))
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
     starts = posts.join(found, ["hash", "ctx"]).groupBy("id").agg(F.flatten(F.collect_list(moved)).alias("starts"))
     return seen.select("id", "n_bytes", "sha"), starts

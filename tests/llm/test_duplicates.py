@@ -137,3 +137,14 @@ def test_anchors_cover_every_window_and_see_only_it():
         g = suffix.gram_hashes(d, 3)
         got = [(p, int(x)) for x, a, b in zip(h, first, last) for p in range(a, b + 1)]
         assert got == [(p, int(g[p : p + 18].min())) for p in range(len(t) - 19)]
+
+
+def test_equal_windows_hold_no_lists(spark):
+    """One passage under many contexts is counted by Spark, not listed in a task."""
+    rows = [(1, c, i, i, 7) for c in range(3000) for i in range(3)] + [(1, c, 3, -c, 8) for c in range(3000)]
+    got = suffix.equal_windows(spark.createDataFrame(rows, "hash long, ctx long, i int, w1 long, w2 long"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "SortMergeJoin" in plan and "MapInArrow" not in plan
+    found = got.collect()
+    assert len(found) == 3000
+    assert all(sorted((r.a, r.b) for r in x.runs) == [(0, 1), (1, 2), (2, 3)] for x in found)
