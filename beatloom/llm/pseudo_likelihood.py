@@ -1,14 +1,18 @@
 """Masked pseudo-likelihood: every word scored from both of its sides.
 
 A bidirectional window network reads the ``SIDE`` words before and behind a masked
-word and predicts it: embeddings by position, one tanh layer, a softmax over word
-classes, and the word's share of its class. The sum of the conditional
+word and predicts it: embeddings by position, one tanh layer, a softmax over
+classes of tokens, then a binary tree of logistic decisions inside the class. A
+token is a frequent word or a group of about ``GROUP`` rare words with one ending;
+a group has a tree of its own down to the single word. Every decision starts at
+the counted shares and is tilted by the context. The sum of the conditional
 log-probabilities is the document's score.
 
-Vocabulary, classes and shares come from counts over all documents. The network is
+All distinct words are counted; groups and trees grow with them. The network is
 trained in NumPy inside tasks on every word of the corpus: in each round the tasks
 start from common weights and run over a disjoint part of the documents, Spark
-averages their weights by the number of words. The model has a fixed size.
+averages their weights by the number of words. The trees of the groups stay in a
+Spark table; the rare words' contexts are dealt to them by group.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,11 +37,73 @@ SIDE = 2
 WIDTH = 16
 CLASSES = 48
 VOCABULARY = 2048
-RARE = 256  # tokens for words outside the vocabulary, by their last letters
+RARE = 256  # classes of last letters, for words outside the vocabulary
+GROUP = 4096  # rare words of one group, about
 ROUNDS = 2
 BATCH = 8192
 _OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
 _HELD = 200_000  # distinct words a task counts before it passes them on
+_PACKED = 1 << 21  # rare words a task holds before it passes them on
+
+
+class Tree:
+    """Binary trees over leaves, split at about half of their mass. A decision's
+    logit is that of the masses plus the product of context and node vector."""
+
+    def __init__(self, parts: list[np.ndarray], mass: np.ndarray):
+        lows, mids, highs, base = [], [], [], []
+        order = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+        cum = np.concatenate([[0.0], np.cumsum(mass[order])])
+        at = 0
+        for p in parts:
+            todo = [(at, at + len(p))]
+            at += len(p)
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo < 2:
+                    continue
+                mid = int(np.searchsorted(cum, (cum[lo] + cum[hi]) / 2))
+                mid = min(max(mid, lo + 1), hi - 1)
+                lows.append(lo)
+                mids.append(mid)
+                highs.append(hi)
+                base.append(np.log(max(cum[mid] - cum[lo], 1e-9) / max(cum[hi] - cum[mid], 1e-9)))
+                todo += [(lo, mid), (mid, hi)]
+        lo, mid, hi = (np.array(x, dtype=np.int64) for x in (lows, mids, highs))
+        self.base = np.array(base, dtype=np.float32)
+        size = hi - lo
+        node = np.repeat(np.arange(len(lo)), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[node]
+        leaf, sign = order[place], np.where(place < mid[node], 1.0, -1.0)
+        by = np.argsort(leaf, kind="stable")
+        self.node, self.sign = node[by], sign[by].astype(np.float32)
+        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(mass)))])
+
+    def paths(self, leaves: np.ndarray, h: np.ndarray, v: np.ndarray):
+        """Row, node, sign and signed logit of every decision."""
+        n = self.ptr[leaves + 1] - self.ptr[leaves]
+        row = np.repeat(np.arange(len(leaves)), n)
+        at = np.arange(len(row)) + np.repeat(self.ptr[leaves] - (np.cumsum(n) - n), n)
+        node, sign = self.node[at], self.sign[at]
+        return row, node, sign, sign * (self.base[node] + np.einsum("ij,ij->i", h[row], v[node]))
+
+    def log_prob(self, leaves: np.ndarray, h: np.ndarray, v: np.ndarray) -> np.ndarray:
+        row, _, _, z = self.paths(leaves, h, v)
+        return np.bincount(row, -np.logaddexp(0, -z), minlength=len(leaves))
+
+    def gradient(self, leaves: np.ndarray, h: np.ndarray, v: np.ndarray):
+        """Of the loss: touched nodes, their gradients, and that of ``h``."""
+        row, node, sign, z = self.paths(leaves, h, v)
+        back = np.zeros_like(h)
+        if not len(row):
+            return node, np.empty((0, h.shape[1]), dtype=h.dtype), back
+        g = (-sign / (1.0 + np.exp(np.minimum(z, 60.0)))).astype(np.float32)[:, None]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+        back[row[first]] = np.add.reduceat(g * v[node], first, axis=0)
+        by = np.argsort(node, kind="stable")
+        node = node[by]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1])
+        return node[first], np.add.reduceat((g * h[row])[by], first, axis=0), back
 
 
 class Words(NamedTuple):
@@ -42,17 +111,26 @@ class Words(NamedTuple):
 
     number: dict[bytes, int]
     of_class: np.ndarray
-    log_share: np.ndarray  # of a word in its class; for rare words of one type
+    log_share: np.ndarray  # of a token in its class
     edge: int
+    first: np.ndarray  # first group of each class of last letters
+    groups: np.ndarray  # and how many it has
+    tree: Tree  # inside the classes
+    tail: DataFrame | None  # (token, digest, n) of every rare word; not sent to tasks
 
     def tokens(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
         get = self.number.get
-        return np.array([t if (t := get(w)) is not None else rare_token(w) for w in words], dtype=np.int16)
+        return np.array([t if (t := get(w)) is not None else self.rare_token(w) for w in words], dtype=np.int32)
 
+    def rare_token(self, word: bytes) -> int:
+        s = zlib.crc32(word[-2:]) % RARE
+        return int(self.first[s]) + zlib.crc32(word) % int(self.groups[s])
 
-def rare_token(word: bytes) -> int:
-    return VOCABULARY + zlib.crc32(word[-2:]) % RARE
+    def digests(self, text: bytes) -> np.ndarray:
+        """Of the rare words, in text order, as Spark's xxhash64."""
+        known = self.number
+        return np.array([xxhash.xxh64_intdigest(w, 42) for w in text.lower().split() if w not in known], dtype=np.uint64).view(np.int64)
 
 
 def count_words(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -73,40 +151,48 @@ def count_words(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def learn_words(docs: DataFrame, key: str, text: str) -> Words:
-    """The most frequent words; of the others, mass and types per group."""
-    counts = materialise(count_words(docs, key, text))  # read twice
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    """The most frequent words, and groups of all others by their last letters."""
+    counts = materialise(count_words(docs, key, text))  # read several times
+    head = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    top = head.collect()
     number = {bytes(r["word"]): i for i, r in enumerate(top)}
-    mass = np.zeros(VOCABULARY + RARE + 1)
-    types = np.ones(VOCABULARY + RARE + 1)
+    known = docs.sparkSession.createDataFrame([(bytearray(w),) for w in number], "word binary")
+    ending = F.crc32(F.expr("substring(word, -2, 2)")) % RARE
+    tail = counts.join(F.broadcast(known), "word", "left_anti").withColumn("s", ending.cast("int"))
+    groups = np.ones(RARE, dtype=np.int64)
+    for r in tail.groupBy("s").count().collect():
+        groups[r["s"]] = -(-r["count"] // GROUP)
+    first = VOCABULARY + np.cumsum(groups) - groups
+    edge = VOCABULARY + int(groups.sum())
+    lists = {c: F.expr(f"array({','.join(map(str, v.tolist()))})") for c, v in (("first", first), ("groups", groups))}
+    token = (F.get(lists["first"], F.col("s")) + F.crc32("word") % F.get(lists["groups"], F.col("s"))).cast("int")
+    tail = materialise(tail.select(token.alias("token"), F.xxhash64("word").alias("digest"), "n"))
+    mass = np.zeros(edge + 1)
     mass[: len(top)] = [r["n"] for r in top]
-    tail = F.expr("substring(word, -2, 2)")
-    by_tail = counts.filter("length(word) > 0").groupBy((F.crc32(tail) % RARE).alias("g")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
-    for r in by_tail.collect():
-        mass[VOCABULARY + r["g"]] += r["n"]
-        types[VOCABULARY + r["g"]] += r["types"]
-    for w, i in number.items():  # the vocabulary is not rare
-        t = rare_token(w)
-        mass[t] -= mass[i]
-        types[t] -= 1
-    edge = VOCABULARY + RARE
-    mass = np.maximum(mass, 0) + 0.5
+    for r in tail.groupBy("token").agg(F.sum("n").alias("n")).collect():
+        mass[r["token"]] = r["n"]
+    mass += 0.5
     # classes of about equal mass over the tokens by frequency
     order = np.argsort(-mass, kind="stable")
     cum = np.cumsum(mass[order]) - mass[order] / 2
     of_class = np.empty(len(mass), dtype=np.int16)
     of_class[order] = np.minimum((cum / mass.sum() * CLASSES).astype(int), CLASSES - 1)
     class_mass = np.bincount(of_class, weights=mass, minlength=CLASSES)
-    return Words(number, of_class, np.log(mass / class_mass[of_class]) - np.log(np.maximum(types, 1)), edge)
+    tree = Tree([order[of_class[order] == c] for c in range(CLASSES)], mass)
+    return Words(number, of_class, np.log(mass / class_mass[of_class]), edge, first, groups, tree, tail)
 
 
 class Network:
-    """The weights as one matrix: embeddings by position, then output and biases."""
+    """The weights as one matrix: embeddings by position, output and biases,
+    then the nodes of the trees inside the classes."""
 
-    def __init__(self, seed: int = 11):
-        self.n_tokens = VOCABULARY + RARE + 1
+    trees: DataFrame | None = None  # of the groups of rare words; not sent to tasks
+
+    def __init__(self, n_tokens: int, seed: int = 11):
+        self.n_tokens = n_tokens
         rng = np.random.default_rng(seed)
-        self.rows = self.n_tokens * len(_OFFSETS) + CLASSES + 1 + -(-CLASSES // WIDTH)
+        self.nodes = self.n_tokens * len(_OFFSETS) + CLASSES + 1 + -(-CLASSES // WIDTH)
+        self.rows = self.nodes + self.n_tokens
         self.w = rng.normal(0, 0.1, (self.rows, WIDTH)).astype(np.float32)
         self.w[self.n_tokens * len(_OFFSETS) + CLASSES :] = 0
 
@@ -138,7 +224,7 @@ def windows(tokens: np.ndarray, words: Words) -> tuple[list[np.ndarray], np.ndar
 
 
 def join_texts(texts: list[np.ndarray], edge: int) -> np.ndarray:
-    gap = np.full(SIDE, edge, dtype=np.int16)
+    gap = np.full(SIDE, edge, dtype=np.int32)
     return np.concatenate([gap, *[x for t in texts for x in (t, gap)]])
 
 
@@ -154,13 +240,14 @@ class Trainer:
         self.squares[rows] = s
         self.net.w[rows] -= self.rate * grad / np.sqrt(s)
 
-    def fit(self, around: list[np.ndarray], target: np.ndarray) -> None:
+    def fit(self, around: list[np.ndarray], word: np.ndarray, ws: Words) -> None:
         net, n = self.net, self.net.n_tokens * len(_OFFSETS)
         h = net.hidden(around)
         d = np.exp(net.log_classes(h))
-        d[np.arange(len(d)), target] -= 1.0
+        d[np.arange(len(d)), ws.of_class[word]] -= 1.0
+        node, tilt, more = ws.tree.gradient(word, h, net.w[net.nodes :])
         _, out, _, _ = net.parts()
-        back = (d @ out) * (1.0 - h * h)
+        back = (d @ out + more) * (1.0 - h * h)
         size = np.float32(1.0 / np.sqrt(len(d)))
         bias = np.zeros(WIDTH * -(-CLASSES // WIDTH), dtype=np.float32)
         bias[:CLASSES] = d.sum(axis=0)
@@ -170,19 +257,21 @@ class Trainer:
             sorted_ = a[order]
             first = np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1])
             self._step(sorted_[first].astype(np.int64) + i * net.n_tokens, np.add.reduceat(back[order], first, axis=0) * size)
-        self._step(slice(n, net.rows), rest)
+        self._step(slice(n, net.nodes), rest)
+        self._step(node + net.nodes, tilt * size)
 
 
 def train(docs: DataFrame, words: Words, key: str, text: str, rounds: int = ROUNDS, seed: int = 11) -> Network:
     """Weights after ``rounds`` parallel passes over disjoint parts of the corpus,
-    dealt by the hash of the text; together they hold every document once."""
-    net = Network(seed)
+    dealt by the hash of the text; together they hold every document once. Then
+    the trees of the rare words' groups, on all documents."""
+    net = Network(words.edge + 1, seed)
     spark = docs.sparkSession
     d = keyed(docs, key, text).select("_text")
     columns = [f"w{j}" for j in range(WIDTH)]
     schema = StructType.fromDDL("row int, n double, " + ", ".join(f"{c} float" for c in columns))
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((net, words))
+        shared = spark.sparkContext.broadcast((net, words._replace(tail=None)))
         mine = d.filter(F.pmod(F.xxhash64("_text"), F.lit(rounds)) == r)
 
         def run(batches, shared=shared):
@@ -198,7 +287,7 @@ def train(docs: DataFrame, words: Words, key: str, text: str, rounds: int = ROUN
                 around, word = windows(join_texts(texts, ws.edge), ws)
                 for a in range(0, len(word), BATCH):
                     b = slice(a, a + BATCH)
-                    trainer.fit([x[b] for x in around], ws.of_class[word[b]])
+                    trainer.fit([x[b] for x in around], word[b], ws)
                 return len(word)
 
             for batch in batches:
@@ -217,45 +306,180 @@ def train(docs: DataFrame, words: Words, key: str, text: str, rounds: int = ROUN
         rows = moved.collect()  # as many as the network has, whatever the corpus
         for row in rows:
             net.w[row["row"]] = row[1:]
+    net.trees = learn_trees(docs, words, net, key, text)
     return net
 
 
-def score(docs: DataFrame, words: Words, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _light(net: Network) -> Network:
+    own = Network.__new__(Network)
+    own.__dict__.update({k: v for k, v in net.__dict__.items() if k != "trees"})
+    return own
+
+
+def route(docs: DataFrame, words: Words, net: Network, key: str, text: str, scored: bool) -> DataFrame:
+    """Packs (token, data) of rare words: the words around them, digest and number
+    of the document in this task. With ``scored`` also a row per document, its
+    likelihood down to the groups; it has a negative token."""
     d = keyed(docs, key, text)
-    shared = docs.sparkSession.sparkContext.broadcast((net, words))
+    shared = docs.sparkSession.sparkContext.broadcast((_light(net), words._replace(tail=None)))
 
-    def log_probs(tokens: np.ndarray, ws: Words, model: Network) -> np.ndarray:
-        around, word = windows(tokens, ws)
+    def log_probs(around: list[np.ndarray], word: np.ndarray, ws: Words, model: Network) -> np.ndarray:
         out = np.empty(len(word))
         for a in range(0, len(word), BATCH):
             b = slice(a, a + BATCH)
-            z = model.log_classes(model.hidden([x[b] for x in around]))
-            out[b] = z[np.arange(len(z)), ws.of_class[word[b]]] + ws.log_share[word[b]]
+            h, w = model.hidden([x[b] for x in around]), word[b]
+            out[b] = model.log_classes(h)[np.arange(len(w)), ws.of_class[w]] + ws.tree.log_prob(w, h, model.w[model.nodes :])
         return out
 
-    def blocks(texts: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         at, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size >= 64 * BATCH:
+            if size >= 64 * BATCH * 6:
                 yield at, i + 1
                 at, size = i + 1, 0
         if at < len(texts):
             yield at, len(texts)
 
+    def packs(held: list[tuple[np.ndarray, np.ndarray]], at: int) -> dict:
+        token = np.concatenate([x[0] for x in held])
+        by = np.argsort(token, kind="stable")
+        token, data = token[by], np.concatenate([x[1] for x in held])[by]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
+        n = len(cuts) - 1
+        return {
+            "token": token[cuts[:-1]], "kind": [1] * n, "data": [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])],
+            "base": [at] * n, key: [None] * n, "n_words": [None] * n, "lp": [None] * n,
+        }
+
     def run(batches):
         model, ws = shared.value
+        start = TaskContext.get().partitionId() << 33
+        done = 0
+        for batch in batches:
+            keys, data = batch.column(key), blobs(batch)
+            held, size = [], 0
+            for a, b in blocks(data):
+                tokens = [ws.tokens(t) for t in data[a:b]]
+                n = np.array([len(t) for t in tokens], dtype=np.int64)
+                around, word = windows(join_texts(tokens, ws.edge), ws)
+                if scored:
+                    part = np.concatenate([[0.0], np.cumsum(log_probs(around, word, ws, model))])
+                    ends = np.concatenate([[0], np.cumsum(n)])
+                    m = b - a
+                    yield {
+                        "token": [-1 - (i & 1023) for i in range(m)], "kind": [1] * m, "data": [None] * m,
+                        "base": range(start + done + a, start + done + b), key: keys.slice(a, m),
+                        "n_words": n, "lp": part[ends[1:]] - part[ends[:-1]],
+                    }
+                rare = np.flatnonzero(word >= VOCABULARY)
+                if len(rare):
+                    row = np.empty(len(rare), dtype=PACK)
+                    row["around"] = np.stack([x[rare] for x in around], axis=1)
+                    row["digest"] = np.concatenate([ws.digests(t) for t in data[a:b]])
+                    row["doc"] = np.repeat(np.arange(a, b), n)[rare]
+                    held.append((word[rare], row))
+                    size += len(rare)
+                if size >= _PACKED:
+                    yield packs(held, start + done)
+                    held, size = [], 0
+            if held:
+                yield packs(held, start + done)
+            done += len(data)
+
+    return map_batches(d, run, schema_of(d, key, "token int, kind int, data binary, base long, n_words long, lp double"))
+
+
+PACK = np.dtype([("around", "<i4", (len(_OFFSETS),)), ("digest", "<i8"), ("doc", "<i4")])
+
+
+def _with_trees(packs: DataFrame, trees: DataFrame) -> DataFrame:
+    """Rows of one group together, its tree (kind 0) first."""
+    return packs.unionByName(trees.withColumn("kind", F.lit(0)), allowMissingColumns=True).repartition("token").sortWithinPartitions("token", "kind")
+
+
+class _Group:
+    """The tree of a group: leaves by digest, the last one for words never seen."""
+
+    def __init__(self, digests: np.ndarray, n: np.ndarray, v: np.ndarray | None = None):
+        by = np.argsort(digests)
+        self.digests, self.n = digests[by], n[by]
+        self.tree = Tree([np.arange(len(n) + 1)], np.append(self.n, 0.5).astype(float))
+        self.v = np.zeros((len(n), WIDTH), dtype=np.float32) if v is None else v
+        self.squares = np.full(self.v.shape, 1e-3, dtype=np.float32)
+
+    def leaves(self, digest: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.digests, digest), len(self.digests) - 1)
+        return np.where(self.digests[at] == digest, at, len(self.digests))
+
+    def fit(self, rows: np.ndarray, net: Network, rate: float = 0.08) -> None:
+        h = net.hidden(list(rows["around"].T))
+        node, g, _ = self.tree.gradient(self.leaves(rows["digest"]), h, self.v)
+        g = g / np.float32(np.sqrt(len(rows)))
+        self.squares[node] += g * g
+        self.v[node] -= rate * g / np.sqrt(self.squares[node])
+
+
+def learn_trees(docs: DataFrame, words: Words, net: Network, key: str, text: str) -> DataFrame:
+    """(token, digests, counts, v): one tree per group of rare words, trained on
+    all their occurrences as they stream past; a task holds one tree at a time."""
+    pairs = F.array_sort(F.collect_list(F.struct("digest", "n")))
+    tail = words.tail.groupBy("token").agg(pairs.alias("w")).select("token", F.col("w.digest").alias("digests"), F.col("w.n").alias("counts"))
+    packs = route(docs, words, net, key, text, False).select("token", "kind", "data")
+    shared = docs.sparkSession.sparkContext.broadcast(_light(net))
+
+    def run(batches):
+        model, token, group = shared.value, None, None
+
+        def out():
+            return {"token": [token], "digests": [group.digests], "counts": [group.n], "v": [group.v.tobytes()]}
+
+        for batch in batches:
+            for t, data, digests, counts in zip(*(batch.column(c) for c in ("token", "data", "digests", "counts"))):
+                if digests.is_valid:
+                    if group is not None:
+                        yield out()
+                    token, group = t.as_py(), _Group(digests.values.to_numpy(), counts.values.to_numpy())
+                else:
+                    rows = np.frombuffer(data.as_py(), dtype=PACK)
+                    for a in range(0, len(rows), BATCH // 4):
+                        group.fit(rows[a : a + BATCH // 4], model)
+        if group is not None:
+            yield out()
+
+    schema = StructType.fromDDL("token int, digests array<long>, counts array<long>, v binary")
+    return materialise(map_batches(_with_trees(packs, tail), run, schema))
+
+
+def score(docs: DataFrame, words: Words, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Likelihood down to the groups where the text is, the rest where the group's
+    tree is; the parts meet under a number of the row, so keys may repeat."""
+    packs = route(docs, words, net, key, text, True)
+    shared = docs.sparkSession.sparkContext.broadcast(_light(net))
+
+    def run(batches):
+        model, token, group = shared.value, None, None
         for batch in batches:
-            tokens = [ws.tokens(t) for t in blobs(batch)]
-            n = [len(t) for t in tokens]
-            total: list[float] = []
-            for a, b in blocks(tokens):
-                part = np.concatenate([[0.0], np.cumsum(log_probs(join_texts(tokens[a:b], ws.edge), ws, model))])
-                ends = np.concatenate([[0], np.cumsum(n[a:b])])
-                total += (part[ends[1:]] - part[ends[:-1]]).tolist()
-            yield {key: batch.column(key), "n_words": n, "log_likelihood": total, "mean_log_likelihood": [x / m if m else None for x, m in zip(total, n)]}
-
-    return map_batches(d, run, schema_of(d, key, "n_words long, log_likelihood double, mean_log_likelihood double"))
+            own = batch.filter(pc.less(batch.column("token"), 0))
+            yield {c: own.column(c) for c in ("base", key, "n_words", "lp")}
+            batch = batch.filter(pc.greater_equal(batch.column("token"), 0))
+            for t, base, data, digests, counts, v in zip(*(batch.column(c) for c in ("token", "base", "data", "digests", "counts", "v"))):
+                if digests.is_valid:
+                    w = np.frombuffer(v.as_py(), dtype=np.float32).reshape(-1, WIDTH)
+                    token, group = t.as_py(), _Group(digests.values.to_numpy(), counts.values.to_numpy(), w)
+                elif t.as_py() == token:  # a group without words gives all its mass to new ones
+                    rows = np.frombuffer(data.as_py(), dtype=PACK)
+                    lp = np.concatenate([
+                        group.tree.log_prob(group.leaves(r["digest"]), model.hidden(list(r["around"].T)), group.v)
+                        for r in (rows[a : a + BATCH] for a in range(0, len(rows), BATCH))
+                    ])
+                    docs_, place = np.unique(rows["doc"], return_inverse=True)
+                    n = len(docs_)
+                    yield {"base": docs_.astype(np.int64) + base.as_py(), key: [None] * n, "n_words": [None] * n, "lp": np.bincount(place, lp, minlength=n)}
+
+    parts = map_batches(_with_trees(packs, net.trees), run, schema_of(packs, key, "base long, n_words long, lp double"))
+    out = parts.groupBy("base").agg(F.first(key, ignorenulls=True).alias(key), F.max("n_words").alias("n_words"), F.sum("lp").alias("log_likelihood"))
+    return out.select(key, "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

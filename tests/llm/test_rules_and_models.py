@@ -173,3 +173,28 @@ def test_likelihood_odd_rows(odd, clash):
     assert got[0].n_words == 0 and got[0].log_likelihood == 0.0 and got[0].mean_log_likelihood is None
     assert got[6].n_words == 3000 and got[6].log_likelihood < 0
     assert pseudo_likelihood.pseudo_likelihood(odd.limit(0)).count() == 0
+
+
+def test_every_rare_word_has_its_own_probability(make, monkeypatch):
+    """Words with one ending differ by count and context; groups grow with them."""
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 6)
+    monkeypatch.setattr(pseudo_likelihood, "GROUP", 40)
+    rng = random.Random(4)
+    head = "a b c d e f".split()
+    rare = [f"w{i}ing" for i in range(400)]
+    lines = []
+    for i, w in enumerate(rare):
+        lines += [f"{rng.choice('cd')} {w} {rng.choice('ef')}"] * (1 + i % 5)
+    lines += ["a leftking b", "d rightking c"] * 30 + [" ".join(head * 20)] * 20
+    rng.shuffle(lines)
+    d = make([" ".join(lines[i : i + 20]) for i in range(0, len(lines), 20)] * 4)
+    words = pseudo_likelihood.learn_words(d, "doc_id", "text")
+    assert words.groups.max() > 5 and words.tail.count() == len(rare) + 2
+    net = pseudo_likelihood.train(d.coalesce(1), words, "doc_id", "text")
+    probe = make(["c w0ing e", "c w4ing e", "a leftking b", "a rightking b", "c zzzing e"])
+    p = [r.log_likelihood for r in sorted(pseudo_likelihood.score(probe, words, net).collect())]
+    assert len(set(p)) == 5 and all(x < 0 for x in p)
+    assert p[2] > p[3]  # the context decides between words of one count
+    assert {words.rare_token(w.encode()) for w in rare} <= {r.token for r in net.trees.collect()}
+    digest = {r.digest for r in words.tail.collect()}
+    assert set(words.digests(" ".join(rare).encode()).tolist()) <= digest
