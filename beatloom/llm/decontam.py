@@ -1,4 +1,4 @@
-"""Benchmark decontamination with a stored positional inverted index.
+"""Benchmark decontamination with a positional index by document.
 
 The index holds, per document, the postings (term, position) of benchmark terms.
 It is cut by document, so every phrase is answered inside one block of the index
@@ -7,7 +7,8 @@ from the index; each benchmark window is looked up from its rarest terms, whose
 position lists are shifted by their offsets and intersected.
 
 The benchmark is a stated query set: it is read in blocks of bounded size, and
-each block is looked up against all documents.
+each block is looked up against all documents. The index is built again for every
+block and holds that block's terms only.
 """
 
 from __future__ import annotations
@@ -115,11 +116,16 @@ class _Lookup:
         self.length = (p.windows >= 0).sum(axis=1)
         rarest = p.windows[np.arange(len(p.windows)), self.order[:, 0]] if len(p.windows) else np.empty(0, int)
         self.by_rarest: dict[int, list[int]] = {}
+        self.by_near: dict[int, list[int]] = {}  # windows with absent terms, which only match nearly
+        self.absent = ((p.windows >= 0) & (f == 0)).sum(axis=1)
         for w, t in enumerate(rarest.tolist()):
-            if freq[self.p.windows[w][: self.length[w]]].min() > 0:  # a term without postings: no match
+            gone = int(self.absent[w])
+            if not gone:
                 self.by_rarest.setdefault(t, []).append(w)
+            elif 2 * gone <= self.length[w]:  # from the rarest term that does occur
+                self.by_near.setdefault(int(p.windows[w][self.order[w][gone]]), []).append(w)
         self.is_rarest = np.zeros(max(1, len(freq)), dtype=bool)
-        self.is_rarest[list(self.by_rarest)] = True
+        self.is_rarest[[*self.by_rarest, *self.by_near]] = True
 
     def run(self, n_words: int, terms: np.ndarray, at: np.ndarray) -> tuple[int, list[int], list[int], list[tuple[int, int]]]:
         """Hit words, items with an exact phrase, items with only a near match,
@@ -138,7 +144,11 @@ class _Lookup:
         items: set[int] = set()
         close: set[int] = set()
         for head in heads.tolist():
-            for w in self.by_rarest[head]:
+            for w in self.by_near.get(head, ()):
+                known = self.order[w][self.absent[w] : min(self.absent[w] + 4, self.length[w])]
+                if self._near([int(self.p.windows[w][o]) for o in known], places):
+                    close.update(self.p.items[w])
+            for w in self.by_rarest.get(head, ()):
                 row, size = self.p.windows[w], int(self.length[w])
                 order = self.order[w][:size].tolist()
                 starts = places(head) - order[0]
@@ -178,7 +188,8 @@ def match_benchmark(
 ) -> DataFrame:
     """One row per document: ``key``, ``n_words``, ``runs`` (hit word runs, start
     and exclusive end), ``items`` (keys of items with an exact phrase, as strings)
-    and ``near_items`` (items of which only the rarest terms stand close together).
+    and ``near_items`` (items of which only the rarest terms stand close together; of a window's terms
+    at most half may occur in no document).
 
     Null and empty texts have no words and match nothing; so does an empty
     benchmark. Keys of documents must be unique if the benchmark needs more than

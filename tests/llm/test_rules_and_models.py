@@ -198,3 +198,10 @@ def test_every_rare_word_has_its_own_probability(make, monkeypatch):
     assert {words.rare_token(w.encode()) for w in rare} <= {r.token for r in net.trees.collect()}
     digest = {r.digest for r in words.tail.collect()}
     assert set(words.digests(" ".join(rare).encode()).tolist()) <= digest
+
+
+def test_near_match_of_a_window_with_an_absent_term(spark, make):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.match_benchmark(make([item.replace("epsilon", "changed"), "alpha beta"]), table)
+    assert [(r.items, r.near_items) for r in sorted(got.collect())] == [([], ["1"]), ([], [])]
