@@ -21,12 +21,21 @@ MAX_SYMBOLS_PCT, MAX_DUP_LINES_PCT = 10, 30
 MIN_WORD_CHARS, MAX_WORD_CHARS = 3, 12
 
 
+def repeat_positions(hashes: str) -> Column:
+    """Positions, in order, of the values that an array holds more than once. Sorted
+    with the whole value in front, so equal values are always neighbours."""
+    pairs = F.sort_array(F.transform(hashes, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    # each value's neighbours are looked up once in the sorted array
+    again = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["g"] == x["g"], F.lit(False)) | F.when(i > 0, F.get(s, i - 1)["g"] == x["g"]).otherwise(F.lit(False)))
+    found = F.flatten(F.transform(F.array(pairs), again))
+    return F.sort_array(F.transform(found, lambda x: x["i"]))
+
+
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
-    A null text has no words. A window is three words; its position goes into the
-    low bits of its hash, so one sort of longs brings equal windows together in
-    text order; equality is then taken from the whole hash.
+    A null text has no words. A window is three words; equal windows are those of
+    equal 64-bit hashes.
     """
     d = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     d = d.select(*keep, "_t", F.filter(F.split("_t", f"{SPACE}+"), lambda w: w != "").alias("_w"))
@@ -41,14 +50,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), window))
         .otherwise(F.array().cast("array<bigint>")).alias("_g"),
     )
-    # a power of two above every position
-    d = d.withColumn("_b", F.expr("shiftleft(1L, length(bin(size(_g))))"))
-    packed = F.transform("_g", lambda g, i: g - F.pmod(g, F.col("_b")) + i)
-    d = d.withColumn("_s", F.sort_array(packed))
-    at = lambda x: F.pmod(x, F.col("_b")).cast("int")
-    same = lambda x, i, step: F.get("_g", at(F.get("_s", i + step))) == F.get("_g", at(x))
-    again = F.filter("_s", lambda x, i: F.coalesce(same(x, i, 1), F.lit(False)) | F.when(i > 0, same(x, i, -1)).otherwise(F.lit(False)))
-    d = d.withColumn("_p", F.sort_array(F.transform(again, at)))
+    d = d.withColumn("_p", repeat_positions("_g"))
     covered = F.aggregate(
         F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3)))),
         F.lit(0), lambda a, x: a + x,

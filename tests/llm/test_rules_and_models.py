@@ -205,3 +205,8 @@ def test_near_match_of_a_window_with_an_absent_term(spark, make):
     table = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = decontam.match_benchmark(make([item.replace("epsilon", "changed"), "alpha beta"]), table)
     assert [(r.items, r.near_items) for r in sorted(got.collect())] == [([], ["1"]), ([], [])]
+
+
+def test_repeats_of_hashes_with_common_upper_bits(spark):
+    d = spark.createDataFrame([([16, 17, 16],), ([-4, -3, -4, -3, 9],), ([1, 2, 3],), ([],)], "g array<bigint>")
+    assert [r[0] for r in d.select(quality.repeat_positions("g")).collect()] == [[0, 2], [0, 1, 2, 3], [], []]
