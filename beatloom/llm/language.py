@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-One filter per language, stored across: slot ``i`` holds a 64-bit mask with a bit
-for every language whose filter has slot ``i`` set, so one lookup of an n-gram
+One filter per language, stored across: slot ``i`` holds 64-bit masks, one for every
+64 languages, with a bit for every language whose filter has slot ``i`` set, so one lookup of an n-gram
 returns all languages that hold it. A document's n-grams are looked up, counted
 per language, and the counts are corrected by each filter's false-positive rate.
 """
@@ -21,7 +21,7 @@ LETTER = regex.compile(r"\p{L}")
 GRAMS = (3, 4)  # bytes
 SLOTS = 1 << 18
 HASHES = 3
-MAX_LANGUAGES = 64
+MASK = 64  # languages per mask
 _BUCKETS = 1 << 20  # n-grams are counted in as many classes
 # Bytes of letters (ASCII letters lower-cased, all other bytes of
 # UTF-8 sequences); everything else counts as a space.
@@ -45,7 +45,7 @@ def gram_codes(text: str) -> np.ndarray:
 
 class Filters(NamedTuple):
     languages: list[str]
-    slots: np.ndarray  # a mask of languages per slot
+    slots: np.ndarray  # masks x slots; language i is bit i % 64 of mask i // 64
     false_rate: np.ndarray  # per language
 
 
@@ -66,7 +66,7 @@ def count_grams(docs: DataFrame, text: str, label: str) -> DataFrame:
         for batch in batches:
             for lang, t in zip(texts(batch, "lang"), texts(batch)):
                 if lang not in sums:
-                    if len(sums) == MAX_LANGUAGES:  # memory stays bounded with any labels
+                    if len(sums) == MASK:  # memory stays bounded with any labels
                         yield from out(sums)
                         sums = {}
                     sums[lang] = np.zeros(_BUCKETS, dtype=np.int64)
@@ -93,24 +93,23 @@ def learn(docs: DataFrame, text: str = "text", label: str = "lang", ratio: float
     A language's filter takes the n-grams whose share in the language is at least
     ``least`` and ``ratio`` times the largest share in any language: what is common
     everywhere is in all filters and decides nothing. The result is bounded by the
-    number of n-gram classes times languages; more than 64 languages are refused.
+    number of n-gram classes times languages.
     """
     counts = count_grams(docs, text, label)
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total"))
     best = share.groupBy("gram").agg(F.max("share").alias("best"))
     held = share.join(best, "gram").filter((F.col("share") >= least) & (F.col("share") >= ratio * F.col("best"))).select("lang", "gram")
-    languages = [r[0] for r in total.select("lang").orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = [r[0] for r in total.select("lang").orderBy("lang").collect()]
+    number = {lang: i for i, lang in enumerate(languages)}
     # at most 1 / least classes of a language reach the share
     rows = held.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
-    slots = np.zeros(SLOTS, dtype=np.uint64)
+    slots = np.zeros((max(1, -(-len(languages) // MASK)), SLOTS), dtype=np.uint64)
     for r in rows:
-        bit = np.uint64(1 << languages.index(r["lang"]))
+        i = number[r["lang"]]
         for s in _slots_of(np.array(r["grams"], dtype=np.uint32)):
-            slots[s] |= bit
-    fill = np.array([float(((slots >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
+            slots[i // MASK, s] |= np.uint64(1 << i % MASK)
+    fill = np.array([float(((slots[i // MASK] >> np.uint64(i % MASK)) & np.uint64(1)).mean()) for i in range(len(languages))])
     return Filters(languages, slots, fill**HASHES)
 
 
@@ -121,9 +120,9 @@ def classify(f: Filters, text: str | None) -> tuple[str, float]:
         return "und", 0.0
     codes = gram_codes(text)
     s = _slots_of(codes)
-    mask = f.slots[s[0]] & f.slots[s[1]] & f.slots[s[2]]
-    n = len(mask)
-    hits = np.array([float(((mask >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(len(f.languages))])
+    mask = f.slots[:, s[0]] & f.slots[:, s[1]] & f.slots[:, s[2]]
+    n = len(codes)
+    hits = np.array([float(((mask[i // MASK] >> np.uint64(i % MASK)) & np.uint64(1)).sum()) for i in range(len(f.languages))])
     true = np.maximum(hits - n * f.false_rate, 0.0) / (1.0 - f.false_rate + 1e-12)
     best = int(true.argmax())
     return f.languages[best], float(true[best] / true.sum()) if true.sum() > 0 else 0.0
@@ -131,7 +130,7 @@ def classify(f: Filters, text: str | None) -> tuple[str, float]:
 
 def identify(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` in [0, 1] of every whole text. The
-    filters have a fixed size and go to every executor."""
+    filters have a fixed size for every 64 languages and go to every executor."""
     d = keyed(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 

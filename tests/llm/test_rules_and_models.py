@@ -210,3 +210,11 @@ def test_near_match_of_a_window_with_an_absent_term(spark, make):
 def test_repeats_of_hashes_with_common_upper_bits(spark):
     d = spark.createDataFrame([([16, 17, 16],), ([-4, -3, -4, -3, 9],), ([1, 2, 3],), ([],)], "g array<bigint>")
     assert [r[0] for r in d.select(quality.repeat_positions("g")).collect()] == [[0, 2], [0, 1, 2, 3], [], []]
+
+
+def test_more_languages_than_bits_of_a_mask(spark):
+    names = [f"l{i:02}" for i in range(70)]
+    own = {n: " ".join("".join(random.Random(f"{n}{j}").choices("abcdefghijklmnopqrstuvwxyz", k=8)) for j in range(30)) for n in names}
+    f = language.learn(spark.createDataFrame([(own[n], n) for n in names], "text string, lang string"))
+    assert f.languages == names and f.slots.shape == (2, language.SLOTS)
+    assert [language.classify(f, own[n])[0] for n in names] == names
