@@ -412,7 +412,8 @@ def sample_segmentations(
     docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", k: int = 2, seed: int = 17, power: float = 1.0,
 ) -> DataFrame:
     """Up to k rows per document: ``key``, ``sample``, ``ids``, ``log_prob``,
-    ``perturbed`` and ``log_inclusion``.
+    ``perturbed``, ``log_inclusion`` and ``round_trip``: whether the decoded ids are
+    the text, byte by byte.
 
     The segmentations of a row are distinct, in falling order of their perturbed
     log-probability, and a function of the row's key, text and ``seed`` alone, so
@@ -445,10 +446,11 @@ def sample_segmentations(
                     "log_prob": [s.log_prob for _, _, s in rows],
                     "perturbed": [s.perturbed for _, _, s in rows],
                     "log_inclusion": [s.log_inclusion for _, _, s in rows],
+                    "round_trip": [decode_bytes(p, s.ids.tolist()) == all_[at + i].encode() for i, _, s in rows],
                 }
                 at = to
 
-    return map_batches(d, run, schema_of(d, key, "sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"))
+    return map_batches(d, run, schema_of(d, key, "sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"))
 
 
 def decode_bytes(p: Pieces, ids: list[int]) -> bytes:

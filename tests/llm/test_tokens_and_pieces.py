@@ -118,3 +118,7 @@ def test_round_trip_and_row_key_seeds(make, odd):
     assert all(len({tuple(r.ids) for r in got if r.doc_id == i}) == counts[i] for i in counts)
     for r in seg.decode(seg.sample_segmentations(odd, piece_model()), piece_model()).collect():
         assert r.text is not None
+
+
+def test_every_sample_is_decoded_and_compared(odd):
+    assert all(r.round_trip for r in seg.sample_segmentations(odd, piece_model()).collect())
