@@ -11,6 +11,7 @@ from beatloom.llm import (
     decontam,
     language,
     near_dup,
+    periodic,
     pii,
     pseudo_likelihood,
     quality,
@@ -96,3 +97,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sampled_segmentations")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.sample_segmentations(table(spark, sf_dir), piece_model())
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(table(spark, sf_dir))
