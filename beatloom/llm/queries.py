@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beatloom.llm import (
     decontam,
+    dialogue,
     language,
     near_dup,
     periodic,
@@ -102,3 +103,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(table(spark, sf_dir))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_report(table(spark, sf_dir, "conversations"))
