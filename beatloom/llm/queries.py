@@ -12,6 +12,7 @@ from beatloom.llm import (
     dialogue,
     language,
     near_dup,
+    neighbours,
     periodic,
     pii,
     pseudo_likelihood,
@@ -108,3 +109,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_conversation_repair")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_report(table(spark, sf_dir, "embeddings"))
