@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -12,35 +13,46 @@ from beatloom.catalog.beats_q import r6
 from beatloom.operators import columns, hrv
 from beatloom.params import METRIC_RANGES
 
-# Two short timeframes, so that every scale of the given tables has full windows.
-FRAMES = {"1M": (60_000, 60), "5M": (300_000, 250)}
 K = ["recording_id", "timeframe", "window_start_ms"]
+FRAMES = hrv.ALL_FRAMES
 
-WIN = """rt AS (SELECT recording_id, timestamp_ms AS t, CAST(rr_prev_ms AS DOUBLE) AS rr FROM fx_rr WHERE rr_prev_ms IS NOT NULL),
+
+def _values(frames) -> str:
+    return ", ".join(f"('{n}', {ms}, {least})" for n, (ms, least) in frames.items())
+
+
+def _win(frames) -> str:
+    """Each interval in its window of each timeframe, in windows with enough beats."""
+    return f"""rt AS (SELECT recording_id, timestamp_ms AS t, CAST(rr_prev_ms AS DOUBLE) AS rr FROM fx_long_rr WHERE rr_prev_ms IS NOT NULL),
 an AS (SELECT recording_id, min(t) AS a FROM rt GROUP BY recording_id),
 wa AS (SELECT rt.*, timeframe, len, a + (t - a) // len * len AS window_start_ms, least_n FROM rt JOIN an USING (recording_id),
-   (VALUES ('1M', 60000, 60), ('5M', 300000, 250)) f(timeframe, len, least_n)),
+   (VALUES {_values(frames)}) f(timeframe, len, least_n)),
 wi AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY t) - 1 AS i FROM wa WINDOW g AS (PARTITION BY recording_id, timeframe, window_start_ms)),
 wn AS (SELECT *, rr - lag(rr) OVER g AS d, lag(rr) OVER g AS m1, lag(rr, 2) OVER g AS m2, lead(rr) OVER g AS p1, lead(rr, 2) OVER g AS p2 FROM wi WHERE n >= least_n
    WINDOW g AS (PARTITION BY recording_id, timeframe, window_start_ms ORDER BY t))"""
+
+
+WIN, ENTROPY_WIN = _win(FRAMES), _win(hrv.ENTROPY_FRAMES)
 KEYS = "recording_id, timeframe, window_start_ms"
+SHORTEST = "5M"
 
 
 def rr(spark, sf):
+    return hrv.rr_table(fx.long_beats(spark, sf))
+
+
+def beat_rr(spark, sf):
     return hrv.rr_table(fx.beats(spark, sf))
 
 
-@query("l1_tumbling_windows", f""", {WIN} SELECT {KEYS}, window_start_ms + max(len) AS window_end_ms, count(*) AS count FROM wn GROUP BY recording_id, timeframe, window_start_ms""", "fx_rr")
+@query("l1_tumbling_windows", f""", {WIN} SELECT {KEYS}, window_start_ms + max(len) AS window_end_ms, count(*) AS count FROM wn GROUP BY recording_id, timeframe, window_start_ms""", "fx_long_rr")
 def _(spark, sf):
     return hrv.window_counts(rr(spark, sf), FRAMES).select(*K, "window_end_ms", "count")
 
 
-@query("l2_entropy_windows", f""", {WIN} SELECT {KEYS}, count(*) AS count, round(avg(rr), 6) AS mean_rr FROM wn WHERE timeframe = '5M' GROUP BY ALL""", "fx_rr")
+@query("l2_entropy_windows", f""", {ENTROPY_WIN} SELECT {KEYS}, count(*) AS count, round(avg(rr), 6) AS mean_rr FROM wn GROUP BY ALL""", "fx_long_rr")
 def _(spark, sf):
-    frames = {"5M": hrv.ENTROPY_FRAMES["5M"]}
-    d = hrv.to_windows(rr(spark, sf), frames)
-    keep = hrv.window_counts(rr(spark, sf), frames).select(*K, "count")
-    return d.join(keep, K).groupBy(*K, "count").agg(F.round(F.avg("rr_ms"), 6).alias("mean_rr"))
+    return hrv.moments(rr(spark, sf), hrv.ENTROPY_FRAMES).select(*K, "count", *r6("mean_rr"))
 
 
 @query("l3_time_domain", f""", {WIN}, md AS (SELECT {KEYS}, quantile_cont(rr, 0.5) AS med FROM wn GROUP BY ALL),
@@ -49,7 +61,7 @@ b AS (SELECT {KEYS}, count(*) AS count, avg(rr) AS m, stddev_samp(rr) AS sdnn, s
 q AS (SELECT {KEYS}, min(rr) AS min_rr, max(rr) AS max_rr, max(rr) - min(rr) AS mxdmn, max(med) AS med_rr, quantile_cont(rr, 0.75) - quantile_cont(rr, 0.25) AS iqr,
   round(quantile_cont(rr, 0.2), 6) AS q20, round(quantile_cont(rr, 0.8), 6) AS q80, quantile_cont(abs(rr - med), 0.5) AS mad FROM wn JOIN md USING ({KEYS}) GROUP BY ALL)
 SELECT {KEYS}, count, round(sdnn, 6) AS sdnn, round(sdsd, 6) AS sdsd, round(rmssd, 6) AS rmssd, round(pnn20, 6) AS pnn20, round(pnn50, 6) AS pnn50, round(sdnn / m * 100, 6) AS cv,
-  round(rmssd / m * 100, 6) AS cvsd, min_rr, max_rr, mxdmn, med_rr, iqr, q20, q80, mad, round(mad / med_rr * 100, 6) AS mcv FROM b JOIN q USING ({KEYS})""", "fx_rr")
+  round(rmssd / m * 100, 6) AS cvsd, min_rr, max_rr, mxdmn, med_rr, iqr, q20, q80, mad, round(mad / med_rr * 100, 6) AS mcv FROM b JOIN q USING ({KEYS})""", "fx_long_rr")
 def _(spark, sf):
     r = rr(spark, sf)
     out = hrv.moments(r, FRAMES).join(hrv.order_statistics(r, FRAMES).drop("count"), K)
@@ -58,15 +70,15 @@ def _(spark, sf):
 
 
 @query("l4_deceleration_capacity", f""", {WIN} SELECT {KEYS}, round(avg((rr + p1 - m1 - m2) / 4) FILTER (d > 0 AND i >= 5 AND i + 5 < n), 6) AS dc,
-  round(-avg((rr + p1 - m1 - m2) / 4) FILTER (d < 0 AND i >= 5 AND i + 5 < n), 6) AS ac FROM wn GROUP BY ALL""", "fx_rr")
+  round(-avg((rr + p1 - m1 - m2) / 4) FILTER (d < 0 AND i >= 5 AND i + 5 < n), 6) AS ac FROM wn GROUP BY ALL""", "fx_long_rr")
 def _(spark, sf):
     return hrv.moments(rr(spark, sf), FRAMES).select(*K, *r6("dc", "ac"))
 
 
-@query("l5_sub_bin_spread", f""", {WIN}, b AS (SELECT {KEYS}, (window_start_ms * (n - 1) + i * len) // ((n - 1) * 20000) AS bin, avg(rr) AS m, stddev_samp(rr) AS s FROM wn GROUP BY ALL)
-SELECT {KEYS}, round(CASE WHEN count(*) > 1 THEN stddev_samp(m) END, 6) AS sdann5, round(CASE WHEN count(*) > 1 THEN avg(s) END, 6) AS sdnni5 FROM b GROUP BY ALL""", "fx_rr")
+@query("l5_sub_bin_spread", f""", {WIN}, b AS (SELECT {KEYS}, (window_start_ms::HUGEINT * (n - 1) + i * len) // ((n - 1) * 300000) AS bin, avg(rr) AS m, stddev_samp(rr) AS s FROM wn GROUP BY ALL)
+SELECT {KEYS}, round(CASE WHEN count(*) > 1 THEN stddev_samp(m) END, 6) AS sdann5, round(CASE WHEN count(*) > 1 THEN avg(s) END, 6) AS sdnni5 FROM b GROUP BY ALL""", "fx_long_rr")
 def _(spark, sf):
-    return hrv.sub_bin_spread(rr(spark, sf), FRAMES, bin_ms=20_000).select(*K, *r6("sdann5", "sdnni5"))
+    return hrv.sub_bin_spread(rr(spark, sf), FRAMES).select(*K, *r6("sdann5", "sdnni5"))
 
 
 @query("l6_frequency_domain")
@@ -75,7 +87,7 @@ def _(spark, sf):
 
 
 @query("l7_permutation_entropy", f""", {WIN}, p AS (SELECT {KEYS}, (rr <= p1)::INT * 4 + (p1 <= p2)::INT * 2 + (rr <= p2)::INT AS p, count(*) AS c FROM wn WHERE p2 IS NOT NULL GROUP BY ALL),
-q AS (SELECT *, c / sum(c) OVER (PARTITION BY {KEYS}) AS f FROM p) SELECT {KEYS}, round(-sum(f * log2(f)) / {math.log2(6)!r}, 6) AS perm_en FROM q GROUP BY ALL""", "fx_rr")
+q AS (SELECT *, c / sum(c) OVER (PARTITION BY {KEYS}) AS f FROM p) SELECT {KEYS}, round(-sum(f * log2(f)) / {math.log2(6)!r}, 6) AS perm_en FROM q GROUP BY ALL""", "fx_long_rr")
 def _(spark, sf):
     return hrv.permutation_entropy(rr(spark, sf), FRAMES).select(*K, *r6("perm_en"))
 
@@ -92,11 +104,11 @@ def _(spark, sf):
 
 @query("l10_fuzzy_entropy_dimension")
 def _(spark, sf):
-    return hrv.entropic(rr(spark, sf), {"5M": FRAMES["5M"]})
+    return hrv.entropic(rr(spark, sf))
 
 
 @query("l11_poincare", f""", {WIN}, v AS (SELECT {KEYS}, sqrt(0.5 * var_samp(d)) AS sd1, sqrt(2 * var_samp(rr) - 0.5 * var_samp(d)) AS sd2 FROM wn GROUP BY ALL)
-SELECT {KEYS}, round(sd1, 6) AS sd1, round(sd2, 6) AS sd2, round(sd1 / sd2, 6) AS sd1_sd2, round(sd2 / sd1, 6) AS csi, round(log10(sd1 * sd2), 6) AS cvi FROM v""", "fx_rr")
+SELECT {KEYS}, round(sd1, 6) AS sd1, round(sd2, 6) AS sd2, round(sd1 / sd2, 6) AS sd1_sd2, round(sd2 / sd1, 6) AS csi, round(log10(sd1 * sd2), 6) AS cvi FROM v""", "fx_long_rr")
 def _(spark, sf):
     return hrv.moments(rr(spark, sf), FRAMES).select(*K, *r6("sd1", "sd2", "sd1_sd2", "csi", "cvi"))
 
@@ -107,24 +119,47 @@ a AS (SELECT {KEYS}, least(floor((rr - lo) / (span / bins)), bins - 1) AS b, cou
 t AS (SELECT *, max(c) OVER (PARTITION BY {KEYS}) AS top FROM a),
 f AS (SELECT {KEYS}, least(floor((rr - lo) / 50), greatest(1, ceil(span / 50)) - 1) AS b, count(*) AS c, max(s.n) AS n FROM wn JOIN s USING ({KEYS}) GROUP BY ALL),
 g AS (SELECT {KEYS}, max(c) / max(n) * 100 AS amo50 FROM f GROUP BY ALL)
-SELECT {KEYS}, round(max(n) / max(top), 6) AS hti, round((max(b) FILTER (c >= top / 2) - min(b) FILTER (c >= top / 2) + 1) * max(w), 6) AS tinn, round(max(amo50), 6) AS amo50 FROM t JOIN g USING ({KEYS}) GROUP BY ALL""", "fx_rr")
+SELECT {KEYS}, round(max(n) / max(top), 6) AS hti, round((max(b) FILTER (c >= top / 2) - min(b) FILTER (c >= top / 2) + 1) * max(w), 6) AS tinn, round(max(amo50), 6) AS amo50 FROM t JOIN g USING ({KEYS}) GROUP BY ALL""", "fx_long_rr")
 def _(spark, sf):
     return hrv.geometric(rr(spark, sf), FRAMES).select(*K, *r6("hti", "tinn", "amo50"))
 
 
 @query("l13_all_metrics")
 def _(spark, sf):
-    out = hrv.hrv_metrics(rr(spark, sf), {"1M": FRAMES["1M"], "5M": FRAMES["5M"]})
+    out = hrv.hrv_metrics(rr(spark, sf))
     return columns.round_metrics(out, [c for c in out.columns if c not in K])
 
 
-@query("b8_metric_subset", f", {WIN} SELECT {KEYS}, count(*) AS count, round(stddev_samp(rr), 6) AS sdnn FROM wn WHERE timeframe = '5M' GROUP BY ALL", "fx_rr")
+# Closed-form columns of the wrapper; a timeframe's unsupported columns are null.
+CLOSED = ("count", "med_rr", "min_rr", "max_rr", "mxdmn", "iqr", "mad", "sdsd", "sdnn", "rmssd", "pnn20", "pnn50", "dc", "ac", "sd1", "sd2", "sd1_sd2", "csi", "perm_en", "amo50", "hti")
+DAY_ONLY = ("amo50", "hti")
+
+
+@query("l13_closed_form", f""", {WIN}, md AS (SELECT {KEYS}, quantile_cont(rr, 0.5) AS med FROM wn GROUP BY ALL),
+x AS (SELECT {KEYS}, count(*) AS count, max(med) AS med_rr, min(rr) AS min_rr, max(rr) AS max_rr, max(rr) - min(rr) AS mxdmn, quantile_cont(rr, 0.75) - quantile_cont(rr, 0.25) AS iqr,
+  quantile_cont(abs(rr - med), 0.5) AS mad, stddev_samp(d) AS sdsd, stddev_samp(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, count(*) FILTER (abs(d) > 20) / count(d) * 100 AS pnn20, count(*) FILTER (abs(d) > 50) / count(d) * 100 AS pnn50,
+  avg((rr + p1 - m1 - m2) / 4) FILTER (d > 0 AND i >= 5 AND i + 5 < n) AS dc, -avg((rr + p1 - m1 - m2) / 4) FILTER (d < 0 AND i >= 5 AND i + 5 < n) AS ac,
+  sqrt(0.5 * var_samp(d)) AS sd1, sqrt(2 * var_samp(rr) - 0.5 * var_samp(d)) AS sd2 FROM wn JOIN md USING ({KEYS}) GROUP BY ALL),
+p AS (SELECT {KEYS}, (rr <= p1)::INT * 4 + (p1 <= p2)::INT * 2 + (rr <= p2)::INT AS p, count(*) AS c FROM wn WHERE p2 IS NOT NULL GROUP BY ALL),
+pe AS (SELECT {KEYS}, -sum(f * log2(f)) / {math.log2(6)!r} AS perm_en FROM (SELECT *, c / sum(c) OVER (PARTITION BY {KEYS}) AS f FROM p) GROUP BY ALL),
+s AS (SELECT {KEYS}, count(*) AS n, min(rr) AS lo, max(rr) - min(rr) AS span, 2.0::DOUBLE * (quantile_cont(rr, 0.75) - quantile_cont(rr, 0.25)) / pow(count(*)::DOUBLE, 1.0::DOUBLE / 3) AS fd FROM wn GROUP BY ALL),
+s2 AS (SELECT *, ceil(span / CASE WHEN fd > 0 THEN least(fd, span / (log2(n::DOUBLE) + 1)) ELSE span / (log2(n::DOUBLE) + 1) END) AS bins FROM s),
+t AS (SELECT {KEYS}, max(n) / max(c) AS hti FROM (SELECT {KEYS}, least(floor((rr - lo) / (span / bins)), bins - 1) AS b, count(*) AS c, max(s2.n) AS n FROM wn JOIN s2 USING ({KEYS}) GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT {KEYS}, max(c) / max(n) * 100 AS amo50 FROM (SELECT {KEYS}, least(floor((rr - lo) / 50), greatest(1, ceil(span / 50)) - 1) AS b, count(*) AS c, max(s.n) AS n FROM wn JOIN s USING ({KEYS}) GROUP BY ALL) GROUP BY ALL),
+j AS (SELECT * REPLACE (CASE WHEN timeframe = '24H' THEN amo50 END AS amo50, CASE WHEN timeframe = '24H' THEN hti END AS hti) FROM (SELECT x.*, sd1 / sd2 AS sd1_sd2, sd2 / sd1 AS csi FROM x) JOIN pe USING ({KEYS}) JOIN t USING ({KEYS}) JOIN f USING ({KEYS}))
+SELECT {KEYS}, count, {", ".join(f"round({c}, 6) AS {c}" for c in CLOSED if c != "count")} FROM j""", "fx_long_rr")
+def _(spark, sf):
+    return hrv.hrv_metrics(rr(spark, sf)).select(*K, "count", *r6(*[c for c in CLOSED if c != "count"]))
+
+
+@query("b8_metric_subset", f", {WIN} SELECT {KEYS}, count(*) AS count, round(stddev_samp(rr), 6) AS sdnn, CASE WHEN timeframe = '24H' THEN 1.0::DOUBLE END AS ulf, CASE WHEN len >= 10800000 THEN 2.0::DOUBLE END AS vlf FROM wn GROUP BY ALL", "fx_long_rr")
 def _(spark, sf):
-    m = hrv.moments(rr(spark, sf), {"5M": FRAMES["5M"]}).select(*K, "count", F.round("sdnn", 6).alias("sdnn"), F.lit(1.0).alias("ulf"))
-    return columns.metric_subset(m, "5M", K)
+    m = hrv.moments(rr(spark, sf)).select(*K, "count", *r6("sdnn"), F.lit(1.0).alias("ulf"), F.lit(2.0).alias("vlf"))
+    parts = [columns.metric_subset(m.filter(F.col("timeframe") == t), t, K) for t in FRAMES]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-@query("b9_stats_metrics_split", f", {WIN} SELECT {KEYS}, round(rm, 6) AS rmssd, round(sd, 6) AS sdnn FROM (SELECT {KEYS}, sqrt(avg(d * d)) AS rm, stddev_samp(rr) AS sd FROM wn GROUP BY ALL)", "fx_rr")
+@query("b9_stats_metrics_split", f", {WIN} SELECT {KEYS}, round(rm, 6) AS rmssd, round(sd, 6) AS sdnn FROM (SELECT {KEYS}, sqrt(avg(d * d)) AS rm, stddev_samp(rr) AS sd FROM wn GROUP BY ALL)", "fx_long_rr")
 def _(spark, sf):
     m = hrv.moments(rr(spark, sf), FRAMES).select(*K, "count", "cv", *r6("rmssd", "sdnn"))
     return columns.stats_and_metrics(m, K)[1]
@@ -132,7 +167,7 @@ def _(spark, sf):
 
 @query("l14_instantaneous_hr", "SELECT recording_id, timestamp_ms, round(6.0E4 / rr_prev_ms, 1) AS hr FROM fx_rr WHERE rr_prev_ms > 0", "fx_rr")
 def _(spark, sf):
-    return hrv.instantaneous_hr(rr(spark, sf)).select("recording_id", "timestamp_ms", "hr")
+    return hrv.instantaneous_hr(beat_rr(spark, sf)).select("recording_id", "timestamp_ms", "hr")
 
 
 def hourly(spark, sf):
@@ -174,7 +209,7 @@ def _(spark, sf):
 
 
 @query("l19_metric_ranges", f""", {WIN}, b AS (SELECT {KEYS}, stddev_samp(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd FROM wn GROUP BY ALL)
-SELECT {KEYS}, CASE WHEN sdnn < 30 THEN 'low' WHEN sdnn > 150 THEN 'high' ELSE 'normal' END AS sdnn_class, CASE WHEN rmssd < 27 THEN 'low' WHEN rmssd > 72 THEN 'high' ELSE 'normal' END AS rmssd_class FROM b""", "fx_rr")
+SELECT {KEYS}, CASE WHEN sdnn < 30 THEN 'low' WHEN sdnn > 150 THEN 'high' ELSE 'normal' END AS sdnn_class, CASE WHEN rmssd < 27 THEN 'low' WHEN rmssd > 72 THEN 'high' ELSE 'normal' END AS rmssd_class FROM b""", "fx_long_rr")
 def _(spark, sf):
     d = columns.classify_range(hrv.moments(rr(spark, sf), FRAMES), METRIC_RANGES)
     return d.select(*K, "sdnn_class", "rmssd_class")

@@ -64,6 +64,28 @@ def beats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def long_beats(spark: SparkSession, sf: str) -> DataFrame:
+    """Two recordings of four beats per order line, long enough for 24 h windows
+    from the second scale on; intervals of 480 to 1000 ms with slow waves."""
+    k = F.col("k")
+    li = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 2).alias("recording_id"), "l_orderkey", "l_partkey", "l_suppkey",
+        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), (F.col("l_linenumber") * 4).alias("line"),
+    ).select(
+        "recording_id", "l_orderkey", (F.col("line") + k).alias("line"),
+        (480 + (F.col("l_partkey") * 13 + F.col("l_suppkey") * 7 + k * 101) % 400 + 20 * (F.floor(F.col("l_orderkey") / 64) % 7)).cast("long").alias("rr_raw"),
+    )
+    src = Series(ts="l_orderkey", tie="line")  # lines of one number are told apart by their interval
+    out = running(
+        li, {"elapsed": ("sum", F.col("rr_raw")), "n": ("sum", F.lit(1).cast("long"))}, src,
+        position=F.col("l_orderkey"), width=16_384, order=("l_orderkey", "line", "rr_raw"),
+    )
+    return out.select(
+        "recording_id", (F.col("n") - 1).alias("peak_id"),
+        (F.col("elapsed") + F.lit(T0)).alias("timestamp_ms"), (F.col("n") - 1).alias("beat_idx"),
+    )
+
+
 def noisy(spark: SparkSession, sf: str) -> DataFrame:
     """Beats plus false beats 120 ms after small sign-ups and near copies 5 ms
     after small clicks; ``arrival_id`` is the order the rows came in."""
@@ -216,6 +238,20 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
         (),
     ),
+    "fx_long": (
+        """SELECT recording_id, CAST(row_number() OVER w - 1 AS BIGINT) AS peak_id, CAST(1704067200000 + sum(rr_raw) OVER w AS BIGINT) AS timestamp_ms,
+             CAST(row_number() OVER w - 1 AS BIGINT) AS beat_idx
+           FROM (SELECT l_orderkey % 2 AS recording_id, l_orderkey, l_linenumber * 4 + k AS line,
+                   480 + (l_partkey * 13 + l_suppkey * 7 + k * 101) % 400 + 20 * (l_orderkey // 64 % 7) AS rr_raw
+                 FROM lineitem, (SELECT unnest(range(0, 4)) AS k))
+           WINDOW w AS (PARTITION BY recording_id ORDER BY l_orderkey, line, rr_raw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        (),
+    ),
+    "fx_long_rr": (
+        """SELECT recording_id, timestamp_ms, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY recording_id ORDER BY timestamp_ms, peak_id) AS rr_prev_ms
+           FROM fx_long""",
+        ("fx_long",),
+    ),
     "fx_noisy": (
         """SELECT *, CAST(floor((timestamp_ms - 1704067200000) / 60000) AS INT) AS segment_idx,
              CAST(row_number() OVER (PARTITION BY recording_id ORDER BY timestamp_ms, peak_id) - 1 AS BIGINT) AS beat_idx

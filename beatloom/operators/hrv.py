@@ -1,9 +1,11 @@
 """Heart-rate-variability metrics on tumbling windows.
 
-A window is bounded by its timeframe (24 h at most), so grouping by (recording,
-timeframe, window) never collects an unbounded group. Differences to neighbours
-are taken once on the whole series (row buckets with a halo) and count for a
-window only if the neighbour lies in the same one.
+Windows start at the first interval of the recording (the anchor) and are bounded by
+their timeframe (24 h at most). What sums can say comes from five-minute states
+(``rollup``), which every function builds for itself or takes ready-made; metrics of
+whole windows run in Python, all timeframes of one day in one group. Differences to
+neighbours are taken once on the whole series and count for a window only if the
+neighbour lies in the same one.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from beatloom.functions import complexity
 from beatloom.functions.signal import detrend_linear, welch
+from beatloom.operators import rollup
+from beatloom.operators.rollup import Frames, States
 from beatloom.params import ENTROPY_TIMEFRAMES, SERIES, TIMEFRAME_MIN_BEATS, TIMEFRAME_MS, Series
 from beatloom.plans.ordered import over_rows
 from beatloom.session import materialise
@@ -25,7 +30,6 @@ from beatloom.session import materialise
 RR = Series(tie="timestamp_ms", idx="rr_idx")
 KEY = ["recording_id", "timeframe", "window_start_ms"]
 
-Frames = Mapping[str, tuple[int, int]]  # timeframe -> (length in ms, fewest beats)
 ALL_FRAMES: Frames = {k: (TIMEFRAME_MS[k], TIMEFRAME_MIN_BEATS[k]) for k in TIMEFRAME_MS}
 ENTROPY_FRAMES: Frames = {k: (TIMEFRAME_MS[k], v[1]) for k, v in ENTROPY_TIMEFRAMES.items()}
 
@@ -40,136 +44,77 @@ def rr_table(df: DataFrame, s: Series = SERIES) -> DataFrame:
 
 def anchors(rr: DataFrame, s: Series = RR) -> DataFrame:
     """The first row of each recording: where its windows start."""
-    return rr.groupBy(*s.key).agg(F.min(s.ts).alias("anchor_ms"))
+    return rollup.anchors(rr, s)
 
 
-def _start(ts: Column, length: Column) -> Column:
-    return F.col("anchor_ms") + F.floor((ts - F.col("anchor_ms")) / length).cast("long") * length
+def _ready(rr: DataFrame | States, frames: Frames, anchor: DataFrame | None, s: Series) -> States:
+    return rr if isinstance(rr, States) else rollup.states(rr, frames, anchor, s)
 
 
-def to_windows(rr: DataFrame, frames: Frames, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
-    """One row per interval and timeframe, with the start of its window.
+def to_windows(rr: DataFrame, length_ms: int, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+    """Each interval with the start of its window of ``length_ms``.
 
     ``anchor`` fixes where windows start; give a stored one for incremental runs
     so that windows do not move.
     """
     d = rr.join(anchors(rr, s) if anchor is None else anchor, list(s.key))
-    tf = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(n).alias("timeframe"), F.lit(ms).cast("long").alias("length_ms"))
-                for n, (ms, _) in frames.items()
-            ]
-        )
-    )
-    d = d.withColumn("_f", tf).select(*d.columns, "_f.*")
-    return d.withColumn("window_start_ms", _start(F.col(s.ts), F.col("length_ms")))
-
+    step = F.floor((F.col(s.ts) - F.col("anchor_ms")) / length_ms).cast("long")
+    return d.withColumn("window_start_ms", F.col("anchor_ms") + step * length_ms)
 
-def _enough(n: Column, frames: Frames) -> Column:
-    least = F.lit(None).cast("long")
-    for name, (_, k) in frames.items():
-        least = F.when(F.col("timeframe") == name, F.lit(k)).otherwise(least)
-    return n >= least
 
-
-def window_counts(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR,
+def window_counts(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR,
                   open_windows: bool = True) -> DataFrame:
     """Windows with enough beats. ``open_windows=False`` leaves out the last,
     possibly unfinished window of each recording and timeframe."""
-    w = to_windows(rr, frames, anchor, s).groupBy(*KEY).agg(
-        F.max("length_ms").alias("length_ms"),
-        F.count(F.lit(1)).alias("count"),
-        F.min(s.idx).alias("first_idx"),
-    )
+    st = _ready(rr, frames, anchor, s)
+    w = rollup.windows(st).select(*KEY, "length_ms", F.col("_n").alias("count"), "first_idx")
     if not open_windows:
-        last = w.groupBy(*KEY[:2]).agg(F.max("window_start_ms").alias("_last"))
-        w = w.join(last, KEY[:2]).filter(F.col("window_start_ms") < F.col("_last")).drop("_last")
-    return w.filter(_enough(F.col("count"), frames)).withColumn(
-        "window_end_ms", F.col("window_start_ms") + F.col("length_ms")
-    )
-
-
-def _neighbours(rr: DataFrame, s: Series) -> DataFrame:
-    """Values and times of the rows around each interval."""
+        last = st.bins.groupBy(*s.key).agg(F.max("_b").alias("_last")).join(st.anchor, list(s.key))
+        end = F.col("anchor_ms") + (F.col("_last") * st.base_ms)
+        w = w.join(last.select(*s.key, end.alias("_end")), list(s.key)).filter(F.col("window_start_ms") + F.col("length_ms") <= F.col("_end")).drop("_end")
+    return w.withColumn("window_end_ms", F.col("window_start_ms") + F.col("length_ms"))
 
-    def build(d, w):
-        cols = {}
-        for off in (-2, -1, 1, 2):
-            f = F.lag if off < 0 else F.lead
-            cols[f"_v{off}"] = f("rr_ms", abs(off)).over(w)
-            cols[f"_t{off}"] = f(s.ts, abs(off)).over(w)
-        cols["_t-5"] = F.lag(s.ts, 5).over(w)
-        cols["_t5"] = F.lead(s.ts, 5).over(w)
-        return d.withColumns(cols)
 
-    return over_rows(rr, 5, 5, build, s)
+def _variance(n: Column, sum_: Column, squares: Column) -> Column:
+    """Sample variance from sums; null below two values."""
+    return F.when(n > 1, F.greatest(squares - sum_ * sum_ / n, F.lit(0.0)) / (n - 1))
 
 
-def _inside(off: int) -> Column:
-    t = F.col(f"_t{off}")
-    return t >= F.col("window_start_ms") if off < 0 else t < F.col("window_start_ms") + F.col("length_ms")
-
-
-def moments(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+def moments(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     """Mean- and difference-based metrics, Poincare and deceleration capacity."""
-    d = to_windows(_neighbours(rr, s), frames, anchor if anchor is not None else anchors(rr, s), s)
-    x = F.col("rr_ms")
-    diff = F.when(_inside(-1), x - F.col("_v-1"))
-    d = d.withColumn("_d", diff)
-    centre = _inside(-5) & _inside(5)
-    turn = (x + F.col("_v1") - F.col("_v-1") - F.col("_v-2")) / 4
-    dd = F.col("_d")
-    g = d.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg(x).alias("mean_rr"),
-        F.stddev_samp(x).alias("sdnn"),
-        F.stddev_samp(dd).alias("sdsd"),
-        F.sqrt(F.avg(dd * dd)).alias("rmssd"),
-        F.count(dd).alias("_nd"),
-        F.count_if(F.abs(dd) > 20).alias("_n20"),
-        F.count_if(F.abs(dd) > 50).alias("_n50"),
-        F.avg(F.when(centre & (dd > 0), turn)).alias("dc"),
-        (-F.avg(F.when(centre & (dd < 0), turn))).alias("ac"),
-        F.var_samp(x).alias("_vx"),
-        F.var_samp(dd).alias("_vd"),
+    g = rollup.windows(_ready(rr, frames, anchor, s))
+    n, nd = F.col("_n"), F.when(F.col("_nd") > 0, F.col("_nd"))
+    vx, vd = _variance(n, F.col("_sx"), F.col("_sxx")), _variance(nd, F.col("_sd"), F.col("_sdd"))
+    g = g.select(
+        *KEY, n.alias("count"), (F.col("_sx") / n).alias("mean_rr"), F.sqrt(vx).alias("sdnn"), F.sqrt(vd).alias("sdsd"),
+        F.sqrt(F.col("_sdd") / nd).alias("rmssd"), (F.col("_n20") / nd * 100).alias("pnn20"), (F.col("_n50") / nd * 100).alias("pnn50"),
+        (F.col("_s_dc") / F.when(F.col("_n_dc") > 0, F.col("_n_dc"))).alias("dc"),
+        (-F.col("_s_ac") / F.when(F.col("_n_ac") > 0, F.col("_n_ac"))).alias("ac"),
+        F.sqrt(0.5 * vd).alias("sd1"), F.sqrt(2 * vx - 0.5 * vd).alias("sd2"),
     )
-    g = g.filter(_enough(F.col("count"), frames))
     mean = F.when(F.col("mean_rr") != 0, F.col("mean_rr"))
-    g = g.withColumns(
-        {
-            "pnn20": F.col("_n20") / F.col("_nd") * 100,
-            "pnn50": F.col("_n50") / F.col("_nd") * 100,
-            "cv": F.col("sdnn") / mean * 100,
-            "cvsd": F.col("rmssd") / mean * 100,
-            "sd1": F.sqrt(0.5 * F.col("_vd")),
-            "sd2": F.sqrt(2 * F.col("_vx") - 0.5 * F.col("_vd")),
-        }
-    )
     a, b = F.col("sd1"), F.col("sd2")
     return g.withColumns(
         {
+            "cv": F.col("sdnn") / mean * 100,
+            "cvsd": F.col("rmssd") / mean * 100,
             "sd1_sd2": F.when(b > 1e-9, a / b),
             "csi": F.when(a > 1e-9, b / a),
             "cvi": F.when((a > 0) & (b > 0), F.log10(a * b)),
         }
-    ).drop("_nd", "_n20", "_n50", "_vx", "_vd")
-
-
-def _histogram(rr: DataFrame, frames: Frames, anchor: DataFrame | None, s: Series) -> DataFrame:
-    """Counts per window and interval value: all that order statistics need."""
-    return to_windows(rr, frames, anchor, s).groupBy(*KEY, "rr_ms").agg(F.count(F.lit(1)).alias("_n"))
+    )
 
 
-def order_statistics(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+def order_statistics(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     """Median, extremes, quantiles, median absolute deviation."""
-    h = _histogram(rr, frames, anchor, s)
+    st = _ready(rr, frames, anchor, s)
+    h = rollup.histograms(st)
     q = h.groupBy(*KEY).agg(
         F.sum("_n").alias("count"),
         F.min("rr_ms").alias("min_rr"),
         F.max("rr_ms").alias("max_rr"),
         F.percentile("rr_ms", F.array(*[F.lit(p) for p in (0.2, 0.25, 0.5, 0.75, 0.8)]), F.col("_n")).alias("_q"),
-    ).filter(_enough(F.col("count"), frames))
+    ).filter(rollup.enough(F.col("count"), st.frames))
     at = [F.col("_q")[i] for i in range(5)]
     q = q.select(
         *KEY, "count", "min_rr", "max_rr",
@@ -182,14 +127,15 @@ def order_statistics(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFra
     return q.join(mad, KEY).withColumn("mcv", F.when(F.col("med_rr") != 0, F.col("mad") / F.col("med_rr") * 100))
 
 
-def geometric(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+def geometric(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     """Triangular index and width on automatic bins (the finer of the Sturges
     and Freedman-Diaconis widths), and the share of the fullest 50 ms bin."""
-    h = materialise(_histogram(rr, frames, anchor, s))
+    st = _ready(rr, frames, anchor, s)
+    h = rollup.histograms(st)
     q = h.groupBy(*KEY).agg(
         F.sum("_n").alias("_size"), F.min("rr_ms").alias("_lo"), F.max("rr_ms").alias("_hi"),
         F.percentile("rr_ms", F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("_q"),
-    ).filter(_enough(F.col("_size"), frames))
+    ).filter(rollup.enough(F.col("_size"), st.frames))
     span = F.col("_hi") - F.col("_lo")
     sturges = span / (F.log2(F.col("_size").cast("double")) + 1.0)
     fd = F.lit(2.0) * (F.col("_q")[1] - F.col("_q")[0]) / F.pow(F.col("_size").cast("double"), F.lit(1.0 / 3.0))
@@ -221,37 +167,44 @@ def geometric(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | No
 
 
 def sub_bin_spread(
-    rr: DataFrame, frames: Frames, anchor: DataFrame | None = None, bin_ms: int = 300_000, s: Series = RR
+    rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, bin_ms: int = 300_000, s: Series = RR
 ) -> DataFrame:
     """SDANN / SDNNI: sd of the bin means and mean of the bin sds, with the
     beats spread evenly from window start to window end.
 
-    Integer arithmetic places beat i of n at start + i * length / (n - 1).
+    Integer arithmetic places beat i of n at start + i * length / (n - 1). A bin is
+    then a range of positions, and its sums are differences of prefix sums at the
+    ranges' ends: beats meet the few ends, not every window.
     """
-    w = window_counts(rr, frames, anchor, s).filter(F.col("count") > 1)
-    d = to_windows(rr, frames, anchor, s).drop("length_ms").join(w, KEY)
-    gaps = F.col("count") - 1
-    t = F.col("window_start_ms") * gaps + (F.col(s.idx) - F.col("first_idx")) * F.col("length_ms")
-    d = d.withColumn("_num", t).withColumn("_den", gaps * bin_ms).withColumn("_bin", F.expr("_num div _den"))
-    bins = d.groupBy(*KEY, "_bin").agg(F.avg("rr_ms").alias("_m"), F.stddev_samp("rr_ms").alias("_s"))
+    st = _ready(rr, frames, anchor, s)
+    w = rollup.windows(st).filter(F.col("_n") > 1).select(*KEY, "length_ms", "first_idx", F.col("_n").alias("_size"))
+    w = w.withColumn("_bin", F.explode(F.expr(f"sequence(window_start_ms div {bin_ms}, (window_start_ms + length_ms) div {bin_ms} + 1)")))
+    # the first position of the bin, at least 0 and at most n
+    w = w.withColumn("_num", (F.col("_bin") * bin_ms - F.col("window_start_ms")) * (F.col("_size") - 1))
+    first = F.least(F.greatest(F.expr("(_num + length_ms - 1) div length_ms"), F.lit(0)), F.col("_size"))
+    w = w.select(*KEY, "_bin", (F.col("first_idx") + first - 1).alias(s.idx), first.alias("_i"))
+    # before the first interval all sums are 0
+    ends = w.join(rollup.prefix_sums(st), [*s.key, s.idx], "left").fillna(0.0, ["_px", "_pxx"])
+    nxt = Window.partitionBy(*KEY).orderBy("_bin")
+    ends = ends.withColumns({f"{c}2": F.lead(c).over(nxt) for c in ("_i", "_px", "_pxx", "_mid")})
+    n = F.col("_i2") - F.col("_i")
+    sx, sxx = F.col("_px2") - F.col("_px"), F.col("_pxx2") - F.col("_pxx")
+    bins = ends.filter(n > 0).select(*KEY, (F.col("_mid2") + sx / n).alias("_m"), F.sqrt(_variance(n, sx, sxx)).alias("_s"))
     many = F.count(F.lit(1)) > 1
     return bins.groupBy(*KEY).agg(
         F.when(many, F.stddev_samp("_m")).alias("sdann5"), F.when(many, F.avg("_s")).alias("sdnni5")
     )
 
 
-def permutation_entropy(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+def permutation_entropy(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     """Normalised entropy of the order patterns of three successive intervals;
     equal values keep their order."""
-    d = to_windows(_neighbours(rr, s), frames, anchor if anchor is not None else anchors(rr, s), s)
-    d = d.filter(_inside(2))
-    a, b, c = F.col("rr_ms"), F.col("_v1"), F.col("_v2")
-    pat = (a <= b).cast("int") * 4 + (b <= c).cast("int") * 2 + (a <= c).cast("int")
-    n = d.groupBy(*KEY, pat.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    g = rollup.windows(_ready(rr, frames, anchor, s))
+    counts = [F.coalesce(F.col(f"_p{p}"), F.lit(0)) for p in range(rollup.PATTERNS)]
+    total = sum(counts[1:], counts[0])
     # sum over patterns of p * log2 p, from counts alone
-    g = n.groupBy(*KEY).agg(
-        F.sum("_n").alias("_t"), F.sum(F.col("_n") * F.log2(F.col("_n").cast("double"))).alias("_s")
-    ).filter(_enough(F.col("_t") + 2, frames))
+    weighted = [F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0)) for c in counts]
+    g = g.withColumn("_t", total).withColumn("_s", sum(weighted[1:], weighted[0])).filter(F.col("_t") > 0)
     h = F.log2(F.col("_t").cast("double")) - F.col("_s") / F.col("_t")
     return g.select(*KEY, (h / math.log2(6)).alias("perm_en"))
 
@@ -289,39 +242,56 @@ def _halves(rr: np.ndarray) -> dict[str, float]:
     return {"dfa_a1": a1, "dfa_a2": a2}
 
 
-def _per_window(rr: DataFrame, frames: Frames, anchor: DataFrame | None, names: Sequence[str], fn, s: Series) -> DataFrame:
-    """Apply ``fn(values, timeframe) -> dict`` to each window with enough beats."""
-    d = to_windows(rr, frames, anchor, s).select(*KEY, s.ts, "rr_ms")
-    types = {f.name: f.dataType.simpleString() for f in d.schema}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in KEY), *(f"{n} double" for n in names)])
-    least = {k: n for k, (_, n) in frames.items()}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tf = pdf["timeframe"].iloc[0]
-        if len(pdf) < least[tf]:
-            return pdf[KEY].iloc[:0].assign(**{n: np.zeros(0) for n in names})
-        vals = fn(pdf.sort_values(s.ts)["rr_ms"].to_numpy(), tf)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in KEY}, **{n: [vals[n]] for n in names}})
-
-    out = d.groupBy(*KEY).applyInPandas(run, schema)
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+def _per_window(rr: DataFrame | States, frames: Frames, anchor: DataFrame | None, names: Sequence[str], fn, s: Series) -> DataFrame:
+    """Apply ``fn(values, timeframe) -> dict`` to each window with enough beats.
 
+    Timeframes that divide the longest one are computed from its windows, so each
+    interval travels once.
+    """
+    if isinstance(rr, States):
+        rr, anchor = rr.rr, rr.anchor
+    anchor = anchors(rr, s) if anchor is None else anchor
+    longest = max(ms for ms, _ in frames.values())
+    inside = {n: v for n, v in frames.items() if longest % v[0] == 0}
+    types = {f.name: f.dataType.simpleString() for f in rr.schema}
+    schema = ", ".join([*(f"{k} {types[k]}" for k in s.key), "timeframe string, window_start_ms long", *(f"{n} double" for n in names)])
 
-def frequency_domain(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(s.ts, kind="stable")
+        x, since = pdf["rr_ms"].to_numpy(), (pdf[s.ts] - pdf["window_start_ms"]).to_numpy()
+        head = {k: pdf[k].iloc[0] for k in s.key}
+        begin = int(pdf["window_start_ms"].iloc[0])
+        rows = []
+        for tf, (ms, least) in inside.items():
+            part = since // ms
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(x)]):
+                if hi - lo >= least:
+                    rows.append({**head, "timeframe": tf, "window_start_ms": begin + int(part[lo]) * ms, **fn(x[lo:hi], tf)})
+        return pd.DataFrame(rows, columns=[*s.key, *KEY[1:], *names])
+
+    d = to_windows(rr, longest, anchor, s).select(*s.key, "window_start_ms", s.ts, "rr_ms")
+    out = d.groupBy(*s.key, "window_start_ms").applyInPandas(run, schema)
+    out = out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+    rest = {n: v for n, v in frames.items() if n not in inside}
+    return out.unionByName(_per_window(rr, rest, anchor, names, fn, s)) if rest else out
+
+
+def frequency_domain(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     return _per_window(rr, frames, anchor, FREQUENCY, lambda x, _: band_powers(x), s)
 
 
-def sample_entropies(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+def sample_entropies(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     return _per_window(rr, frames, anchor, ["samp_en"], lambda x, _: {"samp_en": complexity.sample_entropy(x)}, s)
 
 
-def fluctuation(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+def fluctuation(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     """dfa_a1 from the first half of the window, dfa_a2 from the second."""
     return _per_window(rr, frames, anchor, ["dfa_a1", "dfa_a2"], lambda x, _: _halves(x), s)
 
 
 def entropic(
-    rr: DataFrame, frames: Frames = ENTROPY_FRAMES, dimensions: Mapping[str, int] | None = None,
+    rr: DataFrame | States, frames: Frames = ENTROPY_FRAMES, dimensions: Mapping[str, int] | None = None,
     anchor: DataFrame | None = None, s: Series = RR,
 ) -> DataFrame:
     """Multiscale fuzzy entropy and correlation dimension, for short windows."""
@@ -334,7 +304,7 @@ def entropic(
     return _per_window(rr, frames, anchor, ["mfe", "corr_dim"], fn, s)
 
 
-def nonlinear_and_frequency(rr: DataFrame, frames: Frames, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
+def nonlinear_and_frequency(rr: DataFrame | States, frames: Frames, anchor: DataFrame | None = None, s: Series = RR) -> DataFrame:
     """The Python-side metrics in one pass over the windows."""
 
     def fn(x: np.ndarray, _: str) -> dict[str, float]:
@@ -347,19 +317,17 @@ def hrv_metrics(rr: DataFrame, frames: Frames = ALL_FRAMES, anchor: DataFrame |
     """All metrics of every window; those a timeframe does not support are null."""
     from beatloom.params import metrics_for
 
-    # six families of metrics read the intervals: written once
+    # states, prefix sums and Python metrics read the intervals: written once
     rr = materialise(rr)
-    anchor = anchors(rr, s) if anchor is None else anchor
-    out = order_statistics(rr, frames, anchor, s).drop("count")
-    parts = [
-        moments(rr, frames, anchor, s),
-        geometric(rr, frames, anchor, s),
-        sub_bin_spread(rr, frames, anchor, s=s),
-        permutation_entropy(rr, frames, anchor, s),
-        nonlinear_and_frequency(rr, frames, anchor, s),
-    ]
+    st = rollup.states(rr, frames, anchor, s)
+    out = order_statistics(st)
+    parts = [moments(st).drop("count"), geometric(st), sub_bin_spread(st), permutation_entropy(st), nonlinear_and_frequency(st, frames)]
+    short = {n: v for n, v in frames.items() if n in ENTROPY_FRAMES}
+    parts += [entropic(st, short)] if short else []
     for p in parts:
         out = out.join(p, KEY, "left")
+    if not short:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("mfe", "corr_dim")})
     known = [c for c in out.columns if c not in KEY and c != "mean_rr"]
 
     def valid(c: str) -> Column:
