@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from beatloom import fixtures as fx
 from beatloom.catalog import query
 from beatloom.catalog.beats_q import RUNS
-from beatloom.operators import intervals, temporal, thinning, windows
+from beatloom.operators import intervals, sampleindex, temporal, thinning, windows
 from beatloom.params import Series
 
 LABEL_LOOKUP = "fx_labels"
@@ -39,8 +39,9 @@ SELECT ref_id, CASE WHEN lt IS NULL OR rt - ref_ms {tie} ref_ms - lt THEN ri ELS
 
 def _asof(spark, sf, tie):
     s = Series(ts="ref_ms", tie="ref_id")
-    out = temporal.asof_nearest(fx.refs(spark, sf), fx.samples(spark, sf), ["sample_idx"], s=s, tie=tie)
-    return out.select("ref_id", F.col("nearest.sample_idx").alias("sample_idx"))
+    index = sampleindex.sample_index(fx.samples(spark, sf), [])
+    out = sampleindex.nearest_sample(fx.refs(spark, sf), index, s, tie)
+    return out.select("ref_id", F.col("nearest.i").alias("sample_idx"))
 
 
 @query("c9_asof_nearest_sample", _asof_sql("<="), "fx_refs", "fx_samples")

@@ -13,26 +13,12 @@ from pyspark.sql.window import WindowSpec
 from beatloom.functions import arrays as A
 from beatloom.functions.signal import butter_bandpass, filter_once, filter_zero_phase, welch
 from beatloom.operators import aggregates
-from beatloom.operators.temporal import asof_nearest
+from beatloom.operators.sampleindex import locate, sample_index
 from beatloom.operators.windows import fill_with_group_median, rr_legacy, rr_local_stage, rr_second_stage, rr_stage
 from beatloom.params import DEFAULTS, SERIES, Params, Series
 from beatloom.plans.ordered import over_rows
 
 SEG = ["recording_id", "segment_idx"]
-BLOCK = 512
-
-
-def sample_blocks(samples: DataFrame, reach: int, value: str = "ecg", s: Series = SERIES, idx: str = "sample_idx") -> DataFrame:
-    """Samples as arrays of ``BLOCK`` values plus ``reach`` to each side.
-
-    A window then needs one block: samples are shuffled once, and beats never
-    multiply into one row per sample.
-    """
-    i = F.col("_i")
-    lo, hi = F.floor((i - reach) / BLOCK), F.floor((i + reach) / BLOCK)
-    d = samples.select(*s.key, F.col(idx).alias("_i"), F.col(value).alias("_v")).withColumn("_block", F.explode(F.sequence(lo, hi)))
-    d = d.groupBy(*s.key, "_block").agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_a"))
-    return d.select(*s.key, "_block", F.col("_a._i")[0].alias("_first"), F.col("_a._v").alias("_values"))
 
 
 def extract_windows(
@@ -47,16 +33,14 @@ def extract_windows(
     """``waveform``: ``length`` samples around the sample nearest to the beat,
     moved to the largest magnitude within ``snap`` samples (0: not moved), zeros
     beyond the recording; ``centre_idx`` is the sample index used."""
-    near = asof_nearest(beats, samples, [idx], s.ts, s).withColumn("_c", F.col("nearest")[idx]).drop("nearest")
-    near = near.withColumn("_block", F.floor(F.col("_c") / BLOCK))
-    j = near.join(sample_blocks(samples, length // 2 + 1 + snap, value, s, idx), [*s.key, "_block"], "left")
-    at = (F.col("_c") - F.col("_first")).cast("int")
-    at = A.snap(F.col("_values"), at, snap) if snap else at
+    index = sample_index(samples, [value], length // 2 + 1 + snap, s, idx)
+    j = locate(beats, index, s)
+    at = A.snap(F.col(f"_v_{value}"), F.col("_at"), snap) if snap else F.col("_at")
     j = j.withColumn("_at", at)
     return j.select(
         *beats.columns,
         (F.col("_first") + F.col("_at")).alias("centre_idx"),
-        A.padded_window(F.col("_values"), F.col("_at"), length).alias("waveform"),
+        A.padded_window(F.col(f"_v_{value}"), F.col("_at"), length).alias("waveform"),
     )
 
 
