@@ -80,7 +80,7 @@ def _only_digits(s: str) -> str:
 
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in s.split("."))
     if kind == "card":
         d = _only_digits(s)
         return 13 <= len(d) <= 19 and luhn(d)

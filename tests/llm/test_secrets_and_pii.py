@@ -83,3 +83,10 @@ def test_pii_report(make, odd, clash):
     assert "local_phone:11:25" in got[0].spans and got[1].spans.startswith("spoken_email:5:")
     assert got[3].spans == "" and got[4].spans == "email:2:9"
     assert pii.pii_report(odd).count() == odd.count() and pii.pii_report(odd.limit(0)).count() == 0
+
+
+def test_parts_of_thousands_of_digits(make):
+    """No number is read before it is known to be short."""
+    texts = ["0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 5000, "9" * 5000 + ".1.1.1", "4" * 5000]
+    got = sorted(pii.pii_report(make(texts)).collect())
+    assert [r.n_ip for r in got] == [1, 1, 0, 0] and [r.n_card for r in got] == [0] * 4
