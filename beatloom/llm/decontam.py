@@ -48,19 +48,16 @@ class Phrases(NamedTuple):
 
 def phrases_of(items: list[tuple[object, bytes]], width: int = WINDOW) -> Phrases:
     terms: dict[bytes, int] = {}
-    windows: dict[tuple[int, ...], list[int]] = {}
-    ids = []
+    windows: dict[tuple[int, ...], set[int]] = {}
+    numbers: dict[object, int] = {}  # rows of one item are one item
     for item, text in items:
         ws = [terms.setdefault(w, len(terms)) for w in words_of(text)]
-        if not ws:
-            continue
-        ids.append(item)
-        for i in range(max(1, len(ws) - width + 1)):
-            owners = windows.setdefault(tuple(ws[i : i + width]), [])
-            if not owners or owners[-1] != len(ids) - 1:
-                owners.append(len(ids) - 1)
+        for i in range(max(1, len(ws) - width + 1) if ws else 0):
+            owners = windows.setdefault(tuple(ws[i : i + width]), set())
+            if item is not None:  # words of an item without a key hit, but name nothing
+                owners.add(numbers.setdefault(item, len(numbers)))
     rows = [[*w, *[-1] * (width - len(w))] for w in windows]
-    return Phrases(terms, np.array(rows, dtype=np.int32).reshape(-1, width), list(windows.values()), ids)
+    return Phrases(terms, np.array(rows, dtype=np.int32).reshape(-1, width), [sorted(o) for o in windows.values()], list(numbers))
 
 
 def blocks_of(items: DataFrame, key: str, text: str, size: int) -> Iterator[list[tuple[object, bytes]]]:

@@ -218,3 +218,13 @@ def test_more_languages_than_bits_of_a_mask(spark):
     f = language.learn(spark.createDataFrame([(own[n], n) for n in names], "text string, lang string"))
     assert f.languages == names and f.slots.shape == (2, language.SLOTS)
     assert [language.classify(f, own[n])[0] for n in names] == names
+
+
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_rows_of_one_item_are_one_item(spark, make, monkeypatch, block):
+    passage = " ".join(f"w{i}" for i in range(12))
+    table = spark.createDataFrame([("a", passage), ("a", passage), ("b", passage), (None, "only this passage has no name at all today here")], "item_id string, text string")
+    d = decontam.match_benchmark
+    monkeypatch.setattr(decontam, "match_benchmark", lambda x, y: d(x, y, block_bytes=block))
+    got = sorted(decontam.contamination_report(make([passage, "so only this passage has no name at all today here"]), table).collect())
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(12, 2, True), (10, 0, True)]
