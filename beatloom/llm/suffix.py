@@ -6,8 +6,10 @@ windows meet under the same anchor hash. Neighbouring windows with one anchor
 form a context; equal contexts are counted, and the different contexts of one
 anchor hash go to a suffix array, which finds the windows they share.
 
-Contexts of one hash that are too many for one suffix array become one row per
-window; Spark counts the digests of whole windows and joins the repeated ones back.
+Contexts of one hash that are too many for one suffix array are anchored anew by
+longer and longer grams: windows that share little part, and parts that are equal as
+a whole are counted. What still shares a gram of almost the window's length has few
+windows left; Spark counts their digests and joins the repeated ones back.
 The suffix array is built by two-stage sorting: suffixes smaller than their
 successor are sorted directly, the others are induced by bucket scans; adjacent
 common prefixes of ``length`` bytes or more mark the repeated windows.
@@ -16,6 +18,7 @@ common prefixes of ``length`` bytes or more mark the repeated windows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +32,7 @@ from beatloom.session import materialise
 
 LENGTH = 400
 GRAM = 64
-HOT = 512  # different contexts of one anchor hash that one suffix array takes
+SORTED = 512  # different contexts of one anchor hash that one suffix array takes
 CHUNK = 1 << 19  # bytes of contexts sorted together
 SEGMENT = 1 << 20  # windows whose anchors are found together
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -161,6 +164,23 @@ def suffix_order(text: bytes, starts: np.ndarray, depth: int) -> np.ndarray:
     return order[wanted[order]]
 
 
+def common_prefixes(t: np.ndarray, order: np.ndarray, depth: int, step: int = 16) -> np.ndarray:
+    """Lengths, up to ``depth``, of the common prefixes of neighbours in ``order``;
+    every suffix has ``depth`` bytes."""
+    a, b = order[:-1], order[1:]
+    out = np.zeros(len(a), dtype=np.int64)
+    live = np.arange(len(a))
+    for at in range(0, depth, step):
+        ahead = np.arange(at, min(at + step, depth))
+        differ = t[a[live, None] + ahead] != t[b[live, None] + ahead]
+        stop = differ.any(axis=1)
+        out[live] = at + np.where(stop, differ.argmax(axis=1), len(ahead))
+        live = live[~stop]
+        if not len(live):
+            break
+    return out
+
+
 def repeated_starts(contexts: list[bytes], spans: list[int], depth: int) -> list[np.ndarray]:
     """For each context, which of its first ``span`` windows of ``depth`` bytes
     stand in another context or elsewhere in it; boolean arrays."""
@@ -168,9 +188,7 @@ def repeated_starts(contexts: list[bytes], spans: list[int], depth: int) -> list
     base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
     starts = np.concatenate([np.arange(b, b + s) for b, s in zip(base[:-1].tolist(), spans)])
     order = suffix_order(text, starts, depth)
-    # adjacent common prefixes, as far as they matter: at least depth or not
-    windows = [text[i : i + depth] for i in order.tolist()]
-    equal = np.fromiter((x == y for x, y in zip(windows, windows[1:])), dtype=bool, count=max(0, len(windows) - 1))
+    equal = common_prefixes(np.frombuffer(text, dtype=np.uint8), order, depth) >= depth
     again = np.zeros(len(text) + 1, dtype=bool)
     again[order[:-1][equal]] = True
     again[order[1:][equal]] = True
@@ -224,81 +242,148 @@ def equal_windows(windows: DataFrame) -> DataFrame:
     return windows.join(again.hint("merge"), ["w1", "w2"], "left_semi").groupBy("hash", "ctx").agg(F.collect_list(run).alias("runs"))
 
 
-def repeated_starts_of(docs: DataFrame, key: str, text: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(survey, starts): the surveyed documents, and for those with repeated
-    windows the runs [a, b) of their starts, unordered and overlapping."""
-    d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+def _grams(gram: int, length: int) -> list[int]:
+    """Gram lengths of the next anchors: doubled, the last leaves 16 places."""
+    out = []
+    while 2 * gram < length - 16:
+        gram *= 2
+        out.append(gram)
+    return [*out, length - 16] if length - 16 > (out[-1] if out else gram) else out
+
+
+RUNS = "runs array<struct<a:int,b:int>>"
+
+
+def _sorted_runs(contexts: DataFrame, length: int) -> DataFrame:
+    """``hash``, ``ctx``, ``runs`` from one suffix array per some hashes."""
+
+    def sort(batches):
+        def flush(rows):
+            flags = repeated_starts([r[3] for r in rows], [r[2] for r in rows], length)
+            hit = [(r[0], r[1], _runs(f)) for r, f in zip(rows, flags) if f.any()]
+            return {"hash": [h[0] for h in hit], "ctx": [h[1] for h in hit], "runs": [[{"a": a, "b": b} for a, b in h[2]] for h in hit]}
+
+        rows, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "ctx", "span", "bytes"))):
+                if rows and row[:2] == rows[-1][:2]:
+                    continue  # the same context, from a row where key and text are the same
+                if size >= CHUNK and row[0] != rows[-1][0]:
+                    yield flush(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[3])
+        if rows:
+            yield flush(rows)
+
+    d = contexts.repartition("hash").sortWithinPartitions("hash", "ctx")
+    return map_batches(d, sort, StructType.fromDDL(f"hash long, ctx long, {RUNS}"))
+
+
+def _parts(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Contexts of contexts: ``hash`` and ``ctx`` of the whole, ``off`` of the part's
+    first window in it, and the part's own ``hash2``, ``ctx2``, ``span``, ``bytes``."""
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in ("hash", "ctx", "off", "hash2", "ctx2", "span", "bytes")}
+            for h, c, data in zip(*(batch.column(n).to_pylist() for n in ("hash", "ctx", "bytes"))):
+                for g, f, e in zip(*(x.tolist() for x in anchors(np.frombuffer(data, dtype=np.uint8), length, gram))):
+                    part = data[f : e + length]
+                    # equal windows share the anchors of all levels
+                    pair = (h & ((1 << 64) - 1)).to_bytes(8, "little") + g.to_bytes(8, "little")
+                    for n, v in zip(out, (h, c, f, xxhash.xxh3_64_intdigest(pair) - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), e - f + 1, part)):
+                        out[n].append(v)
+            yield out
+
+    return map_batches(contexts, run, StructType.fromDDL("hash long, ctx long, off int, hash2 long, ctx2 long, span int, bytes binary"))
+
+
+def _windows(contexts: DataFrame, length: int) -> DataFrame:
+    """Each window of a context by its digest."""
+
+    def run(batches):
+        for batch in batches:
+            hs, ctxs, places, digests = [], [], [], []
+            for h, c, span, data in zip(*(batch.column(n).to_pylist() for n in ("hash", "ctx", "span", "bytes"))):
+                hs += [h] * span
+                ctxs += [c] * span
+                places += range(span)
+                digests += [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(span)]
+            w = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            yield {"hash": hs, "ctx": ctxs, "i": places, "w1": w[:, 0], "w2": w[:, 1]}
+
+    return map_batches(contexts, run, StructType.fromDDL("hash long, ctx long, i int, w1 long, w2 long"))
+
+
+def shared_windows(kinds: DataFrame, bytes_of: Callable[[DataFrame], DataFrame], length: int, grams: list[int]) -> DataFrame:
+    """``hash``, ``ctx``, ``runs``: windows of different contexts of one hash that
+    are equal. ``kinds`` are distinct contexts of hashes with two or more;
+    ``bytes_of`` gives some of them with ``span`` and ``bytes``. Hashes with too many
+    contexts for one suffix array go through ``grams``."""
+    m = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("m"))
+    many = materialise(m.filter(F.col("m") > SORTED).select("hash"))
+    if many.isEmpty():
+        return _sorted_runs(bytes_of(kinds), length)
+    few = _sorted_runs(bytes_of(kinds.join(many, "hash", "left_anti")), length)
+    hot = materialise(bytes_of(kinds.join(many, "hash", "left_semi")).dropDuplicates(["hash", "ctx"]))
+    if not grams:
+        return few.unionByName(equal_windows(materialise(_windows(hot, length))))
+    parts = materialise(_parts(hot, length, grams[0]))
+    own = parts.groupBy("hash2", "ctx2").agg(F.count(F.lit(1)).alias("n"), F.first("span").alias("span"), F.first("bytes").alias("bytes"))
+    own = materialise(own.withColumnsRenamed({"hash2": "hash", "ctx2": "ctx"}))
+    alone = own.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash")
+    own_bytes = lambda some: some.select("hash", "ctx", "span", "bytes")
+    deeper = shared_windows(materialise(own.join(alone, "hash", "left_semi")), own_bytes, length, grams[1:])
+    whole = own.filter("n > 1").select("hash", "ctx", F.array(F.struct(F.lit(0).alias("a"), F.col("span").alias("b"))).alias("runs"))
+    found = deeper.unionByName(whole).withColumnsRenamed({"hash": "hash2", "ctx": "ctx2"})
+    back = parts.select("hash", "ctx", "off", "hash2", "ctx2").join(found, ["hash2", "ctx2"])
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("off")).alias("a"), (r["b"] + F.col("off")).alias("b")))
+    return few.unionByName(back.groupBy("hash", "ctx").agg(F.flatten(F.collect_list(moved)).alias("runs")))
+
+
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``id``: the key with a hash of the text, so that rows of one key or without a
+    key are told apart by their texts; ``text``."""
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return docs.select(F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(t).alias("hash")).alias("id"), t.alias("text"))
+
+
+def repeated_starts_of(d: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(survey, starts) of ``id`` and ``text``: the surveyed documents, and for those
+    with repeated windows the runs [a, b) of their starts, unordered and overlapping."""
     seen = materialise(survey(d, "id", "text", length, gram))
     posts = seen.select("id", F.inline("contexts"))
     kinds = posts.groupBy("hash", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first", "last")).alias("at"))
     kinds = materialise(kinds.select("hash", "ctx", "n", "at.*"))
-    groups = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    groups = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash")
     mixed = materialise(kinds.join(groups, "hash"))
 
-    # contexts that are not alone under their hash: cut from the texts
+    # contexts that are not alone under their hash: cut from the texts, from one of
+    # the rows where id and text are equal
     def near(some: DataFrame) -> DataFrame:
         cuts = some.groupBy("id").agg(F.collect_list(F.struct("hash", "ctx", "first", "last")).alias("cuts"))
-        return sift(d, some.select("id"), "id").join(cuts, "id").select(F.col("text").alias("_text"), "cuts")
+        texts = sift(d, some.select("id"), "id").join(cuts, "id").select(F.col("text").alias("_text"), "cuts")
+        return map_batches(texts, cut, StructType.fromDDL("hash long, ctx long, span int, bytes binary"))
 
     def cut(batches):
         for batch in batches:
-            out: dict[str, list] = {"hash": [], "ctx": [], "at": [], "bytes": []}
+            out: dict[str, list] = {"hash": [], "ctx": [], "span": [], "bytes": []}
             for data, wanted in zip(blobs(batch), batch.column("cuts").to_pylist()):
                 for c in wanted:  # the context, with its number of windows
                     f, span = c["first"], c["last"] - c["first"] + 1
                     out["hash"].append(c["hash"])
                     out["ctx"].append(c["ctx"])
-                    out["at"].append(span)
+                    out["span"].append(span)
                     out["bytes"].append(data[f : f + span - 1 + length])
                     if len(out["hash"]) > 50_000:
                         yield out
                         out = {n: [] for n in out}
             yield out
 
-    def single(batches):  # each window of a hot anchor by itself
-        for batch in batches:
-            hs, ctxs, places, digests = [], [], [], []
-
-            def rows():
-                w = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                return {"hash": hs, "ctx": ctxs, "i": places, "w1": w[:, 0], "w2": w[:, 1]}
-
-            for data, wanted in zip(blobs(batch), batch.column("cuts").to_pylist()):
-                for c in wanted:
-                    f, span = c["first"], c["last"] - c["first"] + 1
-                    hs += [c["hash"]] * span
-                    ctxs += [c["ctx"]] * span
-                    places += range(span)
-                    digests += [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(f, f + span)]
-                    if len(hs) > 50_000:
-                        yield rows()
-                        hs, ctxs, places, digests = [], [], [], []
-            yield rows()
-
-    pieces = map_batches(near(mixed.filter(F.col("m") <= HOT)), cut, StructType.fromDDL("hash long, ctx long, at int, bytes binary"))
-    hot = map_batches(near(mixed.filter(F.col("m") > HOT)), single, StructType.fromDDL("hash long, ctx long, i int, w1 long, w2 long"))
-
-    def sort(batches):
-        def flush(rows):
-            flags = repeated_starts([r[3] for r in rows], [r[2] for r in rows], length)
-            hit = [(r[0], r[1], _runs(f)) for r, f in zip(rows, flags) if f.any()]
-            return {"hash": [h[0] for h in hit], "ctx": [h[1] for h in hit], "runs": [[{"a": a, "b": b} for a, b in h[2]] for h in hit]}
-
-        rows, size = [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "ctx", "at", "bytes"))):
-                if size >= CHUNK and row[0] != rows[-1][0]:
-                    yield flush(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[3])
-        if rows:
-            yield flush(rows)
-
-    schema = StructType.fromDDL("hash long, ctx long, runs array<struct<a:int,b:int>>")
-    shared = map_batches(pieces.repartition("hash").sortWithinPartitions("hash"), sort, schema)
+    shared = shared_windows(mixed, near, length, _grams(gram, length))
     whole = kinds.filter("n > 1").select("hash", "ctx", F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first") + 1).alias("b"))).alias("runs"))
-    found = whole.unionByName(shared).unionByName(equal_windows(materialise(hot)))
+    found = whole.unionByName(shared)
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
     starts = posts.join(found, ["hash", "ctx"]).groupBy("id").agg(F.flatten(F.collect_list(moved)).alias("starts"))
     return seen.select("id", "n_bytes", "sha"), starts
@@ -309,11 +394,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ``kept_sha256`` of the remaining bytes.
 
     A byte goes if any ``length``-byte string that covers it starts anywhere else.
-    Null and empty texts have no bytes. Keys must be unique.
+    Null and empty texts have no bytes. Rows of one key, or without one, are rows of
+    their own, and their equal texts repeat one another. ``has_repeats`` says whether
+    bytes were removed.
     """
-    seen, starts = repeated_starts_of(docs, key, text, length, gram)
+    d = _named(docs, key, text)
+    seen, starts = repeated_starts_of(d, length, gram)
     starts = materialise(starts)
-    d = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     torn = sift(d, starts, "id").join(starts, "id").select("id", F.col("text").alias("_text"), "starts")
 
     def tear(batches):
@@ -331,9 +418,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 sha.append(hashlib.sha256(np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()).hexdigest())
             yield {"id": batch.column("id"), "removed": removed, "spans": n, "left": sha}
 
-    torn = map_batches(torn, tear, schema_of(seen.select("id"), "id", "removed long, spans long, left string"))
+    torn = map_batches(torn, tear, schema_of(seen.select("id"), "id", "removed long, spans long, left string")).dropDuplicates(["id"])
     none = F.lit(0).cast("long")
     return seen.join(torn, "id", "left").select(
-        F.col("id").alias(key), "n_bytes", F.coalesce("removed", none).alias("n_removed"),
+        F.col("id.key").alias(key), "n_bytes", F.coalesce("removed", none).alias("n_removed"),
         F.coalesce("spans", none).alias("n_spans"), F.coalesce("left", F.lower(F.hex("sha"))).alias("kept_sha256"),
+        (F.coalesce("removed", none) > 0).alias("has_repeats"),
     )

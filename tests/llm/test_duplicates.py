@@ -107,7 +107,7 @@ def repeats(texts, length):
 
 @pytest.mark.parametrize("hot", [512, 1])
 def test_removed_bytes_equal_brute_force(make, clash, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SORTED", hot)
     monkeypatch.setattr(suffix, "CHUNK", 3000)
     rng = random.Random(6)
     text = lambda n: "".join(rng.choices("abcdé \n", k=n))
@@ -117,7 +117,8 @@ def test_removed_bytes_equal_brute_force(make, clash, monkeypatch, hot):
     texts += [text(20) + other + text(20) + other for _ in range(4)]
     texts += [texts[2], texts[2], "z" * 700, None, "", passage[:39], passage[:40], "ab" * 300]
     got = sorted(suffix.remove_repeats(clash(make(texts)), length=40, gram=8).collect())
-    assert [tuple(r)[1:] for r in got] == repeats(texts, 40)
+    assert [tuple(r)[1:5] for r in got] == repeats(texts, 40)
+    assert [r.has_repeats for r in got] == [r.n_removed > 0 for r in got]
 
 
 def test_suffix_order_is_the_sorted_order():
@@ -148,3 +149,26 @@ def test_equal_windows_hold_no_lists(spark):
     found = got.collect()
     assert len(found) == 3000
     assert all(sorted((r.a, r.b) for r in x.runs) == [(0, 1), (1, 2), (2, 3)] for x in found)
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_repeated_and_null_keys_are_rows_of_their_own(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "SORTED", hot)
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("abc", k=n))
+    one = text(60)
+    rows = [(1, one + text(30)), (1, text(20) + one), (1, text(90)), (None, one + text(10)), (None, one + text(10)), (None, None)]
+    rows += [rows[0], rows[3]] + [(k, one[k:] + text(50)) for k in range(12)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40, gram=8).collect()
+    want = [(k, *r) for (k, _), r in zip(rows, repeats([t for _, t in rows], 40))]
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+
+
+def test_common_prefixes():
+    rng = random.Random(10)
+    t = np.array(rng.choices([1, 2], k=400), dtype=np.uint8)
+    order = np.array(rng.sample(range(300), 200) + [5, 5])
+    got = suffix.common_prefixes(t, order, 100)
+    for a, b, n in zip(order, order[1:], got):
+        differ = np.flatnonzero(t[a : a + 100] != t[b : b + 100])
+        assert n == (differ[0] if len(differ) else 100)
