@@ -3,7 +3,8 @@
 Each document is measured once. Rule failures are counted per host, the rates
 are shrunk towards the common rate with a beta prior fitted to all hosts, and the
 host's verdict goes back to its documents: any failed rule drops a document, and
-on a distrusted host the limits are twice as strict. A document that is clean by
+on a distrusted host, one whose shrunk rate is well above the common rate, the
+limits are twice as strict. A document that is clean by
 the strict limits is kept whatever its host.
 """
 
@@ -19,6 +20,7 @@ SPACE = r"[\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 MAX_SYMBOLS_PCT, MAX_DUP_LINES_PCT = 10, 30
 MIN_WORD_CHARS, MAX_WORD_CHARS = 3, 12
+DISTRUST = 1.25  # times the common failure rate
 
 
 def repeat_positions(hashes: str) -> Column:
@@ -77,7 +79,8 @@ def failures(strict: int = 1) -> list[Column]:
 
 
 def host_rates(failed: DataFrame, host: str = "host") -> DataFrame:
-    """host, n_docs, n_failed, rate: posterior mean of the host's failure rate.
+    """host, n_docs, n_failed, rate (posterior mean of the host's failure rate) and
+    common (mean of the prior).
 
     The beta prior has the mean and variance of the hosts' rates (method of
     moments, at least two pseudo-documents); one host or equal rates leave a weak
@@ -90,12 +93,15 @@ def host_rates(failed: DataFrame, host: str = "host") -> DataFrame:
     p = p.select("_m", strength.alias("_k"))
     # the prior is one row
     rate = (F.col("n_failed") + F.col("_m") * F.col("_k")) / (F.col("n_docs") + F.col("_k"))
-    return h.crossJoin(F.broadcast(p)).select(host, "n_docs", "n_failed", rate.alias("rate"))
+    return h.crossJoin(F.broadcast(p)).select(host, "n_docs", "n_failed", rate.alias("rate"), F.col("_m").alias("common"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", distrust: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", distrust: float = DISTRUST) -> DataFrame:
     """One row per document: key, measures, n_failed_rules, n_failed_strict,
-    host_rate, base_failed, kept.
+    host_rate, host_distrusted, base_failed, kept.
+
+    A host is distrusted if its shrunk failure rate is more than ``distrust`` times
+    the common rate.
 
     ``base_failed`` (too short, or mostly repeated windows) drops a document by
     itself. Empty and null texts fail it. The host table joins on its name; Spark
@@ -106,9 +112,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     n = {name: sum((f.cast("int") for f in failures(strict)), F.lit(0)) for name, strict in (("n_failed_rules", 1), ("n_failed_strict", 2))}
     # measured once; read for the host rates and for the documents
     m = materialise(m.withColumns(n))
-    rates = host_rates(m.select("_host", (F.col("n_failed_rules") > 0).alias("failed")), "_host").select("_host", F.col("rate").alias("host_rate"))
+    rates = host_rates(m.select("_host", (F.col("n_failed_rules") > 0).alias("failed")), "_host")
+    rates = rates.select("_host", F.col("rate").alias("host_rate"), (F.col("rate") > distrust * F.col("common")).alias("host_distrusted"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    failed = F.when(F.col("host_rate") > distrust, F.col("n_failed_strict")).otherwise(F.col("n_failed_rules"))
+    failed = F.when(F.col("host_distrusted"), F.col("n_failed_strict")).otherwise(F.col("n_failed_rules"))
     out = m.join(rates, "_host").withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & (failed == 0)).drop("_host")
 
@@ -122,6 +129,7 @@ def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", host: st
 def quality_report(docs: DataFrame) -> DataFrame:
     return judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_rules",
+        "host_distrusted",
     )
 
 
@@ -144,7 +152,7 @@ f AS (SELECT *, (n_words < 50)::INT + (100 * n_repeat_words > 50 * n_words)::INT
 h AS (SELECT host, count(*) AS n, count(*) FILTER (n_failed_rules > 0) AS b FROM f GROUP BY host),
 q AS (SELECT avg(b / n) AS m, coalesce(var_samp(b / n), 0) AS v FROM h),
 s AS (SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 2.0) ELSE 2.0 END AS k FROM q),
-x AS (SELECT host, (b + m * k) / (n + k) > 0.5 AS bad FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_failed_rules,
+x AS (SELECT host, (b + m * k) / (n + k) > 1.25 * m AS bad FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_failed_rules, bad AS host_distrusted,
   NOT base_failed AND n_failed_rules = 0 AND NOT (bad AND strict) AS kept FROM f JOIN x USING (host)
 """

@@ -228,3 +228,16 @@ def test_rows_of_one_item_are_one_item(spark, make, monkeypatch, block):
     monkeypatch.setattr(decontam, "match_benchmark", lambda x, y: d(x, y, block_bytes=block))
     got = sorted(decontam.contamination_report(make([passage, "so only this passage has no name at all today here"]), table).collect())
     assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(12, 2, True), (10, 0, True)]
+
+
+def test_a_distrusted_host_changes_verdicts(make):
+    """The same borderline text stays on a common host and goes on a bad one."""
+    plain = " ".join(f"word{i}" for i in range(60))
+    border = plain + " # # # #"  # 6 % of symbols: within the limit, above the strict one
+    rows = [("short", "bad")] * 30 + [(plain, "bad")] * 10 + [(border, "bad")]
+    for h in range(8):
+        rows += [(plain, f"h{h}")] * 40 + [("short", f"h{h}")] * 2 + [(border, f"h{h}")]
+    got = sorted(quality.judge(make(rows)).collect())
+    told = {(s, r.host_distrusted, r.kept) for r, (t, s) in zip(got, rows) if t == border}
+    assert told == {("bad", True, False)} | {(f"h{h}", False, True) for h in range(8)}
+    assert all(r.kept for r, (t, _) in zip(got, rows) if t == plain)
