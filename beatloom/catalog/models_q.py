@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from beatloom import fixtures as fx
-from beatloom.catalog import query
+from beatloom.catalog import hrv_q, query
 from beatloom.catalog.beats_q import r6
-from beatloom.catalog.hrv_q import rr
+from beatloom.catalog.hrv_q import beat_rr as rr
 from beatloom.catalog.joins_q import context
 from beatloom.operators import aggregates, intervals, models, waveforms, windows
 from beatloom.sources import tables
-from beatloom.streaming import live
+from beatloom.session import checkpoint_dir, materialise
+from beatloom.streaming import anchored, live
 
 ON = ["recording_id", "segment_idx"]
 CODES = {"clean": 0, "noisy_ok": 1, "bad": 2}
@@ -310,6 +313,21 @@ def _(spark, sf):
     return out.select("recording_id", "window_start_ms", "count", *r6("mean_rr", "sdnn"), "min_rr", "max_rr")
 
 
+@query("p1_anchored_increments", f""", {hrv_q.WIN} SELECT {hrv_q.KEYS}, count(*) AS count, round(avg(rr), 6) AS mean_rr, round(stddev_samp(rr), 6) AS sdnn, round(sqrt(avg(d * d)), 6) AS rmssd,
+  round(avg((rr + p1 - m1 - m2) / 4) FILTER (d > 0 AND i >= 5 AND i + 5 < n), 6) AS dc FROM wn GROUP BY ALL""", "fx_long_rr")
+def _(spark, sf):
+    """The recordings arrive in four batches; a late copy of old rows changes nothing."""
+    w = anchored.AnchoredWindows(spark, f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}")
+    d = hrv_q.rr(spark, sf).select("recording_id", "timestamp_ms", "rr_ms", (F.col("rr_idx") % 7 == 0).alias("late"))
+    d = materialise(d)
+    at = F.lit(fx.T0) + F.lit(6 * 3_600_000)
+    w.write(d.filter(F.col("timestamp_ms") < at), 0)
+    w.write(d.filter(F.col("timestamp_ms").between(at, at + 12 * 3_600_000)), 1)
+    w.write(d.filter("late").withColumn("rr_ms", F.lit(1.0)).filter(F.col("timestamp_ms") <= at + 12 * 3_600_000), 2)
+    w.write(d.filter(F.col("timestamp_ms") > at + 12 * 3_600_000), 3)
+    return w.metrics().select(*hrv_q.K, "count", *r6("mean_rr", "sdnn", "rmssd", "dc"))
+
+
 @query("p2_live_sessions", """, b AS (SELECT *, CASE WHEN timestamp_ms - lag(timestamp_ms) OVER w <= 1000 THEN 0 ELSE 1 END AS e FROM fx_beats WINDOW w AS (PARTITION BY recording_id ORDER BY beat_idx)),
 s AS (SELECT *, sum(e) OVER (PARTITION BY recording_id ORDER BY beat_idx) AS g FROM b) SELECT recording_id, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms, count(*) AS n_beats FROM s GROUP BY recording_id, g""", "fx_beats")
 def _(spark, sf):

@@ -90,7 +90,7 @@ def moments(rr: DataFrame | States, frames: Frames = ALL_FRAMES, anchor: DataFra
         F.sqrt(F.col("_sdd") / nd).alias("rmssd"), (F.col("_n20") / nd * 100).alias("pnn20"), (F.col("_n50") / nd * 100).alias("pnn50"),
         (F.col("_s_dc") / F.when(F.col("_n_dc") > 0, F.col("_n_dc"))).alias("dc"),
         (-F.col("_s_ac") / F.when(F.col("_n_ac") > 0, F.col("_n_ac"))).alias("ac"),
-        F.sqrt(0.5 * vd).alias("sd1"), F.sqrt(2 * vx - 0.5 * vd).alias("sd2"),
+        F.sqrt(0.5 * vd).alias("sd1"), F.sqrt(F.when(2 * vx >= 0.5 * vd, 2 * vx - 0.5 * vd)).alias("sd2"),
     )
     mean = F.when(F.col("mean_rr") != 0, F.col("mean_rr"))
     a, b = F.col("sd1"), F.col("sd2")

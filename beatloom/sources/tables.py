@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from beatloom.functions.timeparse import any_ms, epoch_any_unit
 from beatloom.operators import relational
@@ -239,13 +240,15 @@ def merge_append(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFram
     return relational.upsert(old, new, key)
 
 
-def merge_into(path: str, new: DataFrame, key: Sequence[str], partitions: Sequence[str]) -> None:
-    """Upsert ``new`` into a partitioned Parquet table, the new rows winning.
+def merge_into(path: str, new: DataFrame, key: Sequence[str], partitions: Sequence[str], schema: StructType | None = None) -> None:
+    """Upsert ``new`` into a partitioned Parquet table, the new rows winning. A table
+    that may still be without rows needs its ``schema``.
 
     Only partitions that ``new`` touches are read and written; the merged rows are
     written aside first, since a table cannot be read while it is overwritten.
     """
-    old = new.sparkSession.read.parquet(path)
+    read = new.sparkSession.read
+    old = (read if schema is None else read.schema(schema)).parquet(path)
     touched = old.join(new.select(*partitions).distinct(), list(partitions), "left_semi").select(*old.columns)
     merged = materialise(merge_append(touched, new.select(*old.columns), key))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
