@@ -10,9 +10,9 @@ from beatloom import fixtures as fx
 from beatloom.catalog import hrv_q, query
 from beatloom.catalog.beats_q import r6
 from beatloom.catalog.hrv_q import beat_rr as rr
-from beatloom.catalog.joins_q import context
-from beatloom.operators import aggregates, intervals, models, waveforms, windows
-from beatloom.sources import tables
+from beatloom.operators import aggregates, intervals, models, sampleindex, waveforms, windows
+from beatloom.plans.ordered import over_rows
+from beatloom.sources import queues, tables
 from beatloom.session import checkpoint_dir, materialise
 from beatloom.streaming import anchored, live
 
@@ -105,6 +105,13 @@ def _(spark, sf):
     return tables.file_ranges(fx.beats(spark, sf), "recording_id")
 
 
+@query("a15_edges_from_footers", "SELECT recording_id, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms FROM fx_beats GROUP BY 1", "fx_beats")
+def _(spark, sf):
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    tables.write_table(fx.beats(spark, sf), path)
+    return tables.edge_times(spark, path)
+
+
 @query("a16_files_by_overlap", """, r AS (SELECT user_id, min((epoch_us(ts) // 1000)) AS a, max((epoch_us(ts) // 1000)) AS b FROM events GROUP BY 1)
 SELECT user_id, greatest(a, 1704153600000) AS from_ms, least(b, 1704326400000) AS to_ms, least(b, 1704326400000) - greatest(a, 1704153600000) AS duration_ms FROM r WHERE b >= 1704153600000 AND a < 1704326400000""".replace(", r AS", "WITH r AS", 1))
 def _(spark, sf):
@@ -120,15 +127,30 @@ def _(spark, sf):
     return tables.merge_append(old, new, ["recording_id", "timestamp_ms"]).drop("event_type")
 
 
-@query("a18_queue_records", """SELECT peak_id, timestamp_ms FROM fx_beats WHERE event_type = 'purchase' AND value > 100""", "fx_beats")
-def _(spark, sf):
-    # written and read back: the JSON sink keeps one record per candidate
-    from beatloom.session import checkpoint_dir
-    import uuid
+RECORD = """peak_id long, timestamp_ms long, segment_idx int, current_label string, p_artifact_ensemble double, disagreement double, composite_score double,
+  rr_prev_ms double, rr_next_ms double, context_ecg array<double>, context_timestamps_ms array<long>, r_peak_index_in_context int"""
 
+
+@query("a18_queue_records", """, c AS (SELECT b.recording_id, b.peak_id, b.timestamp_ms, b.segment_idx, s.p_tab, s.p_wave, l.label, rr_prev_ms, rr_next_ms
+  FROM fx_rr b JOIN fx_scores s USING (peak_id) JOIN fx_labels l USING (peak_id) WHERE b.event_type = 'purchase' AND b.value > 100),
+x AS (SELECT c.peak_id, list(s.ecg ORDER BY s.timestamp_ms) AS v, list(s.timestamp_ms ORDER BY s.timestamp_ms) AS t FROM c JOIN fx_samples s
+  ON s.recording_id = c.recording_id AND s.segment_idx = c.segment_idx AND abs(s.timestamp_ms - c.timestamp_ms) <= 2500 GROUP BY c.peak_id)
+SELECT peak_id, timestamp_ms, segment_idx, label AS current_label, round(0.5 * p_tab + 0.5 * p_wave, 6) AS p_artifact_ensemble, round(abs(p_tab - p_wave), 6) AS disagreement,
+  0.0::DOUBLE AS composite_score, CAST(rr_prev_ms AS DOUBLE) AS rr_prev_ms, CAST(rr_next_ms AS DOUBLE) AS rr_next_ms, v AS context_ecg, t AS context_timestamps_ms,
+  CAST(list_position(list_transform(t, lambda z: abs(z - timestamp_ms)), list_min(list_transform(t, lambda z: abs(z - timestamp_ms)))) - 1 AS INT) AS r_peak_index_in_context
+FROM c JOIN x USING (peak_id)""", "fx_rr", "fx_scores", "fx_labels", "fx_samples")
+def _(spark, sf):
+    """Assembled, written as JSON with a CSV summary, and read back."""
+    cand = fx.scores(spark, sf).select("recording_id", "peak_id", (0.5 * F.col("p_tab") + 0.5 * F.col("p_wave")).alias("p_artifact_ensemble"), F.abs(F.col("p_tab") - F.col("p_wave")).alias("disagreement"))
+    few = fx.beats(spark, sf).filter("event_type = 'purchase' and value > 100").select("recording_id", "peak_id")
+    beats = fx.beats(spark, sf)
+    near = over_rows(beats, 1, 1, windows.rr_stage).select("recording_id", "peak_id", "rr_prev_ms", "rr_next_ms")
+    labels = fx.labels(spark, sf).select("recording_id", "peak_id", "label").join(near, ["recording_id", "peak_id"])
+    index = sampleindex.sample_index(fx.samples(spark, sf), ["ecg", "segment_idx"])
+    records = queues.queue_records(cand.join(few, ["recording_id", "peak_id"], "left_semi"), beats, labels, index)
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    tables.export_queue(context(spark, sf), path)
-    return spark.read.schema("peak_id long, timestamp_ms long").json(f"{path}/records")
+    tables.export_queue(materialise(records.drop("recording_id")), path)
+    return spark.read.schema(RECORD).json(f"{path}/records")
 
 
 @query("a19_check_completed", """SELECT count(*) FILTER (event_type = 'view') AS unknown_ids, count(*) FILTER (event_type = 'click') AS unknown_labels, 0::BIGINT AS duplicates FROM events""")

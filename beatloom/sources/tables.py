@@ -227,6 +227,23 @@ def file_ranges(df: DataFrame, file: str, ts: str = "timestamp_ms") -> DataFrame
     return df.groupBy(file).agg(F.min(ts).alias("first_ms"), F.max(ts).alias("last_ms"))
 
 
+def edge_times(spark: SparkSession, path: str, by: Sequence[str] = ("recording_id",), ts: str = "timestamp_ms",
+               partitions: Sequence[str] = ("recording_id", "segment_bucket")) -> DataFrame:
+    """First and last time by some of the ``partitions`` (all of the table's) of a
+    Parquet table, from the files' footers alone: no data column is read.
+
+    The scan answers min and max from the row-group
+    statistics; it does so only with settings that would change other queries, so
+    the result belongs to a session of its own and is for reading, not for joins.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    edges = own.read.parquet(path).groupBy(*partitions).agg(F.min(ts).alias("first_ms"), F.max(ts).alias("last_ms"))
+    return edges.groupBy(*by).agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+
+
 def overlapping_files(ranges: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Files whose [first, last] meets [start, end), clamped, with duration."""
     d = ranges.filter((F.col("last_ms") >= start_ms) & (F.col("first_ms") < end_ms))
