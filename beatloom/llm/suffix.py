@@ -330,10 +330,11 @@ def shared_windows(kinds: DataFrame, bytes_of: Callable[[DataFrame], DataFrame],
     if not grams:
         return few.unionByName(equal_windows(materialise(_windows(hot, length))))
     parts = materialise(_parts(hot, length, grams[0]))
-    own = parts.groupBy("hash2", "ctx2").agg(F.count(F.lit(1)).alias("n"), F.first("span").alias("span"), F.first("bytes").alias("bytes"))
-    own = materialise(own.withColumnsRenamed({"hash2": "hash", "ctx2": "ctx"}))
+    named = parts.select(F.col("hash2").alias("hash"), F.col("ctx2").alias("ctx"), "span", "bytes")
+    own = materialise(named.groupBy("hash", "ctx").agg(F.count(F.lit(1)).alias("n"), F.first("span").alias("span")))
     alone = own.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash")
-    own_bytes = lambda some: some.select("hash", "ctx", "span", "bytes")
+    # the bytes stay where they are written once; copies of a part are one
+    own_bytes = lambda some: named.join(some.select("hash", "ctx"), ["hash", "ctx"], "left_semi").dropDuplicates(["hash", "ctx"])
     deeper = shared_windows(materialise(own.join(alone, "hash", "left_semi")), own_bytes, length, grams[1:])
     whole = own.filter("n > 1").select("hash", "ctx", F.array(F.struct(F.lit(0).alias("a"), F.col("span").alias("b"))).alias("runs"))
     found = deeper.unionByName(whole).withColumnsRenamed({"hash": "hash2", "ctx": "ctx2"})
