@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatloom.functions.timeparse import any_ms, iso_ms, segment_number
 from beatloom.operators import relational, temporal, thinning
 from beatloom.params import DEFAULTS, SERIES, Params, Series
-from beatloom.plans.ordered import row_index
+from beatloom.plans.ordered import row_index, running
 from beatloom.session import materialise
 
 SEG = ("recording_id", "segment_idx")
@@ -55,15 +55,32 @@ def build_labels(
 
     ``artifacts``, ``interpolated`` and ``added`` hold ``ref_ms``; ``events`` and
     ``regions`` hold intervals.
+
+    Beats, references and events stand in one frame, tagged; one prefix pass carries
+    the last and next reference of every kind and the furthest end of an event. A
+    region counts in its own segment only: a second frame by segment, a minute of
+    beats, holds them and serves the join with the validated segments.
     """
-    tol = p.match_tolerance_ms
-    d = temporal.match_within(peaks, artifacts, tol, "ref_ms", s, "_art")
-    d = temporal.match_within(d, interpolated, tol, "ref_ms", s, "_int")
-    d = temporal.match_within(d, added, tol, "ref_ms", s, "_add")
-    # the containment tests below read their points more than once
-    d = materialise(d)
-    d = temporal.in_intervals(d, events, s=s, name="phys_event_window")
-    d = temporal.in_scoped_ranges(d, regions, s=s, name="in_bad_region")
+    key, ts = list(s.key), F.col(s.ts)
+    one = lambda d, tag, at, end: d.select(*key, F.col(at).alias(s.ts), end.cast("long").alias("_end"), F.lit(tag).alias("_tag"))
+    none = F.lit(None)
+    frame = peaks.select(*key, ts, F.struct(*peaks.columns).alias("_p"), F.lit("peak").alias("_tag"))
+    refs = {"art": artifacts, "int": interpolated, "add": added}
+    for tag, d in refs.items():
+        frame = frame.unionByName(one(d, tag, "ref_ms", none), allowMissingColumns=True)
+    frame = frame.unionByName(one(events, "event", "start_ms", F.col("end_ms")), allowMissingColumns=True)
+    # at one time, starts and references come before the beats
+    frame = frame.withColumn("_kind", (F.col("_tag") == "peak").cast("int"))
+    carried = {f"_{tag}_{way}": (way, F.when(F.col("_tag") == tag, ts)) for tag in refs for way in ("last", "next")}
+    carried["_reach"] = ("max", F.when(F.col("_tag") == "event", F.col("_end")))
+    d = running(frame, carried, s, position=ts, width=s.bucket_ms, order=(s.ts, "_kind")).filter(F.col("_kind") == 1)
+    near = lambda tag: F.coalesce(ts - F.col(f"_{tag}_last") <= p.match_tolerance_ms, F.lit(False)) | F.coalesce(F.col(f"_{tag}_next") - ts <= p.match_tolerance_ms, F.lit(False))
+    inside = F.coalesce(F.col("_reach") >= ts, F.lit(False)).alias("phys_event_window")
+    d = d.select("_p.*", *[near(tag).alias(f"_{tag}") for tag in refs], inside).withColumn("_end", none.cast("long")).withColumn("_kind", F.lit(1))
+    spans = regions.select(*group, F.col("start_ms").alias(s.ts), F.col("end_ms").alias("_end"), F.lit(0).alias("_kind"))
+    here = Window.partitionBy(*group).orderBy(s.ts, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.unionByName(spans, allowMissingColumns=True).withColumn("_far", F.max("_end").over(here)).filter(F.col("_kind") == 1)
+    d = d.withColumn("in_bad_region", F.coalesce(F.col("_far") >= ts, F.lit(False)))
     ok = validated.select(*group).distinct().withColumn("reviewed", F.lit(True))
     d = d.join(ok, list(group), "left")
     is_added = F.col("_add") | (F.col("is_added_peak") if "is_added_peak" in peaks.columns else F.lit(False))
