@@ -356,6 +356,14 @@ def _(spark, sf):
     return live.live_sessions(fx.beats(spark, sf).select("recording_id", "timestamp_ms"), 1000)
 
 
+@query("p2_bucketed_sessions", """, b AS (SELECT *, CASE WHEN timestamp_ms - lag(timestamp_ms) OVER w <= 1000 THEN 0 ELSE 1 END AS e FROM fx_beats WINDOW w AS (PARTITION BY recording_id ORDER BY beat_idx)),
+s AS (SELECT *, sum(e) OVER (PARTITION BY recording_id ORDER BY beat_idx) AS g FROM b) SELECT recording_id, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms, count(*) AS n_beats FROM s GROUP BY recording_id, g""", "fx_beats")
+def _(spark, sf):
+    # buckets of a minute: most sessions cross their borders
+    parts = live.partial_sessions(fx.beats(spark, sf).select("recording_id", "timestamp_ms"), 1000, 60_000)
+    return live.merge_sessions(parts, 1000)
+
+
 @query("e29_resume_after_last", """, d AS (SELECT recording_id, timestamp_ms // 60000 * 60000 AS w, count(*) AS n FROM fx_beats GROUP BY ALL), m AS (SELECT recording_id, max(timestamp_ms // 60000 * 60000) AS last FROM fx_beats WHERE event_type = 'purchase' AND value > 200 GROUP BY 1)
 SELECT d.recording_id, w AS window_start_ms, n FROM d LEFT JOIN m USING (recording_id) WHERE last IS NULL OR w > last""", "fx_beats")
 def _(spark, sf):

@@ -4,7 +4,6 @@ Parquet tables, review queues."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,20 +38,42 @@ def first_present(df: DataFrame, candidates: Sequence[str], default: Column) ->
     return F.coalesce(*have, default)
 
 
-def csv_by_header(spark: SparkSession, path: str) -> list[DataFrame]:
-    """The CSV files of a folder as text columns, one frame per distinct header.
+def csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all CSV files under ``path``: file (name), header and cells, two
+    arrays of text. The first line that is not blank is a file's header.
 
-    Only names and first lines of the files are read for the grouping.
+    Headers are found by the tasks that read the files' beginnings and meet the rows
+    by a join on the file, so the number of files costs no jobs; the driver learns
+    only how many columns the widest header has. Raises without any header.
     """
-    files = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in sorted(files):
-        header = spark.read.text(f).limit(1).collect()
-        if header:
-            groups.setdefault(tuple(header[0]), []).append(f)
-    if not groups:
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_row"),  # grows along a split
+    )
+    first = lines.filter((F.col("_at") == 0) & (F.trim("value") != "")).groupBy("_path").agg(F.min_by("value", "_row").alias("_line"))
+    first = materialise(first)
+    wide = first.select(F.max(F.size(F.split("_line", ",")))).first()[0]
+    if wide is None:
         raise ValueError(f"no CSV file with a header in {path}")
-    return [spark.read.csv(fs, header=True, inferSchema=False) for fs in groups.values()]
+    names = [f"_c{i}" for i in range(wide)]
+    schema = ", ".join(f"{n} string" for n in names)
+    parsed = F.from_csv("_line", schema)
+    heads = first.select("_path", F.filter(F.array(*[parsed[n] for n in names]), lambda x: x.isNotNull()).alias("header"))
+    rows = spark.read.csv(path, schema=schema, header=False).select(
+        F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file")
+    )
+    d = rows.join(heads, "_path")
+    return d.filter(F.slice("cells", F.lit(1), F.size("header")) != F.col("header")).select("file", "header", "cells")
+
+
+def cell(names: Sequence[str], otherwise: int | None = None) -> Column:
+    """Text of the first of ``names`` that the row's header has, else of the cell at
+    ``otherwise``."""
+    at = lambda n: F.get("cells", (F.array_position("header", n) - 1).cast("int"))
+    out = F.get("cells", F.lit(otherwise)) if otherwise is not None else F.lit(None).cast("string")
+    for n in reversed(names):
+        out = F.when(F.array_contains("header", n), at(n)).otherwise(out)
+    return out
 
 
 def read_signal_csv(spark: SparkSession, path: str, flip: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
@@ -61,16 +82,9 @@ def read_signal_csv(spark: SparkSession, path: str, flip: DataFrame | None = Non
     Each file's own header decides its columns; values are read as text once and
     converted, so a wrong cell drops one row and no schema is inferred from the data.
     """
-
-    def part(raw: DataFrame) -> DataFrame:
-        t = find_column(raw, TIME_NAMES) or raw.columns[0]
-        v = find_column(raw, VALUE_NAMES) or raw.columns[1]
-        return raw.select(
-            F.col("_metadata.file_name").alias("file"), any_ms(F.col(f"`{t}`")).alias("timestamp_ms"),
-            (F.col(f"`{v}`").try_cast("double") * 1000.0).alias("ecg"),
-        )
-
-    d = reduce(DataFrame.unionByName, map(part, csv_by_header(spark, path)))
+    d = csv_cells(spark, path).select(
+        "file", any_ms(cell(TIME_NAMES, 0)).alias("timestamp_ms"), (cell(VALUE_NAMES, 1).try_cast("double") * 1000.0).alias("ecg")
+    )
     d = d.filter((F.col("timestamp_ms") >= p.min_valid_ms) & F.col("ecg").isNotNull() & ~F.isnan("ecg"))
     d = d.filter(F.abs("ecg") < float("inf"))
     if flip is not None:
@@ -87,16 +101,12 @@ def with_segments(samples: DataFrame, starts: DataFrame, key: Sequence[str] = ("
 def read_peak_csv(spark: SparkSession, path: str) -> DataFrame:
     """Peak times (peak_id is epoch ms; else the first column), source, flag."""
 
-    def part(raw: DataFrame) -> DataFrame:
-        pid = "peak_id" if "peak_id" in raw.columns else raw.columns[0]
-        return raw.select(
-            F.col("_metadata.file_name").alias("file"), any_ms(F.col(f"`{pid}`")).alias("timestamp_ms"),
-            first_present(raw, ["source"], F.lit("detected")).alias("source"),
-            F.coalesce(first_present(raw, ["is_added_peak"], F.lit("false")).try_cast("boolean"), F.lit(False)).alias("is_added_peak"),
-            first_present(raw, ["label"], F.lit(None).cast("string")).try_cast("int").alias("label"),
-        )
-
-    d = reduce(DataFrame.unionByName, map(part, csv_by_header(spark, path)))
+    d = csv_cells(spark, path).select(
+        "file", any_ms(cell(["peak_id"], 0)).alias("timestamp_ms"),
+        F.coalesce(cell(["source"]), F.lit("detected")).alias("source"),
+        F.coalesce(cell(["is_added_peak"]).try_cast("boolean"), F.lit(False)).alias("is_added_peak"),
+        cell(["label"]).try_cast("int").alias("label"),
+    )
     return d.filter(F.col("timestamp_ms").isNotNull())
 
 

@@ -158,3 +158,50 @@ def test_merge_rewrites_only_touched_partitions(spark, tmp_path):
     got = {r.id: r.v for r in spark.read.parquet(path).collect()}
     assert len(got) == 31 and {k for k, v in got.items() if v == "new"} == {1, 100}
     assert sorted(p.name for p in (tmp_path / "t" / "day=0").glob("*.parquet")) == before
+
+
+def test_headers_cost_no_jobs(spark, tmp_path):
+    """Many files with five headers, one of them empty, one without known names."""
+    heads = ["DateTime,ECG", "ECG,noise,timestamp", '"ecg_amplitude","Time"', "a,b", "time,value,x,y"]
+    want = set()
+    for i in range(60):
+        h, t = heads[i % 5], 1_700_000_000_000 + i
+        cells = {"DateTime,ECG": f"{t},1.5", "ECG,noise,timestamp": f'1.5,"a,b",{t}', heads[2]: f'"1.5","{t}"', "a,b": f"{t},1.5", heads[4]: f"{t},1.5,,"}[h]
+        (tmp_path / f"f{i:03}.csv").write_text(f"\n{h}\n{cells}\nbroken,row\n{h}\n" if i % 2 else f"{h}\r\n{cells}\r\n")
+        want.add((f"f{i:03}.csv", t, 1500.0))
+    (tmp_path / "empty.csv").write_text("")
+    spark.sparkContext.setJobGroup("headers", "")
+    got = {tuple(r) for r in tables.read_signal_csv(spark, str(tmp_path)).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want
+    assert len(jobs) <= 8  # whatever the number of files
+
+
+def test_no_header_at_all(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("\n\n")
+    with pytest.raises(ValueError):
+        tables.read_signal_csv(spark, str(tmp_path))
+
+
+def test_sessions_cut_by_buckets(spark, tmp_path):
+    """Gaps of exactly the limit and one more, on and off the borders of buckets."""
+    gap, bucket = 1_000, 10_000
+    times = [9_000, 10_000, 11_001, 19_500, 20_000, 29_999, 30_999, 32_000, 50_000]
+    times += list(range(60_000, 95_000, 700))  # one session over four buckets
+    rows = [(r, t + r) for r in (0, 1) for t in times] + [(r, 10_000_000) for r in (0, 1)]
+    d = spark.createDataFrame(rows, "recording_id int, timestamp_ms long")
+    want = []
+    for r in (0, 1):
+        mine = sorted(t for q, t in rows if q == r)
+        for t in mine:
+            if want and want[-1][0] == r and t - want[-1][2] <= gap:
+                want[-1] = (r, want[-1][1], t, want[-1][3] + 1)
+            else:
+                want.append((r, t, t, 1))
+    batch = live.merge_sessions(live.partial_sessions(d, gap, bucket), gap)
+    assert sorted(map(tuple, batch.select("recording_id", "first_ms", "last_ms", "n_beats").collect())) == want
+    parts = _drain(spark, live.partial_sessions(_stream(spark, d, str(tmp_path / "i")), gap, bucket), "parts", tmp_path / "c")
+    got = live.merge_sessions(parts, gap).select("recording_id", "first_ms", "last_ms", "n_beats").collect()
+    # the watermark has closed all but the last event's own session
+    assert sorted(map(tuple, got)) == [w for w in want if w[1] < 10_000_000]
