@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from beatloom import fixtures as fx
 from beatloom.catalog import hrv_q, query
 from beatloom.catalog.beats_q import r6
 from beatloom.catalog.hrv_q import beat_rr as rr
-from beatloom.operators import aggregates, intervals, models, sampleindex, waveforms, windows
+from beatloom.operators import aggregates, categorytree, intervals, models, sampleindex, waveforms, windows
 from beatloom.plans.ordered import over_rows
 from beatloom.sources import queues, tables
 from beatloom.session import checkpoint_dir, materialise
@@ -259,18 +260,38 @@ def _(spark, sf):
     return waveforms.anomaly(out, "dist_to_nearest_qrs_motif", "qrs").select("peak_id", "nearest_qrs_motif_idx", "nearest_qrs_motif_label", "qrs_anomaly_score", "is_qrs_anomaly")
 
 
+CATEGORY_FEATURES = ["window_iqr", "window_zcr", "r_peak_snr", "window_hf_noise_rms", "window_wander_slope"]
+
+
 def category_model(spark, sf):
-    w = waveforms.signal_quality(fx.waveforms(spark, sf)).withColumn("truth", (F.col("label") == "artifact").cast("double"))
-    feats = ["window_iqr", "window_zcr", "r_peak_snr", "window_hf_noise_rms", "window_wander_slope"]
-    m = models.fit_categories(w, feats, "truth")
-    leaves = models.categorise_leaves(models.leaf_table(m, feats, m.transform(w), "truth"))
-    return w, m, leaves
+    """All beats, and the tree of the reviewed ones with its categories."""
+    w = waveforms.signal_quality(fx.waveforms(spark, sf)).withColumn("truth", ((F.col("label") == "artifact") | F.col("hard_filtered")).cast("int"))
+    w = materialise(w)
+    tree = categorytree.fit(w.filter("segment_idx % 3 <> 0"), CATEGORY_FEATURES, "truth", min_leaf=20)
+    return w, tree, models.categorise_leaves(categorytree.leaf_table(w, tree))
 
 
 @query("m14_m16_categories")
 def _(spark, sf):
-    w, m, leaves = category_model(spark, sf)
-    return models.apply_categories(m, leaves, w, ["peak_id"])
+    w, tree, leaves = category_model(spark, sf)
+    return categorytree.apply(tree, leaves, w, ["peak_id"])
+
+
+@query("m14_leaf_contract", """, r AS (SELECT CASE WHEN label = 'artifact' OR hard_filtered THEN 1 ELSE 0 END AS y FROM fx_waves WHERE segment_idx % 3 <> 0)
+SELECT count(*) AS n_reviewed, count(*) FILTER (y = 0) AS n_clean, count(*) FILTER (y = 1) AS n_artifact, 0::BIGINT AS wrong_counts, 0::BIGINT AS wrong_purity, 0::BIGINT AS small_leaves FROM r""", "fx_waves")
+def _(spark, sf):
+    """Leaves hold the reviewed beats, each once, and say their counts and purity."""
+    w, tree, leaves = category_model(spark, sf)
+    got = categorytree.apply(tree, leaves, w.filter("segment_idx % 3 <> 0"), ["truth"])
+    n = got.groupBy("leaf_id").agg(F.count_if(F.col("truth") == 0).alias("_c"), F.count_if(F.col("truth") == 1).alias("_a"), F.max("category_confidence").alias("_p"))
+    j = leaves.join(n, leaves["leaf"] == n["leaf_id"], "left").fillna(0, ["_c", "_a"])
+    purity = F.greatest("_c", "_a") / (F.col("_c") + F.col("_a"))
+    return j.agg(
+        F.sum(F.col("_c") + F.col("_a")).alias("n_reviewed"), F.sum("_c").alias("n_clean"), F.sum("_a").alias("n_artifact"),
+        F.count_if((F.col("_c") != F.col("n_clean")) | (F.col("_a") != F.col("n_artifact"))).alias("wrong_counts"),
+        F.count_if(~F.coalesce(F.abs(purity - F.col("_p")) < 1e-12, F.lit(False))).alias("wrong_purity"),
+        F.count_if(F.col("_c") + F.col("_a") < 20).alias("small_leaves"),
+    )
 
 
 @query("m19_leaf_paths")
@@ -278,6 +299,19 @@ def _(spark, sf):
     return category_model(spark, sf)[2].select("leaf", "tree_path", "n_clean", "n_artifact", "category")
 
 
+@query("h11_path_conditions", "SELECT count(*) AS beats, 0::BIGINT AS outside_their_path FROM fx_waves", "fx_waves")
+def _(spark, sf):
+    """The text of a leaf's path, read as a condition, holds for its beats."""
+    w, tree, _ = category_model(spark, sf)
+    exact = F.lit(True)
+    holds = []
+    for i, (path, _) in enumerate(categorytree.leaves(tree)):
+        tests = [F.expr(f"coalesce({f} > {t!r}D, false)" if op == ">" else f"not coalesce({f} > {t!r}D, false)") for f, op, t in path]
+        holds.append((categorytree.leaf_id(tree) != i) | reduce(lambda a, b: a & b, tests, exact))
+    ok = reduce(lambda a, b: a & b, holds)
+    return w.agg(F.count(F.lit(1)).alias("beats"), F.count_if(~ok).alias("outside_their_path"))
+
+
 @query("m15_leaf_rules", """, l AS (SELECT segment_idx AS leaf, count(*) FILTER (label <> 'artifact') AS c, count(*) FILTER (label = 'artifact') AS a FROM fx_waves GROUP BY 1)
 SELECT leaf, CASE WHEN leaf % 2 = 0 AND c / (a + c) >= 0.95 THEN 'pristine' WHEN leaf % 2 = 0 AND c / (a + c) >= 0.9 THEN 'clean_normal' WHEN leaf % 2 = 1 AND c / (a + c) >= 0.8 THEN 'clean_low_amplitude' WHEN a / (a + c) >= 0.7 THEN 'artifact_general' ELSE 'uncertain' END AS category FROM l""", "fx_waves")
 def _(spark, sf):
