@@ -69,10 +69,15 @@ def _(spark, sf):
     return out.unionByName(t["marker"].select(*k, F.lit("marker").alias("kind"), m.alias("v")))
 
 
-@query("a10_csv_repair", "SELECT doc_id, lang AS a, source AS b, text AS c FROM documents WHERE lang NOT LIKE '%,%' AND source NOT LIKE '%,%'")
-def _(spark, sf):
-    d = fx.table(spark, sf, "documents").filter(~F.col("lang").contains(",") & ~F.col("source").contains(","))
-    return tables.repair_lines(d.select("doc_id", F.concat_ws(",", "lang", "source", "text").alias("value")), ["a", "b", "c"])
+@query("a10_csv_repair", """, l AS (SELECT doc_id, string_split(concat_ws(',', CASE WHEN doc_id % 7 = 0 THEN 'early,' || lang ELSE lang END, CASE WHEN doc_id % 11 <> 0 THEN source END, text), ',') AS p FROM documents)
+SELECT doc_id, p[1] AS a, p[2] AS b, array_to_string(p[3:], ',') AS c FROM l WHERE len(p) >= 3""".replace(", l AS", "WITH l AS", 1))
+def _(spark, sf):
+    """All rows, damaged ones too: an early comma moves the cells behind it, a missing
+    cell is filled by the next, and lines that stay too short are rejected."""
+    d = fx.table(spark, sf, "documents")
+    lang = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("early,"), "lang")).otherwise(F.col("lang"))
+    source = F.when(F.col("doc_id") % 11 != 0, F.col("source"))
+    return tables.repair_lines(d.select("doc_id", F.concat_ws(",", lang, source, "text").alias("value")), ["a", "b", "c"])
 
 
 @query("a11_epoch_units", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN (epoch_us(ts) // 1000) // 1000 * 1000 ELSE (epoch_us(ts) // 1000) END AS ms FROM events")
