@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from beatloom.llm.text import blobs, keyed, map_batches, schema_of, sift
+from beatloom.llm.text import blobs, keyed, map_batches, schema_of, sift, sifted
 from beatloom.session import materialise
 
 LENGTH = 400
@@ -357,8 +357,8 @@ def repeated_starts_of(d: DataFrame, length: int, gram: int) -> tuple[DataFrame,
     posts = seen.select("id", F.inline("contexts"))
     kinds = posts.groupBy("hash", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "first", "last")).alias("at"))
     kinds = materialise(kinds.select("hash", "ctx", "n", "at.*"))
-    groups = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash")
-    mixed = materialise(kinds.join(groups, "hash"))
+    groups = materialise(kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash"))
+    mixed = materialise(sifted(kinds, groups, "hash").join(groups, "hash"))
 
     # contexts that are not alone under their hash: cut from the texts, from one of
     # the rows where id and text are equal
@@ -384,9 +384,9 @@ def repeated_starts_of(d: DataFrame, length: int, gram: int) -> tuple[DataFrame,
 
     shared = shared_windows(mixed, near, length, _grams(gram, length))
     whole = kinds.filter("n > 1").select("hash", "ctx", F.array(F.struct(F.lit(0).alias("a"), (F.col("last") - F.col("first") + 1).alias("b"))).alias("runs"))
-    found = whole.unionByName(shared)
+    found = materialise(whole.unionByName(shared))
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
-    starts = posts.join(found, ["hash", "ctx"]).groupBy("id").agg(F.flatten(F.collect_list(moved)).alias("starts"))
+    starts = sifted(posts, found, "ctx").join(found, ["hash", "ctx"]).groupBy("id").agg(F.flatten(F.collect_list(moved)).alias("starts"))
     return seen.select("id", "n_bytes", "sha"), starts
 
 

@@ -51,15 +51,18 @@ def blobs(batch: pa.RecordBatch, column: str = "_text") -> list[bytes]:
 SIFT_BITS = 1 << 23
 
 
-def sift(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``docs`` semi-joined with the key column of ``ids``, texts sifted first.
-
-    Most rows that have no partner leave before the shuffle, by a bitmap of the
-    hashed keys. The bitmap has a fixed size (at most 131,072 rows of 64 bits),
-    whatever the number of keys; when it fills up it only sifts less.
-    """
+def sifted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``ids``, before any
+    shuffle, by a bitmap of the hashed keys. The bitmap has a fixed size (at most
+    131,072 rows of 64 bits), whatever the number of keys; when it fills up it only
+    sifts less."""
     h = F.pmod(F.xxhash64(key), F.lit(SIFT_BITS))
     slot, bit = F.floor(h / 64).cast("long").alias("_slot"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))").alias("_bit")
     bitmap = ids.select(slot, bit).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
-    sifted = docs.select("*", slot, bit).join(F.broadcast(bitmap), "_slot").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
-    return sifted.select(*docs.columns).join(ids.select(key).distinct(), key, "left_semi")
+    found = rows.select("*", slot, bit).join(F.broadcast(bitmap), "_slot").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return found.select(*rows.columns)
+
+
+def sift(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``docs`` semi-joined with the key column of ``ids``, texts sifted first."""
+    return sifted(docs, ids, key).join(ids.select(key).distinct(), key, "left_semi")
