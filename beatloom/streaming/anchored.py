@@ -102,7 +102,7 @@ class AnchoredWindows:
         days = new.select(*key, DAY).distinct()
         stored = self.table("intervals").join(days, [*key, DAY], "left_semi").drop(DAY)
         # the order of the rows that are read is enough: windows do not leave their day
-        rr = materialise(row_index(stored, Series(key=s.key, ts=s.ts, tie=s.ts, idx=s.idx)))
+        rr = row_index(stored, Series(key=s.key, ts=s.ts, tie=s.ts, idx=s.idx))
         out = self.measure(rollup.states(rr, self.frames, self.anchors(), s))
         out = out.join(self.anchors(), key)
         start = F.floor((F.col("window_start_ms") - F.col("anchor_ms")) / self.day_ms).cast("long")
