@@ -1,6 +1,7 @@
 """Roll-up of timeframes from states against one window at a time in NumPy."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -160,3 +161,34 @@ def test_dimension_and_fuzzy_entropy_equal_all_pairs():
             return s[~np.eye(len(e), dtype=bool)].mean()
 
         assert abs(complexity.fuzzy_entropy(x, m, 0.2 * sd) - (math.log(phi(m)) - math.log(phi(m + 1)))) < 1e-9
+
+
+def test_kernels_take_whole_and_other_values():
+    """Whole ms go through bit sets and integer distances, other values do not."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(480, 1000, 1500).astype(float)
+    r = 0.2 * x.std()
+    pairs = complexity._template_pairs(x, 2, r)
+    emb = np.lib.stride_tricks.sliding_window_view(x, 3)
+    assert pairs == (complexity._near_pairs_2(emb[:, 0], emb[:, 1], r), complexity._near_pairs(np.ascontiguousarray(emb), r))
+    assert complexity._template_pairs(x, 2, r, limit=1000) is None
+    # a shift by an eighth leaves all differences exact but makes no whole numbers
+    for m in (3, 4):
+        assert abs(complexity.fuzzy_entropy(x, m, r) - complexity.fuzzy_entropy(x + 0.125, m, r)) < 1e-12
+
+
+def test_no_step_is_dealt_by_recording_alone(spark):
+    """Recordings are few and long: a shuffle by their key is one task for each."""
+    st = rollup.states(spark.createDataFrame(series(6), S), FRAMES)
+    for d in (rollup._states(st.rr, st.anchor, st.base_ms, st.s), hrv.to_windows(st.rr, 4_000, st.anchor), hrv.geometric(st)):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "recording_id" in plan and not re.search(r"hashpartitioning\(recording_id#\d+L?, \d+\)", plan)
+
+
+def test_wanted_metrics_only(spark):
+    d = spark.createDataFrame(series(7), S)
+    some = hrv.hrv_metrics(d, FRAMES, names=("count", "sdnn", "hti"))
+    assert some.columns == ["recording_id", "timeframe", "window_start_ms", "count", "hti", "sdnn"]
+    key = lambda r: (r.recording_id, r.timeframe, r.window_start_ms)
+    every = {key(r): r for r in hrv.hrv_metrics(d, FRAMES).collect()}
+    assert {key(r): (r["count"], r.hti, r.sdnn) for r in some.collect()} == {k: (r["count"], r.hti, r.sdnn) for k, r in every.items()}
