@@ -129,7 +129,8 @@ def list_ties(size: np.ndarray, short: np.ndarray, matches: int) -> tuple[np.nda
     """Rows (i, j) tied within lists of the given sizes that follow each other.
 
     Small lists of one size are compared together, all pairs; in a longer list
-    the members go one by one and meet only those not yet tied to them.
+    the members go one by one and meet only those not yet tied to them. Ties that
+    join nothing new are left out, so a list has fewer ties than members.
     """
     first = np.cumsum(size) - size
     left, right = [], []
@@ -137,8 +138,11 @@ def list_ties(size: np.ndarray, short: np.ndarray, matches: int) -> tuple[np.nda
         at = first[size == m]
         if m <= SMALL_LIST:
             x, y = np.triu_indices(m, 1)
+            roots = np.tile(np.arange(m), (len(at), 1))
             for i, j in zip(x.tolist(), y.tolist()):
-                ok = (short[at + i] == short[at + j]).sum(axis=1) >= matches
+                ok = (roots[:, i] != roots[:, j]) & ((short[at + i] == short[at + j]).sum(axis=1) >= matches)
+                r = roots[ok]
+                roots[ok] = np.where(r == r[:, j : j + 1], r[:, i : i + 1], r)
                 left.append(at[ok] + i)
                 right.append(at[ok] + j)
             continue
@@ -156,7 +160,11 @@ def list_ties(size: np.ndarray, short: np.ndarray, matches: int) -> tuple[np.nda
 
 
 def _ties(posts: DataFrame, matches: int) -> DataFrame:
-    """Ties of the lists in ``posts`` (cv, id, short), searched list by list."""
+    """Ties of the lists in ``posts`` (cv, id, weight, short), searched list by list.
+
+    The most typical members come first and are tied to the others: the lists of one
+    group of near copies repeat the same few ties instead of adding their own.
+    """
     kind = posts.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -180,7 +188,7 @@ def _ties(posts: DataFrame, matches: int) -> DataFrame:
         if len(cv):
             yield out(len(cv))
 
-    posts = posts.select("cv", "id", "short").repartition("cv").sortWithinPartitions("cv")
+    posts = posts.select("cv", "id", "weight", "short").repartition("cv").sortWithinPartitions("cv", F.desc("weight"), "id")
     return map_batches(posts, run, StructType.fromDDL(f"a {kind}, b {kind}"))
 
 

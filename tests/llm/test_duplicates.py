@@ -172,3 +172,30 @@ def test_common_prefixes():
     for a, b, n in zip(order, order[1:], got):
         differ = np.flatnonzero(t[a : a + 100] != t[b : b + 100])
         assert n == (differ[0] if len(differ) else 100)
+
+
+def test_ties_of_a_group_of_near_copies_grow_with_its_size(spark):
+    """Every list of a group has the same few hubs; the families are those of all pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 64)
+    rows = []
+    for i in range(300):
+        short = np.where(rng.random(64) < 0.1, rng.integers(0, 256, 64), base).astype(np.uint8)
+        rows.append((i, int((short == base).sum()), short))
+    # a list for each of 30 coordinates, with the members that have the common value
+    posts = [(c, i, w, s.tobytes()) for c in range(30) for i, w, s in rows if s[c] == base[c]]
+    got = near_dup._ties(spark.createDataFrame(posts, "cv long, id long, weight long, short binary"), 36).distinct().collect()
+    assert {x for r in got for x in r} == set(range(300))
+    assert len(got) < 5 * 300
+
+    def joined(pairs, n):
+        root = list(range(n))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return [min(j for j in range(n) if root[j] == r) for r in root]
+
+    short = rng.integers(0, 2, (40, 8)).astype(np.uint8)  # ten lists of four
+    a, b = near_dup.list_ties(np.full(10, 4), short, 5)
+    every = [(i, j) for k in range(0, 40, 4) for i in range(k, k + 4) for j in range(i + 1, k + 4) if (short[i] == short[j]).sum() >= 5]
+    assert joined(zip(a.tolist(), b.tolist()), 40) == joined(every, 40)
+    assert len(a) == 40 - len(set(joined(every, 40)))
