@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from beatloom.functions.timeparse import any_ms, iso_ms, segment_number
 from beatloom.operators import relational, temporal, thinning
+from beatloom.operators.rollup import per_key
 from beatloom.params import DEFAULTS, SERIES, Params, Series
 from beatloom.plans.ordered import row_index, running
 from beatloom.session import materialise
@@ -40,7 +41,7 @@ def build_peaks(
     kept = thinning.greedy_clusters(parts, p.dedup_tolerance_ms, ["priority"], s).drop("priority", "origin")
     # numbering reads the peaks twice
     kept = materialise(kept)
-    kept = row_index(kept, s, "peak_id").join(starts, list(s.key))
+    kept = row_index(kept, s, "peak_id").join(per_key(starts), list(s.key))
     return kept.withColumn(
         "segment_idx", F.floor((F.col(s.ts) - F.col("start_ms")) / p.segment_ms).cast("int")
     ).drop("start_ms")
