@@ -272,12 +272,14 @@ def merge_into(path: str, new: DataFrame, key: Sequence[str], partitions: Sequen
     that may still be without rows needs its ``schema``.
 
     Only partitions that ``new`` touches are read and written; the merged rows are
-    written aside first, since a table cannot be read while it is overwritten.
+    written aside first, since a table cannot be read while it is overwritten. A
+    partition is one task's to write, so it is one file and not one per task.
     """
     read = new.sparkSession.read
     old = (read if schema is None else read.schema(schema)).parquet(path)
     touched = old.join(new.select(*partitions).distinct(), list(partitions), "left_semi").select(*old.columns)
     merged = materialise(merge_append(touched, new.select(*old.columns), key))
+    merged = merged.repartition(*partitions)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 

@@ -18,14 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from beatloom.operators import hrv, intervals, rollup, temporal
+from beatloom.operators import hrv, intervals, rollup
 from beatloom.operators.rollup import Frames, States
 from beatloom.params import Series
-from beatloom.plans.ordered import row_index
+from beatloom.plans.ordered import spread
 from beatloom.session import materialise
 from beatloom.sources.tables import merge_into
 
@@ -87,24 +87,48 @@ class AnchoredWindows:
         d = cutoffs.select(*self.s.key, F.col("cutoff_ms").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit(batch_id).cast("long").alias("batch"))
         d.write.mode("append").parquet(f"{self.path}/coverage")
 
+    def _unseen(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Rows outside covered time. Coverage is cut at borders of days, one array for
+        each key and day: a table small beside the rows, which meet it unshuffled."""
+        key, ts = list(self.s.key), F.col(self.s.ts)
+        slot = lambda c: F.floor(F.col(c) / self.day_ms).cast("long")
+        cov = self.covered(batch_id).withColumn("_slot", F.explode(F.sequence(slot("start_ms"), slot("end_ms"))))
+        cov = cov.groupBy(*key, "_slot").agg(F.collect_list(F.struct("start_ms", "end_ms")).alias("_cov"))
+        d = rows.withColumn("_slot", slot(self.s.ts)).join(rollup.per_key(cov), [*key, "_slot"], "left")
+        old = F.exists("_cov", lambda c: ts.between(c["start_ms"], c["end_ms"]))
+        return d.filter(~F.coalesce(old, F.lit(False))).select(*rows.columns)
+
+    def _merged(self, new: DataFrame) -> DataFrame:
+        """Stored and new intervals of the days that ``new`` touches, the new ones
+        winning, numbered in order. Written aside, since the table is read.
+
+        A day is dealt to one task once: for equal times, the numbers and its one file.
+        Numbers are dense inside a day, where windows and their neighbours stay; those
+        of another day begin at another multiple of ``day_ms``.
+        """
+        s, by = self.s, [*self.s.key, DAY]
+        days = rollup.per_key(new.select(*by).distinct())
+        stored = self.table("intervals").join(days, by, "left_semi")
+        both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        one = spread(both, *by).groupBy(*by, s.ts).agg(F.max_by("rr_ms", "_new").alias("rr_ms"))
+        at = F.row_number().over(Window.partitionBy(*by).orderBy(s.ts)) - 1
+        return materialise(one.withColumn(s.idx, F.col(DAY) * self.day_ms + at))
+
     def write(self, batch: DataFrame, batch_id: int) -> None:
         s, key = self.s, list(self.s.key)
-        rows = batch.select(*key, s.ts, F.col("rr_ms").cast("double").alias("rr_ms")).dropna().dropDuplicates([*key, s.ts])
-        seen = temporal.in_intervals(rows, self.covered(batch_id), s=Series(key=s.key, ts=s.ts, tie=s.ts), name="_old")
-        new = materialise(seen.filter(~F.col("_old")).drop("_old"))
+        rows = batch.select(*key, s.ts, F.col("rr_ms").cast("double").alias("rr_ms")).dropna()
+        new = materialise(self._unseen(rows, batch_id))
         if new.isEmpty():
             return
         first = rollup.anchors(new, s).join(self.anchors(batch_id), key, "left_anti")
         self._put("anchors", first, batch_id)
+        anchor = rollup.per_key(self.anchors())
         day = F.floor((F.col(s.ts) - F.col("anchor_ms")) / self.day_ms).cast("long")
-        new = materialise(new.join(self.anchors(), key).withColumn(DAY, day).select(*[f.name for f in self.schemas["intervals"]]))
-        merge_into(f"{self.path}/intervals", new, [*key, s.ts], [*key, DAY], self.schemas["intervals"])
-        days = new.select(*key, DAY).distinct()
-        stored = self.table("intervals").join(days, [*key, DAY], "left_semi").drop(DAY)
-        # the order of the rows that are read is enough: windows do not leave their day
-        rr = row_index(stored, Series(key=s.key, ts=s.ts, tie=s.ts, idx=s.idx))
-        out = self.measure(rollup.states(rr, self.frames, self.anchors(), s))
-        out = out.join(self.anchors(), key)
+        names = [f.name for f in self.schemas["intervals"]]
+        rr = self._merged(new.join(anchor, key).withColumn(DAY, day).select(*names))
+        rr.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key, DAY).parquet(f"{self.path}/intervals")
+        out = self.measure(States(rr.drop(DAY), anchor, self.frames, s))
+        out = out.join(anchor, key)
         start = F.floor((F.col("window_start_ms") - F.col("anchor_ms")) / self.day_ms).cast("long")
         out = out.withColumn(DAY, start).drop("anchor_ms")
         out = materialise(out.select(*[c for c in out.columns if c not in (*key, DAY)], *key, DAY))

@@ -97,3 +97,21 @@ def test_timeframes_must_nest(spark, tmp_path):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_one_file_a_day(spark, tmp_path):
+    """A day is dealt to one task, so files do not multiply by tasks."""
+    rows = [r for r in series(5, 1500) if r[0] == 0]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        w = windows(spark, tmp_path / "out")
+        w.write(spark.createDataFrame(rows[:700], RR).repartition(4), 0)
+        w.write(spark.createDataFrame([*rows[650:], *rows[900:950]], RR).repartition(4), 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for name in ("intervals", "metrics"):
+        days = [d for d in (tmp_path / "out" / name).glob("recording_id=*/day=*")]
+        assert len(days) > 2
+        assert all(len(list(d.glob("*.parquet"))) == 1 for d in days)
+    assert table(w.metrics()) == batch_metrics(spark, rows)
