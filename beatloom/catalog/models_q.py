@@ -434,7 +434,8 @@ def _(spark, sf):
 UNION ALL SELECT recording_id, 'event', timestamp_ms, timestamp_ms + CASE WHEN peak_id % 50 = 2 THEN 500 ELSE 0 END FROM fx_beats WHERE peak_id % 50 < 3
 UNION ALL SELECT recording_id, 'revisit', segment_idx, segment_idx FROM (SELECT DISTINCT recording_id, segment_idx FROM fx_beats WHERE peak_id % 50 = 5)""", "fx_beats")
 def _(spark, sf):
-    """One document per recording with times as numbers, as text and as objects."""
+    """One document per recording and day, with times as numbers, as text and as
+    objects: a document is read whole, so it must not grow with the recording."""
     from beatloom.operators import labelling
 
     path = _fresh(spark)
@@ -444,12 +445,13 @@ def _(spark, sf):
     event = event.otherwise(F.concat(F.lit('{"start_time": "'), iso, F.lit('", "end_time": '), ms + 500, F.lit("}")))
     time = F.when(k == 3, ms.cast("string")).otherwise(F.concat(F.lit('"'), iso, F.lit('"')))
     revisit = F.concat(F.lit('{"segment_idx": '), F.col("segment_idx"), F.lit(', "marked_at": "x"}'))
-    lists = b.groupBy("recording_id").agg(
+    part = F.floor(F.col("segment_idx") / 1440).cast("int").alias("part")
+    lists = b.groupBy("recording_id", part).agg(
         F.array_join(F.collect_list(F.when(k.isin(3, 4), time)), ",").alias("a"), F.array_join(F.collect_list(F.when(k < 3, event)), ",").alias("e"),
         F.array_join(F.collect_set(F.when(k == 5, revisit)), ",").alias("r"),
     )
     text = F.format_string('{"artifacts": [%s], "tagged_physiological_events": [%s], "return_to_pile": [%s]}', "a", "e", "r")
-    lists.select("recording_id", text.alias("value")).write.partitionBy("recording_id").text(path)
+    lists.select("recording_id", "part", text.alias("value")).write.partitionBy("recording_id", "part").text(path)
     docs = tables.read_annotations(spark, path)
     out = tables.times_of(docs, "artifacts").select("recording_id", F.lit("artifact").alias("kind"), F.col("ref_ms").alias("start_ms"), F.col("ref_ms").alias("end_ms"))
     out = out.unionByName(labelling.event_windows(docs).withColumn("kind", F.lit("event")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from beatloom.functions.timeparse import any_ms, epoch_any_unit
 from beatloom.operators import relational
@@ -129,10 +129,23 @@ def read_annotations(spark: SparkSession, path: str, recording_id: str | None =
 
     Documents without a recording id take ``recording_id``, or else the name of
     their file. Events are objects or bare times; both become ``EVENT`` structs.
+    Files are read as text and parsed in memory: the JSON reader fetches every object
+    that is kept as text by a read of its own, some KB each. A file may hold an array
+    of documents.
     """
-    raw = spark.read.schema(ANNOTATIONS).json(path, multiLine=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "") if recording_id is None else F.lit(recording_id)
-    raw = raw.withColumn("recording_id", F.coalesce("recording_id", name))
+    files = spark.read.text(path, wholetext=True)
+    text = F.ltrim(F.col("value"), F.lit("\ufeff \t\r\n"))
+    many = F.from_json(text, ArrayType(StructType.fromDDL(ANNOTATIONS)))
+    one = F.from_json(text, ANNOTATIONS)
+    parsed = F.when(F.startswith(text, F.lit("[")), many).otherwise(F.array(one))
+    kept = [F.col(c) for c in files.columns if c != "value"]  # partition columns
+    d = files.filter(text != "").select(*kept, F.col("_metadata.file_name").alias("_file"), F.explode(F.coalesce(parsed, F.array(one))).alias("_d"))
+    named = [c for c in StructType.fromDDL(ANNOTATIONS).names if c not in files.columns]
+    raw = d.select("*", *[F.col(f"_d.{c}").alias(c) for c in named]).drop("_d")
+    if "recording_id" in files.columns:
+        raw = raw.withColumn("recording_id", F.col("recording_id").cast("string"))
+    name = F.regexp_replace("_file", r"\.[^.]*$", "") if recording_id is None else F.lit(recording_id)
+    raw = raw.withColumn("recording_id", F.coalesce("recording_id", name)).drop("_file")
     bare = [F.lit(None).cast("string").alias(f) for f in EVENT.replace(" string", "").split(", ")[:-1]]
     event = lambda e: F.when(F.startswith(F.ltrim(e), F.lit("{")), F.from_json(e, EVENT)).otherwise(F.struct(*bare, e.alias("at")))
     raw = raw.withColumn("tagged_physiological_events", F.transform("tagged_physiological_events", event))

@@ -205,3 +205,19 @@ def test_sessions_cut_by_buckets(spark, tmp_path):
     got = live.merge_sessions(parts, gap).select("recording_id", "first_ms", "last_ms", "n_beats").collect()
     # the watermark has closed all but the last event's own session
     assert sorted(map(tuple, got)) == [w for w in want if w[1] < 10_000_000]
+
+
+def test_annotations_are_read_as_text_once(spark, tmp_path):
+    (tmp_path / "one.json").write_text('﻿{"artifacts": [5, "x"], "bad_segments": [1], "tagged_physiological_events": [{"start": 1704067200000, "end": 1704067200500}, 7]}')
+    (tmp_path / "two.json").write_text('[{"recording_id": "a", "artifacts": [1]}, {"recording_id": "b"}]')
+    (tmp_path / "bad.json").write_text('{"artifacts": [')
+    (tmp_path / "blank.json").write_text(" \n")
+    docs = tables.read_annotations(spark, str(tmp_path))
+    rows = {r.recording_id: r for r in docs.collect()}
+    assert sorted(rows) == ["a", "b", "bad", "one"]
+    assert rows["one"].artifacts == ["5", "x"] and rows["one"].bad_segments == [1] and rows["a"].artifacts == ["1"] and rows["b"].artifacts == []
+    e = rows["one"].tagged_physiological_events
+    assert (e[0].start, e[0].end, e[1].at) == ("1704067200000", "1704067200500", "7")
+    # the JSON reader fetches each object kept as text by a read of its own
+    plan = docs._jdf.queryExecution().toString()
+    assert "Format: Text" in plan and "Format: JSON" not in plan
