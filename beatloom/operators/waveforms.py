@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -19,6 +20,7 @@ from beatloom.params import DEFAULTS, SERIES, Params, Series
 from beatloom.plans.ordered import over_rows
 
 SEG = ["recording_id", "segment_idx"]
+SPAN = 8  # segments in one call of Python
 
 
 def extract_windows(
@@ -293,26 +295,37 @@ def resampled_windows(
     """``waveform``: ``length`` points every ``step_ms`` from t - half, linear in
     between samples of the beat's segment, 0 outside, then band-passed.
 
-    One segment per call: a minute of samples with its beats.
+    A call takes ``SPAN`` segments, minutes of samples with their beats. The filter is
+    linear, padding included, and windows have one length: it is one matrix.
     """
     half = length / 2 * step_ms if half_ms is None else half_ms
     grid = np.arange(length) * step_ms - half
-    sos = butter_bandpass(4, *band, rate) if band else None
+    response = filter_zero_phase(np.eye(length), butter_bandpass(4, *band, rate), 27) if band else None
     types = {f.name: f.dataType.simpleString() for f in beats.schema}
-
-    def run(key: tuple, b: pd.DataFrame, smp: pd.DataFrame) -> pd.DataFrame:
-        smp = smp.sort_values(s.ts)
-        t, v = smp[s.ts].to_numpy(float), smp[value].to_numpy(float)
-        at = b[s.ts].to_numpy(float)[:, None] + grid
-        rows = np.interp(at, t, v, left=0.0, right=0.0) if len(t) else np.zeros(at.shape)
-        rows = list(filter_zero_phase(rows, sos, 27)) if sos is not None and len(rows) else list(rows)
-        return pd.DataFrame({k: b[k].to_numpy() for k in (*SEG, s.tie)} | {"waveform": rows})
+    seg = SEG[-1]
+
+    def run(b: pa.Table, smp: pa.Table) -> pa.Table:
+        b = b.sort_by(seg)
+        smp = smp.sort_by([(seg, "ascending"), (s.ts, "ascending")])
+        # a call has no segment at all, or all have one
+        of, at = b[seg].fill_null(0).to_numpy(), b[s.ts].to_numpy().astype(float)[:, None] + grid
+        own, t, v = smp[seg].fill_null(0).to_numpy(), smp[s.ts].to_numpy().astype(float), smp[value].to_numpy().astype(float)
+        rows = np.zeros(at.shape)
+        for i in np.unique(of):
+            x, y = slice(*np.searchsorted(of, (i, i + 1))), slice(*np.searchsorted(own, (i, i + 1)))
+            if y.stop > y.start:
+                rows[x] = np.interp(at[x], t[y], v[y], left=0.0, right=0.0)
+        if response is not None:
+            rows = rows @ response
+        ends = np.arange(len(rows) + 1, dtype="int32") * length
+        return b.select([*SEG, s.tie]).append_column("waveform", pa.ListArray.from_arrays(ends, rows.ravel()))
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in (*SEG, s.tie)), "waveform array<double>"])
+    span = F.floor(F.col(seg) / SPAN)
     return (
-        beats.select(*SEG, s.tie, s.ts).groupBy(*SEG)
-        .cogroup(samples.select(*SEG, s.ts, value).groupBy(*SEG))
-        .applyInPandas(run, schema)
+        beats.select(*SEG, s.tie, s.ts).groupBy(SEG[0], span)
+        .cogroup(samples.select(*SEG, s.ts, value).groupBy(SEG[0], span))
+        .applyInArrow(run, schema)
     )
 
 
