@@ -91,3 +91,11 @@ def test_rows_without_a_position_stay(spark):
     d = d.withColumnRenamed("timestamp_ms", "beat_idx")
     before = lambda f, w: f.withColumn("t", F.lag("v").over(w))
     assert {r.peak_id: r.t for r in over_rows(d.withColumn("beat_idx", F.col("beat_idx") / 10), 1, 0, before, S).collect()} == {1: None, 2: None, 3: 1.0}
+
+
+def test_running_keeps_its_partitions(spark):
+    """Narrow rows compress well: joined by size, millions would be sorted in one task."""
+    d = row_index(spark.range(2000).selectExpr("id % 2 as recording_id", "id as peak_id", "id * 4000000 as timestamp_ms"))
+    # a given number: AQE leaves it
+    assert "REPARTITION_BY_NUM" in d._jdf.queryExecution().toString()
+    assert d.selectExpr("min(beat_idx)", "max(beat_idx)", "count(distinct beat_idx)").first()[:] == (0, 999, 1000)
