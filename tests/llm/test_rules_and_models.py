@@ -5,9 +5,11 @@ import math
 import os
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from beatloom.llm import decontam, language, pseudo_likelihood, quality
@@ -200,6 +202,41 @@ def test_every_rare_word_has_its_own_probability(make, monkeypatch):
     assert set(words.digests(" ".join(rare).encode()).tolist()) <= digest
 
 
+def test_distinct_words_are_numbered_at_once(make, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 3)
+    monkeypatch.setattr(pseudo_likelihood, "GROUP", 2)
+    texts = ["the a of the", "", " \t\x0b The  \x1cx y\x85z é É ", "a", "\n", *(f"w{i % 90}ing the a of" for i in range(200))]
+    words = pseudo_likelihood.learn_words(make(texts), "doc_id", "text")
+    assert words.groups.max() > 5
+    data = [t.encode() for t in texts]
+    n, around, word, digests = words.read(pa.array(texts), digests=True)
+    want = [[words.number.get(w, -1) if w in words.number else words.rare_token(w) for w in t.lower().split()] for t in data]
+    assert n.tolist() == [len(t) for t in want] and word.tolist() == sum(want, [])
+    assert digests.tolist() == sum((words.digests(t).tolist() for t in data), [])
+    edge = [words.edge] * pseudo_likelihood.SIDE
+    assert np.stack(around, axis=1).tolist() == [[(edge + t + edge)[i + 2 + o] for o in (-2, -1, 1, 2)] for t in want for i in range(len(t))]
+    got = {bytes(r.word): r.n for r in pseudo_likelihood.count_words(make(texts), "doc_id", "text").collect()}
+    assert got == Counter(w for t in data for w in t.lower().split())
+
+
+def test_one_deal_learns_and_scores_the_trees(make, monkeypatch):
+    """The contexts are routed once, also those that a task holds in a file."""
+    monkeypatch.setattr(pseudo_likelihood, "VOCABULARY", 4)
+    monkeypatch.setattr(pseudo_likelihood, "_SPOOL", 200)
+    rng = random.Random(6)
+    d = make([" ".join(rng.choices(["a", "b", "c", "d"], k=5) + rng.choices([f"w{i}" for i in range(40)], k=5)) for _ in range(60)] + [None]).coalesce(1)
+    routed, route = [], pseudo_likelihood.route
+    monkeypatch.setattr(pseudo_likelihood, "route", lambda *a: routed.append(a) or route(*a))
+    words = pseudo_likelihood.learn_words(d, "doc_id", "text")
+    net = pseudo_likelihood.train(d, words, "doc_id", "text")
+    apart = {r.doc_id: r for r in pseudo_likelihood.score(d, words, net).collect()}
+    assert len(routed) == 2
+    once = {r.doc_id: r for r in pseudo_likelihood.pseudo_likelihood(d).collect()}
+    assert len(routed) == 3 and len(once) == 61
+    for i, r in once.items():
+        assert r.n_words == apart[i].n_words and math.isclose(r.log_likelihood, apart[i].log_likelihood, rel_tol=1e-4)
+
+
 def test_near_match_of_a_window_with_an_absent_term(spark, make):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     table = spark.createDataFrame([(1, item)], "item_id long, text string")
