@@ -186,14 +186,14 @@ DETECTORS = {"energy": energy_peaks, "wavelet": wavelet_peaks}
 
 
 def detect_peaks(
-    samples: DataFrame, method: str, fs: float = DEFAULTS.sample_rate_hz, chunk_minutes: float = 5.0,
+    samples: DataFrame, method: str | Sequence[str], fs: float = DEFAULTS.sample_rate_hz, chunk_minutes: float = 5.0,
     overlap_s: float = 5.0, s: Series = SERIES, value: str = "ecg", idx: str = "sample_idx",
 ) -> DataFrame:
-    """R-peak times of one detector. A chunk of ``chunk_minutes`` plus an overlap
+    """R-peak times of one detector, or of several that read the samples once. A chunk of ``chunk_minutes`` plus an overlap
     on both sides is one task's input; peaks in the overlap are left to the
     neighbour."""
     width, halo = int(chunk_minutes * 60 * fs), int(overlap_s * fs)
-    fn = DETECTORS[method]
+    methods = [method] if isinstance(method, str) else list(method)
     d = samples.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*s.key, s.ts, idx, value)
     d = _with_halo(d, F.col(idx), width, halo, halo)
     types = {f.name: f.dataType.simpleString() for f in d.schema}
@@ -201,10 +201,13 @@ def detect_peaks(
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
         x = pdf[value].to_numpy(float)
-        at = fn(x, fs) if len(x) >= int(0.5 * fs) else np.array([], dtype=int)
-        hit = pdf.iloc[np.unique(at)]
-        hit = hit[hit[_HOME] == hit[_SLOT]]
-        return hit[[*s.key, s.ts]].assign(source=method)
+        found = []
+        for m in methods:
+            at = DETECTORS[m](x, fs) if len(x) >= int(0.5 * fs) else np.array([], dtype=int)
+            hit = pdf.iloc[np.unique(at)]
+            hit = hit[hit[_HOME] == hit[_SLOT]]
+            found.append(hit[[*s.key, s.ts]].assign(source=m))
+        return pd.concat(found)
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in (*s.key, s.ts)), "source string"])
     return d.groupBy(*s.key, _SLOT).applyInPandas(run, schema)
@@ -214,7 +217,8 @@ def detect_ensemble(samples: DataFrame, s: Series = SERIES, p: Params = DEFAULTS
     """Union of both detectors with the merge tolerance, then the refractory rule."""
     e = Series(key=s.key, ts=s.ts, tie="source", bucket_ms=s.bucket_ms)
     # peaks are few beside samples: written once, so no detector runs twice
-    a, b = (materialise(detect_peaks(samples, m, s=s, **options)) for m in DETECTORS)
+    peaks = materialise(detect_peaks(samples, list(DETECTORS), s=s, **options))
+    a, b = (peaks.filter(F.col("source") == m) for m in DETECTORS)
     merged = materialise(thinning.union_detections(a, b, p.merge_tolerance_ms, e))
     return thinning.refractory(merged, p.refractory_ms, e)
 

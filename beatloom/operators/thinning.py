@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatloom.params import SERIES, Series
-from beatloom.plans.ordered import over_time
+from beatloom.plans.ordered import over_time, spread
 from beatloom.session import materialise
 
 CHUNK_MS = 600_000
@@ -90,9 +90,10 @@ def anchors(times: DataFrame, tolerance_ms: int) -> DataFrame:
     """``times`` has distinct (_k, _ts); adds the boolean ``_anchor``.
 
     A chunk of ten minutes holds at most 600 000 distinct ms, and a chain row at
-    most tolerance + 2 pairs.
+    most tolerance + 2 pairs. Chunks are few bytes with much work, so they are dealt
+    over a given number of tasks; a chunk without neighbours is not composed.
     """
-    d = times.withColumn("_chunk", F.floor(F.col("_ts") / CHUNK_MS))
+    d = spread(times.withColumn("_chunk", F.floor(F.col("_ts") / CHUNK_MS)), "_k", "_chunk")
     part = d.groupBy("_k", "_chunk").applyInPandas(
         _summary(tolerance_ms),
         "_k string, _chunk long, _first long, _end long, _entries array<bigint>, _exits array<bigint>",
@@ -101,10 +102,12 @@ def anchors(times: DataFrame, tolerance_ms: int) -> DataFrame:
     linked = (F.col("_first") - F.lag("_end").over(w)) <= tolerance_ms
     part = part.withColumn("_opens", (~F.coalesce(linked, F.lit(False))).cast("long")).withColumn(
         "_chain", F.sum("_opens").over(w)
-    )
-    entries = part.groupBy("_k", "_chain").applyInPandas(
+    ).withColumn("_single", (F.col("_opens") == 1) & (F.coalesce(F.lead("_opens").over(w), F.lit(1)) == 1))
+    part = materialise(part)  # both kinds of chain read it
+    composed = spread(part.filter(~F.col("_single")), "_k", "_chain").groupBy("_k", "_chain").applyInPandas(
         _compose(tolerance_ms), "_k string, _chunk long, _entry long"
     )
+    entries = composed.unionByName(part.filter("_single").select("_k", "_chunk", F.col("_first").alias("_entry")))
     return (
         d.join(entries, ["_k", "_chunk"])
         .groupBy("_k", "_chunk")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from beatloom.functions import arrays as A
 from beatloom.functions import complexity, signal
-from beatloom.operators import events, hrv
+from beatloom.operators import events, hrv, thinning
 from beatloom.params import Series
 
 
@@ -126,3 +126,41 @@ def test_geometric_against_numpy(spark):
     assert abs(g.amo50 - h50.max() / len(rr) * 100) < 1e-9
     m = hrv.moments(d, frames).first()
     assert abs(m.rmssd - np.sqrt(np.mean(np.diff(rr) ** 2))) < 1e-9 and abs(m.sdnn - rr.std(ddof=1)) < 1e-9
+
+
+def test_local_maxima_near_each_other_by_brute_force():
+    rng = np.random.default_rng(8)
+    for distance in (1, 2, 7, 40):
+        x = rng.integers(0, 50, 600).astype(float)
+        all_, keep = signal.local_maxima(x, 20.0, 1), []
+        for j in sorted(range(len(all_)), key=lambda j: (x[all_[j]], j), reverse=True):
+            if all(abs(all_[j] - i) >= distance for i in keep):
+                keep.append(all_[j])
+        assert signal.local_maxima(x, 20.0, distance).tolist() == sorted(keep)
+
+
+def test_detectors_read_the_samples_once(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(0, 3, 4000)
+    x[60:-60:104] += 1000
+    rows = [(0, i, int(i * 1000 / 130), float(v)) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "recording_id int, sample_idx long, timestamp_ms long, ecg double")
+    calls, one = [], events.detect_peaks
+    apart = sorted(r for m in events.DETECTORS for r in one(d, m).collect())
+    assert sorted(one(d, list(events.DETECTORS)).collect()) == apart
+    monkeypatch.setattr(events, "detect_peaks", lambda *a, **b: calls.append(a) or one(*a, **b))
+    events.detect_ensemble(d, Series()).count()
+    assert len(calls) == 1
+
+
+def test_thinning_chunks_are_dealt_over_tasks(spark):
+    """AQE joined the chunks, few bytes with much work, in one task."""
+    ts = sorted({int(t) for t in np.random.default_rng(9).integers(0, 40 * thinning.CHUNK_MS, 3000)} | set(range(595_000, 606_000, 150)))
+    d = spark.createDataFrame([("k", t) for t in ts], "_k string, _ts long")
+    got = thinning.anchors(d, 200).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 1
+    last, want = None, set()
+    for t in ts:
+        if last is None or t > last + 200:
+            last = t
+            want.add(t)
+    assert {r._ts for r in got if r._anchor} == want and len(got) == len(ts)
